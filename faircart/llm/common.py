@@ -62,3 +62,33 @@ def ascii_lower(c: Column) -> Column:
 def held_fold(doc_id: Column, modulus: int = 5) -> Column:
     """crc32 of the id as text, modulo ``modulus``; -1 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
+
+
+def add_arrow_column(df: DataFrame, source: str, name: str, kind: str, make) -> DataFrame:
+    """``df`` with one more column ``name`` of DDL type ``kind``, made from ``source`` in Arrow batches.
+
+    ``make()`` runs once a task and gives a function from a list of values to a list of
+    values. No shuffle; all other columns pass through as they are. ``name`` must be free.
+    """
+    import pyarrow as pa
+
+    schema = df.select("*", F.lit(None).cast(kind).alias(name)).schema
+    at = df.columns.index(source)
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        fill, arrow = make(), to_arrow_type(schema[-1].dataType)
+        for b in batches:
+            more = pa.array(fill(b.column(at).to_pylist()), arrow)
+            yield pa.RecordBatch.from_arrays([*b.columns, more], names=[*b.schema.names, name])
+
+    return df.mapInArrow(run, schema)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with underscores added until no column of ``df`` has it (case ignored)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

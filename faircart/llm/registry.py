@@ -1,9 +1,31 @@
 """Driver queries of this subpackage and, where SQL can express one, its DuckDB text."""
 
-from . import simhash
+from . import decontam, packing, simhash, warc
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
+    "op3_warc": warc.op3_warc,
+    "op7_packing": packing.op7_packing,
+    "op10_decontam": decontam.op10_decontam,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Containment of five-word shingles, item by item; items of fewer words are one shingle.
+OP10 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[\pL\pN_]+') AS w FROM documents WHERE text IS NOT NULL
+), b AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(lower(text), '[\pL\pN_]+') AS w FROM benchmark WHERE text IS NOT NULL
+), bs AS (
+  SELECT DISTINCT q, item_id, least(len(w), 5) AS n, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM b WHERE len(w) > 0)
+), size AS (SELECT q, count(*) AS shingles FROM bs GROUP BY q
+), ds AS (
+  SELECT DISTINCT r, doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bs) WHERE len(w) >= n)
+)
+SELECT doc_id, item_id, shared, shingles, shared / shingles AS containment FROM (
+  SELECT r, doc_id, q, item_id, count(*) AS shared FROM ds JOIN bs USING (n, s) GROUP BY ALL
+) JOIN size USING (q) WHERE shared >= ceil(0.8 * shingles - 1e-9)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_decontam": OP10}
