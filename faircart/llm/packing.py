@@ -10,6 +10,7 @@ so many times"; documents are dealt to its slots by their rank within their leng
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -25,60 +26,64 @@ from .common import materialise, table
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words a worker keeps the ids of; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 #: Pieces of one length that are ranked by one task.
 RANK_ROWS = 50_000
 #: Control characters that str.split takes for white space and the tokenizer does not.
 ODD = "\x1c\x1d\x1e\x1f"
 #: Marks that end a word; between a letter or digit and these the tokenizer always cuts.
 MARKS = ".,!?;:%&*$#|"
+#: Letters whose composition and lower case need no look at their neighbours.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Byte-level BPE writes each byte as a character; these are the bytes outside ASCII that it moves.
+SHOWN = {b: 256 + 33 + 1 + i for i, b in enumerate([*range(0x80, 0xA1), 0xAD])}
 
 _WORKER: dict = {}
 
 
-class WordEncoder:
-    """Ids of texts as little-endian 32-bit bytes, word by word with a cache.
+class WordEncoder(dict):
+    """Ids of texts as little-endian 32-bit bytes, word by word; the mapping caches words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words'
-    ids in turn.
+    ids in turn. A word of plain letters with marks behind it is two tokens to the tokenizer's
+    splitter, so the letters go to its merges at once; all other words go through the whole of it.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in done]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge, self.cores = self.tokenizer.model.tokenize, {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(MARKS)
+        if LETTERS.fullmatch(core):
+            low = core.lower()
+            ids = self.cores.get(low)
+            if ids is None:
+                shown = low if low.isascii() else low.encode().decode("latin-1").translate(SHOWN)
+                ids = self.cores[low] = b"".join([t.id.to_bytes(4, "little") for t in self.merge(shown)])
+            if len(core) != len(word):
+                ids += self[word[len(core) :]]
+        else:
+            ids = self._ids(word)
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for text in texts:
             text = text or ""
             if any(c in text for c in ODD):
-                yield self._ids([text])[0]
+                yield self._ids(text)
                 continue
-            words = text.split()
-            new = set(words).difference(self.cache)
-            if new:
-                if len(self.cache) + len(new) > CACHE_WORDS:
-                    self.cache.clear()
-                    new = set(words)
-                self._learn(new)
-            yield b"".join(map(self.cache.__getitem__, words))
-
-    def _learn(self, new: set[str]) -> None:
-        split = {}
-        for w in new:
-            core = w.rstrip(MARKS)
-            split[w] = (core, w[len(core) :]) if core and core != w and core[-1].isalnum() else (w,)
-        parts = {p for ps in split.values() for p in ps if p not in self.cache}
-        parts = list(parts)
-        known = dict(zip(parts, self._ids(parts), strict=True))
-        for w, ps in split.items():
-            self.cache[w] = b"".join(known[p] if p in known else self.cache[p] for p in ps)
-        for p in parts:
-            self.cache.setdefault(p, known[p])
+            if len(self) > CACHE_WORDS:
+                self.clear()
+                self.cores.clear()
+            yield b"".join(map(self.__getitem__, text.split()))
 
 
 def encoder(path: str) -> WordEncoder:
