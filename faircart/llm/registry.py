@@ -1,11 +1,14 @@
 """Driver queries of this subpackage and, where SQL can express one, its DuckDB text."""
 
-from . import decontam, packing, simhash, warc
+from . import ann, decontam, license_scan, packing, pii, simhash, warc
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
     "op2_simhash": simhash.op2_simhash,
     "op3_warc": warc.op3_warc,
+    "op5_pii": pii.op5_pii,
     "op7_packing": packing.op7_packing,
+    "op8_licenses": license_scan.op8_licenses,
     "op10_decontam": decontam.op10_decontam,
 }
 
