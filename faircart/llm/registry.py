@@ -1,14 +1,17 @@
 """Driver queries of this subpackage and, where SQL can express one, its DuckDB text."""
 
-from . import ann, decontam, license_scan, packing, pii, simhash, warc
+from . import ann, decontam, license_scan, lm, packing, pii, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
     "op2_simhash": simhash.op2_simhash,
     "op3_warc": warc.op3_warc,
+    "op4_urls": urlfilter.op4_urls,
     "op5_pii": pii.op5_pii,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_packing": packing.op7_packing,
     "op8_licenses": license_scan.op8_licenses,
+    "op9_lm": lm.op9_lm,
     "op10_decontam": decontam.op10_decontam,
 }
 
