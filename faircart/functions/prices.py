@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import units
-from .text import ascii_words, ci, find_all, group, js_round, matches, number_text, squeezed_alnum, to_fixed, trim_zeros  # noqa: F401
+from .text import ascii_words, ci, find_all, group, js_round, let, matches, to_fixed, trim_zeros
 
 UNIT = units.unit_pattern()
 # The patterns of the parsers. NUM is a number, AFTER what may follow a unit.
@@ -117,35 +117,40 @@ def parse_quantities(text: Column) -> Column:
     First of equal (value, unit, place) wins. Numbers after letters, digits, slashes, "per" or
     currency signs are no quantities, nor are five-digit codes before a count word.
     """
-    num = lambda m, p, n: group(m.value, p, n).cast("double")
-    spans, found = [], []
-    for pattern, rank, value, unit in (
-        (ci(PACK_OF), 2, lambda m, p: num(m, p, 1) * num(m, p, 2), 3),
-        (ci(TIMES), 3, lambda m, p: num(m, p, 1) * num(m, p, 2), 3),
-        (ci(WIDTH_BY_LENGTH), 3, lambda m, p: num(m, p, 1), 2),
-        (ci(PER_CASE), 2, lambda m, p: num(m, p, 1), None),
-    ):
-        spans.append(find_all(text, pattern))
-
-        def one(m, pattern=pattern, rank=rank, value=value, unit=unit):
-            return _quantity(m, value(m, pattern), F.lit("each") if unit is None else group(m.value, pattern, unit), rank)
-
-        found.append(F.transform(spans[-1], _unary(one)))
-    taken, plain = F.concat(*spans), ci(PLAIN)
-
-    def free(m):
-        before = F.lower(F.substring(text, F.greatest(m.start - 12, F.lit(0)) + 1, F.least(m.start, F.lit(12))))
-        return ~(
-            F.exists(taken, lambda t: (m.start >= t.start) & (m.start < t.end))
-            | before.rlike("[a-z0-9]$")
-            | before.rlike(r"(?:/|per\s+|¢\s*)$")
-            | F.substring(before, F.greatest(F.length(before) - 3, F.lit(1)), F.lit(4)).rlike(r"[$€£]\s*$")
-        )
+    forms = (
+        (ci(PACK_OF), 2, (1, 2), 3),
+        (ci(TIMES), 3, (1, 2), 3),
+        (ci(WIDTH_BY_LENGTH), 3, (1,), 2),
+        (ci(PER_CASE), 2, (1,), None),
+    )
+    plain = ci(PLAIN)
+
+    def composite(m, pattern, rank, numbers, unit):
+        value = reduce(lambda a, b: a * b, [group(m.value, pattern, n).cast("double") for n in numbers])
+        return _quantity(m, value, F.lit("each") if unit is None else group(m.value, pattern, unit), rank)
+
+    def body(spans):
+        # spans: one array of matches for each form, in order
+        found = [
+            F.transform(spans[i], _unary(lambda m, form=form: composite(m, *form))) for i, form in enumerate(forms)
+        ]
+        taken = F.flatten(spans)
+
+        def free(m):
+            before = F.lower(F.substring(text, F.greatest(m.start - 12, F.lit(0)) + 1, F.least(m.start, F.lit(12))))
+            close = F.substring(before, F.greatest(F.length(before) - 3, F.lit(1)), F.lit(4))
+            return ~(before.rlike(r"(?:[a-z0-9]|/|per\s+|¢\s*)$") | close.rlike(r"[$€£]\s*$"))
+
+        def outside(taken):
+            return F.filter(find_all(text, plain), lambda m: ~F.exists(taken, lambda t: (m.start >= t.start) & (m.start < t.end)) & free(m))
+
+        rest = F.transform(let(taken, outside), lambda m: _quantity(m, group(m.value, plain, 1).cast("double"), group(m.value, plain, 2), 2))
+        return F.concat(*found, rest)
 
-    found.append(F.transform(F.filter(find_all(text, plain), free), lambda m: _quantity(m, num(m, plain, 1), group(m.value, plain, 2), 2)))
     code = lambda q: (q.unit == "each") & (q.value >= 10_000) & q.source.rlike(r"(?i)^\d{5,}(?:ct\.?|count|each|ea)$")
-    valid = F.filter(F.concat(*found), lambda q: q.unit.isNotNull() & (q.value > 0) & (q.value <= 100_000) & ~code(q))
-    return dedupe_quantities(valid)
+    found = let(F.array(*(find_all(text, form[0]) for form in forms)), body)
+    valid = F.filter(found, lambda q: q.unit.isNotNull() & (q.value > 0) & (q.value <= 100_000) & ~code(q))
+    return F.when(text.rlike(r"\d"), dedupe_quantities(valid)).otherwise(F.when(text.isNotNull(), F.array().cast(QUANTITY)))
 
 
 def _unary(f):
@@ -155,8 +160,16 @@ def _unary(f):
 def dedupe_quantities(quantities: Column) -> Column:
     """The first of equal (value, unit, place)."""
     key = lambda q: F.struct(q.value.alias("v"), q.unit.alias("u"), q.idx.alias("i"))
-    keys = F.transform(quantities, key)
-    return F.filter(quantities, lambda q, i: F.array_position(keys, key(q)) == i + 1)
+    return _first_of_equal(quantities, key)
+
+
+def _first_of_equal(items: Column, key) -> Column:
+    """Elements whose key no earlier element has."""
+
+    def body(xs):
+        return let(F.transform(xs, _unary(key)), lambda keys: F.filter(xs, lambda x, i: F.array_position(keys, key(x)) == i + 1))
+
+    return let(items, body)
 
 
 def pack_count(text: Column) -> Column:
@@ -185,8 +198,7 @@ def parse_factored(text: Column) -> Column:
         parts.append(F.transform(find_all(text, pattern), _unary(one)))
     valid = F.filter(F.concat(*parts), lambda x: x.unit.isNotNull() & (x.value > 0) & (x.pack_count > 1))
     key = lambda x: F.struct(x.value.alias("v"), x.pack_count.alias("k"), x.unit.alias("u"))
-    keys = F.transform(valid, key)
-    return F.filter(valid, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    return _first_of_equal(valid, key)
 
 
 def dimension_preference(dimension: Column) -> Column:
@@ -195,17 +207,14 @@ def dimension_preference(dimension: Column) -> Column:
 
 def select_quantity(quantities: Column, preferred: Column | None = None) -> Column:
     """The quantity that says most: by dimension, then rank, then value; ties to the first."""
-    pool = quantities
-    if preferred is not None:
-        own = F.filter(quantities, lambda q: q.dimension == preferred)
-        pool = F.when(F.size(own) > 0, own).otherwise(quantities)
-    order = F.transform(
-        pool,
-        lambda q, i: F.struct(
-            (-dimension_preference(q.dimension)).alias("d"), (-q["rank"]).alias("r"), (-q.value).alias("v"), i.alias("i"), q.alias("q")
-        ),
-    )
-    return F.try_element_at(F.array_sort(order), F.lit(1)).q
+    other = F.lit(0) if preferred is None else None
+
+    def ordered(q, i):
+        apart = other if other is not None else F.when(q.dimension == preferred, 0).otherwise(1)
+        keys = (apart.alias("o"), (-dimension_preference(q.dimension)).alias("d"), (-q["rank"]).alias("r"), (-q.value).alias("v"))
+        return F.struct(*keys, i.alias("i"), q.alias("q"))
+
+    return F.try_element_at(F.array_sort(F.transform(quantities, ordered)), F.lit(1)).q
 
 
 def format_price(cents: Column, unit: Column) -> Column:

@@ -38,14 +38,26 @@ def squeeze(text: Column) -> Column:
 AHEAD = ascii_words(r"(?=\b|\W)")
 
 
+def let(value: Column, body) -> Column:
+    """``body(x)`` with ``x`` bound to ``value``, which is computed once however often ``x`` is used.
+
+    Expressions inside a lambda are else computed again for each element.
+    """
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """All matches left to right: ``array<struct<start, end, value>>``, in characters from 0.
 
     The pieces between matches give the places, so no Python runs.
     """
     kind = "array<struct<start:int,end:int,value:string>>"
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("value")))
+    pieces = F.split(text, pattern, -1)
+
+    def pairs(found):
+        return F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("value")))
+
+    pairs = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pairs)
 
     def step(acc, x):
         start = acc.at + x.gap

@@ -3,7 +3,7 @@
 The kernel compares two words by their common subsequences of three characters, each weighted
 by a decay to the power of the span it takes up, so that inserted or missing characters weaken a match
 instead of ending it. Landmarks are words that labelled toxic texts hold far more often than
-others, and common words. A text is the vector of its best kernel value with each landmark; the
+others. A text is the vector of its best kernel value with each landmark; the
 Nyström map whitens it and a support vector machine, fitted on labelled texts, separates.
 """
 
@@ -26,12 +26,14 @@ GAPS = [(a, b, DECAY ** (a + b + 1)) for a in range(1, SPAN) for b in range(1, S
 #: Longer words are compared in overlapping pieces of this many characters.
 PIECE = 24
 #: Labelled texts the classifier is fitted on at most, chosen by a hash of their id.
-SAMPLE = 20_000
-LANDMARKS, COMMON, SHORTLIST = 96, 32, 600
+SAMPLE = 12_000
+LANDMARKS, SHORTLIST = 96, 600
 #: Words a worker keeps the kernel values of; beyond it the cache starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
+#: Texts whose words are looked at together.
+SLICE = 500
 #: Kernel values below this say nothing and count as none.
-FLOOR = 0.3
+FLOOR = 0.4
 MARK = re.compile(r"[\W_]+")
 SPACED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
 
@@ -80,19 +82,28 @@ class Kernel:
         self.weights = np.zeros((len(features) + 1, len(landmarks)), np.float32)
         for i, (t, vector) in enumerate(features.items(), 1):
             self.index[t], self.weights[i] = i, vector
+        #: The most that one occurrence of a subsequence can add to any kernel value.
+        self.most = self.weights.max(1, initial=0)[self.index]
 
-    def values(self, words: list[str]) -> np.ndarray:
-        """Kernel values, shape (words, landmarks), at most 1 for all but repetitive words."""
+    def values(self, words: list[str], floor: float = 0.0) -> np.ndarray:
+        """Kernel values, shape (words, landmarks), at most 1 for all but repetitive words.
+
+        Words that a bound on all their values puts under ``floor`` are left at 0.
+        """
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         for at in range(0, len(words), 4096):
             codes = codes_of(words[at : at + 4096])
-            part = out[at : at + 4096]
+            size, bound = norms(codes), np.zeros(len(codes), np.float32)
             for t, weight in triples(codes):
+                bound += np.float32(weight) * self.most[t].sum(1)
+            able = np.flatnonzero(bound >= floor * size)
+            part = np.zeros((len(able), len(self.landmarks)), np.float32)
+            for t, weight in triples(codes[able]):
                 found = self.index[t]
                 for col in np.flatnonzero(found.any(0)):
                     own = np.flatnonzero(found[:, col])
                     part[own] += np.float32(weight) * self.weights[found[own, col]]
-            part /= norms(codes)[:, None]
+            out[at + able] = part / size[able, None]
         return np.minimum(out, 1)
 
 
@@ -116,22 +127,26 @@ class Pooler:
         self.kernel, self.known, self.rows = kernel, {}, []
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        sets = [words_of(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.rows = {}, []
-        new = list(set().union(*sets).difference(self.known))
+        return np.concatenate([self._slice(texts[i : i + SLICE]) for i in range(0, max(1, len(texts)), SLICE)])
+
+    def _learn(self, new: list[str]) -> None:
         # Marks inside a word are gaps at no cost: the better of the word and its bare letters counts.
-        values = self.kernel.values(new)
+        values = self.kernel.values(new, FLOOR)
         marked = [i for i, w in enumerate(new) if not w.isalpha()]
         if marked:
-            values[marked] = np.maximum(values[marked], self.kernel.values([MARK.sub("", new[i]) for i in marked]))
+            bare = self.kernel.values([MARK.sub("", new[i]) for i in marked], FLOOR)
+            values[marked] = np.maximum(values[marked], bare)
         told = values.max(1, initial=0) >= FLOOR
-        for w, v, t in zip(new, values, told.tolist(), strict=True):
-            if t:
-                self.rows.append(np.where(v >= FLOOR, v, 0))
-                self.known[w] = len(self.rows)
-            else:
-                self.known[w] = 0
+        self.known.update(dict.fromkeys(new, 0))
+        for i in np.flatnonzero(told).tolist():
+            self.rows.append(np.where(values[i] >= FLOOR, values[i], 0).astype(np.float16))
+            self.known[new[i]] = len(self.rows)
+
+    def _slice(self, texts: list[str | None]) -> np.ndarray:
+        sets = [words_of(t) for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.rows = {}, []
+        self._learn(list(set().union(*sets).difference(self.known)))
         out = np.zeros((len(texts), len(self.kernel.landmarks)))
         for i, words in enumerate(sets):
             if hits := {*map(self.known.__getitem__, words)} - {0}:
@@ -195,15 +210,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * f + self.b, -30, 30)))
 
 
-def choose_landmarks(toxic: list[str], common: list[str]) -> list[str]:
-    """The first words of ``toxic`` that no earlier one nearly equals, and the common words."""
+def choose_landmarks(toxic: list[str]) -> list[str]:
+    """The first words of ``toxic`` that no earlier one nearly equals."""
     bare = list(dict.fromkeys(w for w in (re.sub(r"^\W+|\W+$", "", x)[:PIECE] for x in toxic) if w))
     k, kept = Kernel(bare).values(bare) if bare else np.zeros((0, 0)), []
     for i in range(len(bare)):
         if len(kept) < LANDMARKS and all(k[i, j] < 0.9 for j in kept):
             kept.append(i)
-    chosen = [bare[i] for i in kept]
-    return chosen + [w for w in dict.fromkeys(w[:PIECE] for w in common) if w not in chosen][:COMMON]
+    return [bare[i] for i in kept]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -228,8 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ratio = part(F.col("k"), rate) + part(F.col("n") - F.col("k"), 1 - rate)
     counts = counts.withColumn("g", F.when(F.col("k") > F.col("n") * rate, ratio).otherwise(-ratio))
     toxic = [r.w for r in counts.where("g > 3").orderBy(F.desc("g"), "w").limit(SHORTLIST).collect()]
-    common = [r.w for r in counts.where("g < 1").orderBy(F.desc("n"), "w").limit(COMMON).collect()]
-    kernel = Kernel(choose_landmarks(toxic, common) or ["-"])
+    kernel = Kernel(choose_landmarks(toxic) or ["-"])
     sent = spark.sparkContext.broadcast(kernel)
 
     def run(batches):

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import price_plans
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**price_plans.QUERIES}
+ORACLE_SQL: dict[str, str] = {**price_plans.ORACLE_SQL}
