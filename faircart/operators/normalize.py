@@ -147,12 +147,14 @@ def normalize(products: DataFrame, preferences: dict | None = None) -> DataFrame
         .when(rates_agree(n["cents"], p["cents"]), "native")
         .otherwise("abstain")
     )
-    rows = rows.withColumn("choice", choice)
-    picked = F.when(F.col("choice") == "native", n).when(F.col("choice") == "package", p)
-    unit = F.when(F.col("choice") == "native", own["unit"]).when(F.col("choice") == "package", package["unit"])
-    rows = rows.withColumn("normalized", picked)
-    rows = rows.withColumn("warnings", F.when(picked.isNotNull(), warnings(title, F.col("pack_count"), unit, picked["unit"])))
-    return rows.drop("_fluid", "_native", "_ok", "_times", "_n", "_p")
+    rows = rows.withColumn("_choice", choice)
+    picked = F.when(F.col("_choice") == "native", n).when(F.col("_choice") == "package", p)
+    unit = F.when(F.col("_choice") == "native", own["unit"]).when(F.col("_choice") == "package", package["unit"])
+    told = F.when(picked.isNotNull(), warnings(title, F.col("pack_count"), unit, picked["unit"]))
+    # Filters on the outcome stop at the explode; pushed below it they would repeat all these expressions.
+    outcome = F.struct(F.col("_choice").alias("choice"), picked.alias("normalized"), told.alias("warnings"))
+    rows = rows.withColumn("_out", F.explode(F.array(outcome)))
+    return rows.select(*(F.col(c) for c in products.columns), "_out.*")
 
 
 def extract(cards: DataFrame, preferences: dict | None = None) -> DataFrame:
