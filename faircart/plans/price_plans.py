@@ -377,7 +377,8 @@ def price_audit(spark, sf_dir):
 
 @query(
     "card_scores",
-    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 13 WHEN 2 THEN 12 ELSE 0 END AS score FROM orders""",
+    # Amount 4, rate 4, product word 3, link 2, then an action word 1 or a picture 1.
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 4 + 4 + 3 + 2 + 1 WHEN 2 THEN 4 + 4 + 3 + 2 + 1 ELSE 0 END AS score FROM orders""",
 )
 def card_scores(spark, sf_dir):
     """How much an element looks like a product card."""
