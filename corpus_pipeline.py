@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faircart.llm import decontam, packing, pii, simhash, toxicity
+from faircart.llm import decontam, packing, pii, similar, toxicity
 from faircart.llm.common import materialise, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,21 +23,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash class stays: its smallest doc_id.
+    """One row of each class of texts linked by a Jaccard similarity of 0.8 over five-word shingles stays.
 
-    Of repeated rows of that id one stays. Rows without an id that are in a class of their own stay,
-    one per class.
+    It is the smallest by doc_id (null last), then text, then row key.
     """
-    classes = simhash.near_duplicates(docs)
-    kept = materialise(classes.where("doc_id <=> component_id").select("doc_id", "fingerprint").distinct(), "kept")
-    named = docs.join(kept.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    # An id stands once, unless the input repeats it: then its smallest text stays.
-    one = Window.partitionBy("doc_id").orderBy("text")
-    named = named.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    nameless = docs.where("doc_id is null")
-    if kept.where("doc_id is null").isEmpty():
-        return named.select(*docs.columns)
-    return named.select(*docs.columns).unionByName(nameless.dropDuplicates(["text"]).select(*docs.columns))
+    tagged, key, label = similar.classes(docs)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text"), F.col(key).alias("k"))
+    kept = tagged.groupBy(label).agg(F.min(order).alias("first")).select(F.col("first.k").alias(key))
+    return tagged.join(kept, key, "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,15 +30,15 @@ BLOCK = 8192
 KEY_BITS = 40
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """SimHash of a whole text as an unsigned integer.
+def shingle_hashes(text: str | None, words: int = 4, seed: int = 42) -> Iterator[np.ndarray]:
+    """64-bit hashes of all word shingles of a whole text, repeats included, in parts.
 
-    A-Z are lower-cased, words are runs without ASCII white space, shingles count with
-    their repeats. Null, empty and blank texts give 0.
+    A-Z are lower-cased, words are runs without ASCII white space; a text of fewer words is one
+    shingle. Null, empty and blank texts give nothing.
     """
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -46,13 +46,26 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
         starts, ends = starts[: len(tokens) - words + 1], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), 16384):
         pairs = zip(starts[at : at + 16384].tolist(), ends[at : at + 16384].tolist(), strict=True)
-        h = np.array([digest(joined[a:b], seed) for a, b in pairs], dtype="<u8")
+        yield np.array([digest(joined[a:b], seed) for a, b in pairs], dtype="<u8")
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """SimHash of a whole text as an unsigned integer.
+
+    A-Z are lower-cased, words are runs without ASCII white space, shingles count with
+    their repeats. Null, empty and blank texts give 0.
+    """
+    counts, total = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, words, seed):
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    set_bits = np.packbits(counts * 2 > len(starts), bitorder="little")
+        total += len(h)
+    if not total:
+        return 0
+    set_bits = np.packbits(counts * 2 > total, bitorder="little")
     return int.from_bytes(set_bits.tobytes(), "little")
 
 

@@ -1,0 +1,68 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from faircart.llm import similar
+
+
+def shingles(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def brute(rows):
+    """The smallest (doc_id, text) of each component of pairs at 0.8 or more."""
+    sets, group = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                group[root(i)] = root(j)
+    least = {}
+    for i, (d, t) in enumerate(rows):
+        mark = (d is None, d or 0, t is not None, t or "")
+        least[root(i)] = min(mark, least.get(root(i), mark))
+    return sorted(((None if a else d, t if b else None) for a, d, b, t in least.values()), key=str)
+
+
+def near_copies(seed=5):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    rows = []
+    for d in range(60):
+        words = rng.choices(vocab, k=rng.choice([1, 3, 5, 40, 60, 200]))
+        rows.append((d, " ".join(words)))
+        for c in range(rng.choice([0, 1, 3])):
+            copy = list(words)
+            for _ in range(max(1, len(words) // 60)):
+                copy[rng.randrange(len(copy))] = "changed"
+            rows.append((1000 + 10 * d + c, " ".join(copy)))
+    return rows
+
+
+def kept(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row_key", "'x' as class", "2 as text_")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), None)
+    assert out.columns == docs.columns
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rows = near_copies()
+    rows += [(None, rows[0][1]), (5000, None), (5001, ""), (5002, "long " * 50_000)]
+    want = brute(rows)
+    assert kept(spark, rows) == want and len(want) < len(rows)
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_blocks_lose_no_pair(spark, block):
+    rows = near_copies(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tagged, _, label = similar.classes(docs, block=block)
+    assert tagged.groupBy(label).agg({"doc_id": "min"}).count() == len(brute(rows))
