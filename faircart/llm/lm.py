@@ -29,8 +29,8 @@ VOCAB = CLASSES * CLASS_SIZE
 #: Input ids behind the vocabulary: other words by a hash of their last letters.
 TAILS = 64
 HIDDEN, WINDOW, STREAMS = 16, 32, 64
-#: Share of every training document that each round learns from, at a place of its own.
-SHARE, ROUNDS, RATE = 1 / 16, 2, 0.01
+#: Each round learns from other training documents, whole; together the rounds cover all.
+ROUNDS, RATE = 2, 0.01
 #: Distinct words a task counts before it passes them on.
 COUNT_WORDS = 200_000
 #: Documents that are scored together.
@@ -256,13 +256,16 @@ class Trainer:
         groups = [sequences[i : i + STREAMS] for i in range(0, len(sequences), STREAMS)]
         for k in np.random.default_rng(len(sequences)).permutation(len(groups)).tolist():
             group = groups[k]
-            length = len(group[0][0])
-            x, y = np.zeros((length, len(group)), np.int64), np.full((length, len(group)), -1)
-            for i, (a, b) in enumerate(group):
-                x[: len(a), i], y[: len(b), i] = a, b
+            lengths = np.array([len(a) for a, _ in group])
             h = np.zeros((len(group), HIDDEN), np.float32)
-            for at in range(0, length, WINDOW):
-                h = self.update(x[at : at + WINDOW], y[at : at + WINDOW], h)
+            for at in range(0, int(lengths[0]), WINDOW):
+                alive = int(np.searchsorted(-lengths, -at, "left"))
+                steps = min(WINDOW, int(lengths[0]) - at)
+                x, y = np.zeros((steps, alive), np.int64), np.full((steps, alive), -1)
+                for i in range(alive):
+                    part = group[i][0][at : at + steps]
+                    x[: len(part), i], y[: len(part), i] = part, group[i][1][at : at + steps]
+                h = self.update(x, y, h[:alive])
 
 
 def sequence(lexicon: Lexicon, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,11 +275,11 @@ def sequence(lexicon: Lexicon, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return x, y
 
 
-def train(docs: DataFrame, lexicon, rounds: int = ROUNDS, share: float = SHARE) -> GatedModel:
+def train(docs: DataFrame, lexicon, rounds: int = ROUNDS) -> GatedModel:
     """Rounds of local training in every task and weighted averaging of the replicas.
 
-    In each round every training document gives a connected part of ``share`` of its tokens, from
-    another place each round. The sums have one row per weight, however many tasks there are.
+    Every training document is learnt from in one round, whole and with its state carried from window
+    to window, so that each token reaches a gradient once. The sums have one row per weight, however many tasks there are.
     """
     spark = docs.sparkSession
     model = GatedModel.start(lexicon.value)
@@ -288,22 +291,14 @@ def train(docs: DataFrame, lexicon, rounds: int = ROUNDS, share: float = SHARE)
         def run(batches, k=k, sent=sent):
             trainer = Trainer(GatedModel(sent.value.copy()))
             for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
-                held = []
-                for x, h in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                    words = words_of(x.as_py())
-                    n = len(words) + 1
-                    take = max(1, int(n * share))
-                    at = (h + k * (n // rounds)) % (n - take + 1)
-                    ids = lexicon.value.ids(words[max(0, at - 1) : at + take])
-                    a, y = sequence(lexicon.value, ids)
-                    cut = 1 if at else 0
-                    held.append((a[cut : cut + take], y[cut : cut + take]))
+                held = [sequence(lexicon.value, lexicon.value.ids(words_of(x.as_py()))) for x in b.column(0)]
                 trainer.fit(held)
             if trainer.tokens:
                 columns = [np.arange(size), trainer.model.flat.astype(np.float64) * trainer.tokens, np.full(size, float(trainer.tokens))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "wx", "w"])
 
-        sums = rows.mapInArrow(run, "i long, wx double, w double").groupBy("i").agg((F.sum("wx") / F.sum("w")).alias("x")).collect()
+        part = rows.where(F.pmod("h", F.lit(rounds)) == k).select("text")
+        sums = part.mapInArrow(run, "i long, wx double, w double").groupBy("i").agg((F.sum("wx") / F.sum("w")).alias("x")).collect()
         if sums:
             flat = np.zeros(size, np.float32)
             flat[[r.i for r in sums]] = [r.x for r in sums]

@@ -99,3 +99,32 @@ def test_empty(spark):
     held = [d for d in range(50) if fold(d) == 1][:2]
     got = lm.score(spark.createDataFrame([(d, "a b") for d in held], "doc_id long, text string")).collect()
     check([tuple(r)[:6] for r in got], brute([(d, "a b") for d in held]))
+
+
+def test_training_reads_every_token(spark, monkeypatch, tmp_path):
+    rows = [(d, " ".join(f"w{(d + i) % 50}" for i in range(n))) for d, n in enumerate([0, 1, 20, 31, 32, 33, 100, 700] * 3)]
+    lex, log = spark.sparkContext.broadcast(lexicon()), str(tmp_path)
+
+    class Told:
+        tokens = 0
+
+        def __init__(self, model):
+            pass
+
+        def fit(self, sequences):
+            for _, y in sequences:
+                with open(f"{log}/seen", "a") as f:
+                    f.write(f"{len(y)}\n")
+
+    monkeypatch.setattr(lm, "Trainer", Told)
+    lm.train(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), lex)
+    seen = sorted(int(n) for n in (tmp_path / "seen").read_text().split())
+    assert seen == sorted(len(tokens(t)) for _, t in rows)
+
+
+def test_fit_carries_state_over_all_windows():
+    model = lm.GatedModel.start(lexicon())
+    trainer, update, windows = lm.Trainer(model), lm.Trainer.update, []
+    trainer.update = lambda x, y, h: windows.append((int((y >= 0).sum()), bool(h.any()))) or update(trainer, x, y, h)
+    trainer.fit([(np.full(n, 3), np.full(n, 4)) for n in (100, 33, 1)])
+    assert [n for n, _ in windows] == [32 + 32 + 1, 32 + 1, 32, 4] and [c for _, c in windows] == [False, True, True, True]
