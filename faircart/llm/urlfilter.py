@@ -3,6 +3,10 @@
 A page's own rule decides first. A page without one takes the decision of its redirect
 equivalence class: the connected component of its URL over redirects and canonical links. In
 a class, an explicit allow on any URL comes before any block.
+
+Edges are canonical links and refresh redirects in the pages, recorded redirects, and the
+canonical form of every URL (http for https, no default port, no tracking parameters, no default
+document, no slash at the end), to which servers redirect its other spellings.
 """
 
 from __future__ import annotations
@@ -54,6 +58,23 @@ def url_node(url: Column) -> Column:
     return F.when(whole != "", F.concat(ascii_lower(whole), F.when(rest == "", "/").otherwise(rest)))
 
 
+#: Query parameters that only track a visit, default ports and default documents.
+TRACKING = r"^(?:utm_[a-z]+|gclid|fbclid|msclkid|ref)="
+DEFAULT_PORT = r"^(http://[^/?]*):(?:80|443)(?=[/?]|$)"
+DEFAULT_DOCUMENT = r"/(?:index\.(?:html?|php)|default\.aspx?)$"
+
+
+def canonical_node(node: Column) -> Column:
+    """The canonical spelling of a URL node, itself a node."""
+    plain = F.regexp_replace(F.regexp_replace(node, "^https://", "http://"), DEFAULT_PORT, "$1")
+    address, query = F.regexp_extract(plain, r"(?s)^[^?]*", 0), F.regexp_extract(plain, r"(?s)\?(.*)$", 1)
+    address = F.regexp_replace(address, DEFAULT_DOCUMENT, "/")
+    short = F.regexp_replace(address, r"(?<=[^/:])/+$", "")
+    root = short.rlike(r"^[^:/?#]*://[^/]*$")
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
+    return F.concat(short, F.when(root, "/").otherwise(""), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+
+
 def resolved(base: Column, link: Column) -> Column:
     """An HTML link against the URL of its page; null if there is nothing to point to."""
     link = F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
@@ -96,7 +117,11 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, def
     edges = page_links(pages)
     if redirects is not None:
         edges = edges.unionByName(redirects.select("src", "dst"))
-    edges = materialise(edges.select(url_node(F.col("src")).alias("src"), url_node(F.col("dst")).alias("dst")), "url-edges")
+    edges = edges.select(url_node(F.col("src")).alias("src"), url_node(F.col("dst")).alias("dst")).where("src is not null and dst is not null")
+    # Every end of an edge, and every page's own URL, stands in one class with its canonical spelling.
+    named = pages.select(url_node(F.col("url").cast("string")).alias("node")).unionByName(edges.select(F.explode(F.array("src", "dst")).alias("node")))
+    spelt = named.select(F.col("node").alias("src"), canonical_node(F.col("node")).alias("dst")).where("src <> dst").distinct()
+    edges = materialise(edges.unionByName(spelt), "url-edges")
     classes = connected_components(edges)
     host, path = host_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))

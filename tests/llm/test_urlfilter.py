@@ -24,8 +24,20 @@ def node(url):
     return m[1].lower() + (m[2] or "/") if m else None
 
 
+def canonical(n):
+    n = re.sub("^https://", "http://", n)
+    n = re.sub(r"^(http://[^/?]*):(80|443)(?=[/?]|$)", r"\1", n)
+    address, _, query = n.partition("?")
+    address = re.sub(r"/(index\.html?|index\.php|default\.aspx?)$", "/", address)
+    scheme, rest = address.split("://", 1)
+    host, _, path = rest.partition("/")
+    path = path.rstrip("/")
+    kept = [p for p in query.split("&") if p and not re.match("(utm_[a-z]+|gclid|fbclid|msclkid|ref)=", p)]
+    return f"{scheme}://{host}/{path}" + ("?" + "&".join(kept) if kept else "")
+
+
 def brute(rows, redirects=()):
-    edges = list(redirects)
+    edges = [e for e in redirects if node(e[0]) and node(e[1])]
     for _, url, html in rows:
         for tag in re.findall(r"(?i)<link[^>]*canonical[^>]*>|<meta[^>]*refresh[^>]*>", html or ""):
             link = re.search(r"(?i)(?:href|url)\s*=\s*[\"']?([^\"'\s>]+)", tag)
@@ -38,9 +50,10 @@ def brute(rows, redirects=()):
             x = group[x]
         return x
 
-    for a, b in edges:
-        if node(a) and node(b):
-            group[root(node(a))] = root(node(b))
+    nodes = {node(u) for _, u, _ in rows} | {node(u) for e in edges for u in e}
+    for a, b in [(node(a), node(b)) for a, b in edges] + [(n, canonical(n)) for n in nodes if n]:
+        if a and b:
+            group[root(a)] = root(b)
     kinds = {}
     for n in list(group):
         if rule(n):
@@ -76,6 +89,10 @@ ROWS = [
     (18, "https://hop0.org/", ""),
     (None, "https://hop9.org/", ""),
     (3, "https://a.org/x", LINK % "http://a.example.com/en/1"),
+    (20, "https://f.org:443/a/index.html?utm_source=feed&k=1", LINK % "http://net/fr/1"),
+    (21, "http://f.org/a?k=1&ref=x#top", ""),
+    (22, "http://g.org:80", ""),
+    (23, "https://G.org/?gclid=5", LINK % "http://com/a"),
     (19, "https://long.org/" + "x" * 100_000, "<p>" * 50_000),
 ]
 
@@ -87,6 +104,8 @@ def test_matches_brute_force(spark):
     redirects = spark.createDataFrame(hops, "src string, dst string")
     got = sorted((tuple(r) for r in uf.judge(pages.repartition(3), redirects=redirects).collect()), key=str)
     assert got == brute(ROWS, hops)
+    decided = {r[0]: r[4] for r in got}
+    assert decided[20] == decided[21] == "block" and decided[22] == decided[23] == "allow"
     verdict = {(r[0], r[1]): r[4] for r in got}
     assert verdict[3, "a.org"] == verdict[4, "b.org"] == "block" and verdict[8, "e.org"] == "allow"
     assert verdict[18, "hop0.org"] == verdict[None, "hop9.org"] == "block"
@@ -96,3 +115,12 @@ def test_empty_and_query(spark, sf_dir):
     assert uf.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
     assert sorted((tuple(r) for r in uf.op4_urls(spark, sf_dir).collect()), key=str) == brute(rows)
+
+
+def test_pages_hold_aliases(spark):
+    """In the given pages other spellings stand beside one another; they agree in host and path, so in the verdict."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    node = pages.select(uf.url_node(pages.url).alias("node"))
+    spelt = node.select("node", uf.canonical_node(node.node).alias("canonical"))
+    assert spelt.where("node <> canonical").count() > 1_000
+    assert spelt.groupBy("canonical").count().where("count > 1").count() > 0
