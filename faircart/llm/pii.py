@@ -1,10 +1,14 @@
 """Personal data in text: pattern spans, and terms that give protected entities away.
 
 DataFrame functions only. E-mail addresses, IP addresses, card and phone numbers are found with
-their places. Each distinct value is a protected entity. A term near an entity discloses the share
-``PMI(entity, term) / IC(entity)`` of it, with pointwise mutual information and information
-content estimated from document counts over the whole corpus; 1 means the term names the entity as
-surely as the entity itself. Terms above one threshold are generalised, above a higher one removed.
+their places. Protected entities are the values themselves and the groups they belong to (mail domain,
+network, card issuer, dialling prefix), so that a value that stands once is protected with its group.
+A term that stands in a text with an entity discloses the share ``PMI(entity, term) / IC(entity)`` of it,
+with pointwise mutual information and information content estimated from row counts over the whole
+corpus; 1 means that the term names the entity as surely as the entity itself. Rare pairs are
+discounted by ``m/(m+1) * k/(k+1)``, where ``m`` distinct texts hold both and ``k`` rows the rarer of the two.
+Terms above one threshold are generalised, above a higher one removed, wherever they stand in a text
+that holds the entity.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, table
+from .common import materialise, table
 
 #: Patterns by kind, in the order of the results. The possessive and bounded forms match what
 #: the plain ones do, leftmost and without overlap, but in linear time and bounded stack: a start
@@ -25,16 +29,16 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = r"\p{L}{3,}+"
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
-#: Characters on either side of an entity in which terms are looked for.
-WINDOW = 60
-#: Distinct texts in which a term must stand near an entity before it can count as disclosing it.
-SUPPORT = 3
+#: Kinds of entities: the four kinds of values, then their groups.
+GROUPED = 10
 GENERALISE, REMOVE = 0.5, 0.75
 
 
-def located(text: Column, pattern: str, kind: int) -> Column:
+def located(text: Column, pattern: str | Column, kind: int) -> Column:
     """All matches with code point places, from the pieces between them."""
-    matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    if isinstance(pattern, str):
+        pattern = F.lit(pattern)
+    matches, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
     pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("value")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
@@ -75,87 +79,105 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def context_terms(text: Column, spans: Column, window: int) -> Column:
-    """Terms within ``window`` characters of a span, outside all spans and whole: kind, value, term, place."""
+def entities(spans: Column) -> Column:
+    """Distinct protected entities of a text: each value, and the group it belongs to."""
 
-    def near(s):
-        left = F.greatest(s.start - window, F.lit(0))
-        sides = F.array(F.struct(left.alias("a"), s.start.alias("b")), F.struct(s.end.alias("a"), (s.end + window).alias("b")))
+    def of(s):
+        bare = F.when(s["kind"].isin(2, 3), digits(s["value"])).otherwise(F.lower(s["value"]))
+        group = (
+            F.when(s["kind"] == 0, F.substring_index(bare, "@", -1))
+            .when(s["kind"] == 1, F.substring_index(bare, ".", 2))
+            .when(s["kind"] == 2, F.substring(bare, 1, 6))
+            .otherwise(F.substring(bare, 1, 4))
+        )
+        value = F.struct(s["kind"].alias("kind"), bare.alias("entity"))
+        return F.array(value, F.struct((s["kind"] + GROUPED).alias("kind"), group.alias("entity")))
 
-        def side(x):
-            part = F.substring(text, x.a + 1, x.b - x.a)
-            whole = F.filter(
-                located(part, TERM, 4),
-                lambda t: ((t.start > 0) | (x.a == 0) | (x.a == s.end)) & ((t.end < F.length(part)) | (x.b == s.start) | (x.b >= F.length(text))),
-            )
-            return F.transform(
-                whole,
-                lambda t: F.struct(
-                    s.kind.alias("kind"),
-                    F.when(s.kind.isin(2, 3), digits(s.value)).otherwise(F.lower(s.value)).alias("entity"),
-                    F.lower(t.value).alias("term"),
-                    (t.start + x.a).alias("start"),
-                    (t.end + x.a).alias("end"),
-                ),
-            )
+    return F.array_distinct(F.flatten(F.transform(spans, of)))
 
-        return F.flatten(F.transform(sides, side))
 
-    terms = F.flatten(F.transform(spans, near))
-    return F.filter(terms, lambda t: ~F.exists(spans, lambda s: (s.start < t.end) & (t.start < s.end)))
+def terms_of(text: Column) -> Column:
+    """Distinct terms of a text, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
     """``(term, n_t)``: in how many rows of ``rows(text)`` each term stands, over all rows and terms."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    return rows.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    return rows.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
 
-def disclosure(total: int, n_t: str) -> Column:
-    """PMI(entity, term) / IC(entity) from the counts of rows; null where the entity is in every row."""
+def disclosure(total: int) -> Column:
+    """The discounted share of an entity that a term discloses, from counts of rows (``n_ct n_c n_t``) and texts.
+
+    Null where the entity is in every row.
+    """
     n = F.lit(float(total))
-    return F.try_divide(F.log2(n * F.col("n_ct") / (F.col("n_c") * F.col(n_t))), F.log2(n / F.col("n_c")))
+    share = F.try_divide(F.log2(n * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))), F.log2(n / F.col("n_c")))
+    k = F.least("n_c", "n_t")
+    return share * (F.col("texts") / (F.col("texts") + 1)) * (k / (k + 1))
+
+
+def disclosing_terms(held: DataFrame, counts: DataFrame, total: int, generalise: float, remove: float) -> DataFrame:
+    """``(kind, entity, term, value)`` of all pairs that disclose enough.
+
+    ``held(key, size, rows, ents, terms)`` has each distinct text with entities once, with its number of rows. The
+    share cannot exceed ``log2(n/n_t) / log2(n/n_c)``, so a term too common for every entity leaves
+    before pairs are formed, and one too common for its own entity before they are counted.
+    """
+    names = held.select("key", "size", "rows", F.explode("ents").alias("e")).select("key", "size", "rows", "e.*")
+    known = names.groupBy("kind", "entity").agg(F.sum("rows").alias("n_c"))
+    names = names.join(known, ["kind", "entity"])
+    most = known.agg(F.max("n_c")).first()[0] or 0
+
+    def able(n_t: Column, n_c: Column) -> Column:
+        return F.log2(F.lit(float(total)) / n_t) >= generalise * F.log2(F.lit(float(total)) / n_c)
 
+    rare = counts.where((F.col("n_t") > 1) & able(F.col("n_t"), F.lit(float(max(most, 1)))))
+    terms = held.select("key", "size", F.explode("terms").alias("term")).join(rare, "term")
+    pairs = terms.join(names, ["key", "size"]).where(able(F.col("n_t"), F.col("n_c")))
+    pairs = pairs.groupBy("kind", "entity", "term", "n_t", "n_c").agg(F.sum("rows").alias("n_ct"), F.count("*").alias("texts"))
+    told = pairs.withColumn("share", disclosure(total)).where(F.col("share") >= generalise)
+    return told.select("kind", "entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("value"))
 
-def locate(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE):
-    """``(found, terms)``: the base spans per row, and the disclosing terms per distinct (doc_id, text).
 
-    ``found(doc_id, key, size, spans)`` has every row of ``docs``. ``terms(doc_id, key, size, terms)``
+def locate(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
+    """``(found, terms)``: the base spans per row, and the disclosing terms' spans per distinct text.
+
+    ``found(doc_id, key, size, spans)`` has every row of ``docs``. ``terms(key, size, terms)``
     has spans of kind ``term`` whose value is ``remove`` or ``generalise``.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = rows.select("doc_id", F.xxhash64("text").alias("key"), F.length("text").alias("size"), "text", base_spans(F.col("text")).alias("spans"))
-    near = F.when(F.size("spans") > 0, context_terms(F.col("text"), F.col("spans"), window))
-    found = materialise(found.select("doc_id", "key", "size", "spans", near.alias("near")), "pii")
+    # Texts are kept only where there is something to protect.
+    found = materialise(found.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "pii")
     total = found.count()
+    texts = found.where("text is not null").groupBy("key", "size").agg(F.count("*").alias("rows"), F.min("text").alias("text"), F.first("spans").alias("spans"))
+    texts = texts.select("key", "size", "rows", "text", "spans", entities(F.col("spans")).alias("ents"), terms_of(F.col("text")).alias("terms"))
+    texts = materialise(texts, "pii-texts")
+    told = materialise(disclosing_terms(texts, term_counts(rows), total, generalise, remove), "pii-told")
 
-    mentions = found.where("near is not null").select("doc_id", "key", "size", F.explode("near").alias("m")).select("doc_id", "key", "size", "m.*")
-    names = found.where("size(spans) > 0").select(
-        F.explode(
-            F.array_distinct(
-                F.transform("spans", lambda s: F.struct(s.kind.alias("kind"), F.when(s.kind.isin(2, 3), digits(s.value)).otherwise(F.lower(s.value)).alias("entity")))
-            )
-        ).alias("e")
-    )
-    entities = names.groupBy("e.kind", "e.entity").agg(F.count("*").alias("n_c"))
-    distinct = mentions.groupBy("kind", "entity", "term", "doc_id", "key", "size").agg(F.count("*").alias("repeats"))
-    # Whole rows count for the probabilities; support counts distinct texts, so copies of one text prove nothing.
-    texts = distinct.groupBy("kind", "entity", "term", "key", "size").agg(F.count("*").alias("ids"))
-    pairs = texts.groupBy("kind", "entity", "term").agg(F.sum("ids").alias("n_ct"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    told = pairs.join(entities, ["kind", "entity"]).join(term_counts(rows), "term")
-    told = told.withColumn("share", disclosure(total, "n_t")).where(F.col("share") >= generalise)
-    told = told.select("kind", "entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("value"))
-    hits = mentions.join(told, ["kind", "entity", "term"]).groupBy("doc_id", "key", "size", "start", "end").agg(F.max("value").alias("value"))
-    span = F.struct(F.lit(4).alias("kind"), "start", "end", "value")
-    terms = hits.groupBy("doc_id", "key", "size").agg(F.sort_array(F.collect_list(span)).alias("terms"))
-    return found.drop("near"), materialise(terms, "pii-terms")
+    names = texts.select("key", "size", F.explode("ents").alias("e")).select("key", "size", "e.*").join(told, ["kind", "entity"])
+    names = names.groupBy("key", "size", "term").agg(F.max("value").alias("value"))
+    own = texts.select("key", "size", F.explode("terms").alias("term"))
+    hits = names.join(own, ["key", "size", "term"]).groupBy("key", "size").agg(F.map_from_entries(F.collect_list(F.struct("term", "value"))).alias("told"))
+    hits = hits.join(texts.select("key", "size", "text", "spans"), ["key", "size"])
+    # Only the told terms are located, as whole runs of letters.
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.sort_array(F.map_keys("told"), False), "|"), F.lit(r")(?!\p{L})"))
+    hits = hits.withColumn("pattern", pattern)
+
+    def span(t):
+        value = F.try_element_at(F.col("told"), F.lower(t["value"]))
+        return F.struct(t["kind"].alias("kind"), t["start"].alias("start"), t["end"].alias("end"), value.alias("value"))
+
+    places = F.transform(located(F.col("text"), F.col("pattern"), 4), span)
+    free = F.filter(places, lambda t: t["value"].isNotNull() & ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return found.drop("text"), materialise(hits.select("key", "size", free.alias("terms")), "pii-terms")
 
 
 def with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
     """``found`` with all spans of each row, base spans first."""
-    same = [found[c].eqNullSafe(terms[c]) for c in ("doc_id", "key", "size")]
-    joined = found.join(terms, same, "left")
-    return joined.select(*(found[c] for c in found.columns), F.concat("spans", F.coalesce("terms", F.array().cast(SPAN))).alias("all"))
+    joined = found.join(terms, ["key", "size"], "left")
+    return joined.select(*found.columns, F.concat("spans", F.coalesce("terms", F.array().cast(SPAN))).alias("all"))
 
 
 def listing(spans: Column) -> Column:
@@ -201,19 +223,18 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, all rows and columns kept, with spans in ``text`` replaced, generalised or removed."""
-    columns = docs.columns
-    _, terms = locate(docs, **options)
-    key, size = free_name(docs, "key"), free_name(docs, "size")
+    """``docs``, all rows and columns kept, with spans in ``text`` replaced, generalised or removed.
+
+    Null texts stay null and empty ones empty; repeated rows and null ids are treated like any others; an empty
+    table gives no rows. Names of further columns may be anything. Only texts with spans are joined to them.
+    """
+    found, terms = locate(docs, **options)
+    spans = with_terms(found.where(F.size("spans") > 0).select("key", "size", "spans").dropDuplicates(["key", "size"]), terms)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn(key, F.xxhash64(text)).withColumn(size, F.length(text))
-    terms = terms.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), F.col("size").alias("__s"), F.col("terms").alias("__t"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col(key) == F.col("__k")) & (F.col(size) == F.col("__s"))
-    joined = rows.join(terms, same, "left")
-    spans = F.concat(base_spans(text), F.coalesce("__t", F.array().cast(SPAN)))
-    joined = joined.withColumn("__all", spans)
-    new = F.when(F.size("__all") == 0, F.col("text")).otherwise(redacted(text, F.col("__all")))
-    return joined.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns])
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text).alias("key"), F.length(text).alias("size"))
+    joined = rows.join(spans.select("key", "size", "all"), ["key", "size"], "left")
+    new = F.when(F.col("all").isNull(), F.col("row.text")).otherwise(redacted(F.col("row.text"), F.col("all")))
+    return joined.select(*(new.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

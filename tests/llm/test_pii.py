@@ -29,33 +29,35 @@ def base(text):
     return [(k, m.start(), m.end(), m[0]) for k, m in out]
 
 
+def groups(s):
+    value = re.sub("[^0-9]", "", s[3]) if s[0] > 1 else s[3].lower()
+    group = {0: value.split("@")[-1], 1: ".".join(value.split(".")[:2]), 2: value[:6], 3: value[:4]}[s[0]]
+    return {(s[0], value), (s[0] + 10, group)}
+
+
 def brute(rows):
     spans = [base(t or "") for _, t in rows]
-    name = lambda s: (s[0], re.sub("[^0-9]", "", s[3]) if s[0] > 1 else s[3].lower())
-    n_c = Counter(e for ss in spans for e in {name(s) for s in ss})
     term = re.compile(r"[^\W\d_]{3,}")
-    n_t = Counter(t for _, text in rows for t in set(term.findall((text or "").lower())))
-    near = []
-    for (_, text), ss in zip(rows, spans):
-        own = set()
-        for s in ss:
-            for m in term.finditer(text):
-                inside = s[1] - pii.WINDOW <= m.start() and m.end() <= s[1] or s[2] <= m.start() and m.end() <= s[2] + pii.WINDOW
-                if inside and not any(x[1] < m.end() and m.start() < x[2] for x in ss):
-                    own.add((name(s), m[0].lower(), m.start(), m.end()))
-        near.append(own)
-    texts, ids = {}, {}
-    for (d, text), own in zip(rows, near):
-        for e, t, _, _ in own:
-            texts.setdefault((e, t), set()).add(text)
-            ids.setdefault((e, t), set()).add((d, text))
-    share = {}
-    for p, held in texts.items():
-        if len(held) >= pii.SUPPORT and len(rows) > n_c[p[0]]:
-            share[p] = log2(len(rows) * len(ids[p]) / (n_c[p[0]] * n_t[p[1]])) / log2(len(rows) / n_c[p[0]])
+    names = [set().union(*map(groups, ss)) for ss in spans]
+    words = [set(term.findall((t or "").lower())) for _, t in rows]
+    n_c, n_t = Counter(e for es in names for e in es), Counter(t for ts in words for t in ts)
+    n_ct = Counter((e, t) for es, ts in zip(names, words) for e in es for t in ts)
+    texts = {}
+    for (_, text), es, ts in zip(rows, names, words):
+        for e in es:
+            for t in ts:
+                texts.setdefault((e, t), set()).add(text)
+    share, n = {}, len(rows)
+    for (e, t), both in n_ct.items():
+        if n > n_c[e]:
+            m, k = len(texts[e, t]), min(n_c[e], n_t[t])
+            share[e, t] = log2(n * both / (n_c[e] * n_t[t])) / log2(n / n_c[e]) * m / (m + 1) * k / (k + 1)
     out = []
-    for (d, _), ss, own in zip(rows, spans, near):
-        more = sorted({(4, a, b) for e, t, a, b in own if share.get((e, t), 0) >= pii.GENERALISE})
+    for (d, text), ss, es in zip(rows, spans, names):
+        more = []
+        for m in term.finditer(text or ""):
+            if any(share.get((e, m[0].lower()), 0) >= pii.GENERALISE for e in es) and not any(x[1] < m.end() and m.start() < x[2] for x in ss):
+                more.append((4, m.start(), m.end()))
         text = lambda xs: ",".join(f"{pii.KINDS[x[0]]}:{x[1]}:{x[2]}" for x in xs)
         counts = [sum(s[0] == k for s in ss) for k in range(4)] + [len(more)]
         out.append((d, *counts, hashlib.sha256(text(ss).encode()).hexdigest(), text(ss + more)))
@@ -95,7 +97,7 @@ def test_matches_brute_force(spark):
 
 
 def test_sanitise(spark):
-    docs = spark.createDataFrame(rows(), "doc_id long, text string").selectExpr("*", "1 as key", "2 as size")
+    docs = spark.createDataFrame(rows(), "doc_id long, text string").selectExpr("*", "1 as key", "2 as size", "3 as `all`", "4 as `row`", "5 as spans")
     got = pii.sanitise(docs)
     assert got.columns == docs.columns and got.count() == docs.count()
     text = {r.doc_id: r.text for r in got.collect()}
