@@ -1,10 +1,12 @@
 """Recurrent language-model scores of whole documents.
 
 A gated recurrent unit reads a document word by word and carries its state from window to window
-to the end. The output is factored: first a class, then the word within its class; words beyond
-the explicit vocabulary form one class, within which corpus counts tell them apart. Replicas are
-trained by truncated backpropagation in numpy inside Spark tasks and averaged after each round.
-Word counts cover all training documents; words too many to send to every task are joined.
+to the end. The output is factored: first a class, then the word within its class. One class stands for
+all rarer words and opens a second level of classes, whose number grows with the vocabulary of the
+corpus; words beyond both levels form one class, within which corpus counts tell them apart. Replicas
+are trained by truncated backpropagation in numpy inside Spark tasks and averaged after each round, so
+weights depend a little on how rows are dealt. Word counts cover all training documents; words too many to
+send to every task are joined.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +25,21 @@ from .common import held_fold, materialise, table
 
 #: Stands for the end of a document; no word holds a space.
 END = b" "
-#: Commonest words that every task gets, and the longest of them in bytes; all others are joined.
-FREQUENT, FREQUENT_BYTES = 150_000, 64
+#: Commonest words that every task gets; all others are joined.
+FREQUENT = 150_000
+#: Longer words are known by a digest, so that no key is longer than this.
+WORD_BYTES = 64
 CLASSES, CLASS_SIZE = 32, 32
-VOCAB = CLASSES * CLASS_SIZE
-#: Input ids behind the vocabulary: other words by a hash of their last letters.
-TAILS = 64
-HIDDEN, WINDOW, STREAMS = 16, 32, 64
+FIRST = CLASSES * CLASS_SIZE
+#: Words in a class of the second level; the number of its classes is ``second_classes``.
+SECOND_SIZE = 64
+#: Input ids behind the first level: other words by a hash of their last letters.
+TAILS = 512
+HIDDEN, WINDOW, STREAMS = 16, 32, 256
+#: Rows whose class probabilities are taken together, so that they stay in the cache.
+CHUNK = 2048
+#: Bound on a logit; biases start at 0 at most, so that exponentials need no shift.
+MOST = np.float32(40)
 #: Each round learns from other training documents, whole; together the rounds cover all.
 ROUNDS, RATE = 2, 0.01
 #: Distinct words a task counts before it passes them on.
@@ -39,8 +50,16 @@ LN10 = float(np.log(10))
 
 
 def words_of(data: bytes | None) -> list[bytes]:
-    """Words of UTF-8 text: A-Z lower-cased, split at ASCII white space."""
-    return (data or b"").lower().split()
+    """Words of UTF-8 text: A-Z lower-cased, split at ASCII white space; a very long word as its digest behind a blank."""
+    words = (data or b"").lower().split()
+    if max(map(len, words), default=0) > WORD_BYTES:
+        words = [w if len(w) <= WORD_BYTES else END + xxhash.xxh128_digest(w) for w in words]
+    return words
+
+
+def second_classes(distinct: int) -> int:
+    """Classes of the second level: the power of two next to the cube root of the number of distinct words, 8 at least."""
+    return max(8, 1 << round(np.log2(max(distinct, 1)) / 3))
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -68,18 +87,18 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The short tokens above the lowest count that at most ``most`` of them exceed, commonest first.
+    """The tokens above a count that at most ``most`` of them exceed, commonest first.
 
-    Only a histogram of counts and the chosen rows reach the driver, so no task sends a list of its own.
+    Only a histogram over eighths of powers of two and the chosen rows reach the driver.
     """
-    short = counts.where(F.octet_length("token") <= FREQUENT_BYTES)
-    left, least = most, 0
-    for r in short.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
+    level = F.floor(F.log2(F.col("c").cast("double")) * 8)
+    left, least = most, -1
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
         left -= r.n
         if left < 0:
-            least = r.c
+            least = r.level
             break
-    rows = [(bytes(r.token), r.c) for r in short.where(F.col("c") > least).collect()]
+    rows = [(bytes(r.token), r.c) for r in counts.where(level > least).collect()]
     return sorted(rows, key=lambda x: (-x[1], x[0]))
 
 
@@ -87,17 +106,19 @@ class Lexicon:
     """The commonest words: base log-probability, input and output id of each; the last row is for all others."""
 
     def __init__(self, frequent: list[tuple[bytes, int]], total: int, distinct: int):
+        self.second = second_classes(distinct)
+        vocab = FIRST + self.second * SECOND_SIZE
         self.index = {w: i for i, (w, _) in enumerate(frequent)}
         n, counts = len(frequent), np.array([c for _, c in frequent], np.float64)
         self.log_total = np.log10(total + 0.5 * (distinct + 1))
         self.base = np.r_[np.log10(counts + 0.5) - self.log_total, 0.0]
-        self.out = np.minimum(np.arange(n + 1), VOCAB).astype(np.int32)
-        self.out[n] = VOCAB
-        tails = [VOCAB + (w[-1] * 7 + w[-2:-1][0] * 3 + len(w) if len(w) > 1 else w[-1]) % TAILS for w, _ in frequent]
-        self.inp = np.where(self.out < VOCAB, self.out, np.r_[tails, VOCAB + TAILS]).astype(np.int32)
-        self.inp[n] = VOCAB + TAILS
-        self.counts = counts[:VOCAB]
-        self.rest_mass = max(float(total - counts[:VOCAB].sum()), 1.0)
+        self.out = np.minimum(np.arange(n + 1), vocab).astype(np.int32)
+        self.out[n] = vocab
+        tails = [FIRST + xxhash.xxh32_intdigest(w[-4:]) % TAILS for w, _ in frequent]
+        self.inp = np.where(self.out < FIRST, self.out, np.r_[tails, FIRST + TAILS]).astype(np.int32)
+        self.inp[n] = FIRST + TAILS
+        self.counts = counts[:vocab]
+        self.rest_mass = max(float(total - self.counts.sum()), 1.0)
         self.end = self.index.get(END, n)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
@@ -106,21 +127,25 @@ class Lexicon:
 
 
 class GatedModel:
-    """A gated recurrent unit with a class-factored softmax over ``VOCAB`` words and one class for the rest."""
-
-    SHAPES = {
-        "x": (VOCAB + TAILS + 1, 3 * HIDDEN),
-        "u": (HIDDEN, 3 * HIDDEN),
-        "wc": (HIDDEN, CLASSES + 1),
-        "bc": (CLASSES + 1,),
-        "wv": (CLASSES, HIDDEN, CLASS_SIZE),
-        "bv": (CLASSES, CLASS_SIZE),
-    }
-
-    def __init__(self, flat: np.ndarray):
-        self.flat, at = np.ascontiguousarray(flat, np.float32), 0
-        for name, shape in self.SHAPES.items():
-            size = int(np.prod(shape))
+    """A gated recurrent unit with a class-factored softmax in two levels and one class for the rest."""
+
+    def __init__(self, flat: np.ndarray | None, second: int):
+        shapes = {
+            "x": (FIRST + TAILS + 1, 3 * HIDDEN),
+            "u": (HIDDEN, 3 * HIDDEN),
+            "wc": (HIDDEN, CLASSES + 1),
+            "bc": (CLASSES + 1,),
+            "wv": (CLASSES, HIDDEN, CLASS_SIZE),
+            "bv": (CLASSES, CLASS_SIZE),
+            "wc2": (HIDDEN, second + 1),
+            "bc2": (second + 1,),
+            "wv2": (second, HIDDEN, SECOND_SIZE),
+            "bv2": (second, SECOND_SIZE),
+        }
+        sizes = [int(np.prod(shape)) for shape in shapes.values()]
+        self.flat = np.zeros(sum(sizes), np.float32) if flat is None else np.ascontiguousarray(flat, np.float32)
+        self.second, self.vocab, at = second, FIRST + second * SECOND_SIZE, 0
+        for (name, shape), size in zip(shapes.items(), sizes, strict=True):
             setattr(self, name, self.flat[at : at + size].reshape(shape))
             at += size
 
@@ -128,14 +153,17 @@ class GatedModel:
     def start(cls, lexicon: Lexicon, seed: int = 0) -> GatedModel:
         """Small random weights; the output biases give the corpus counts."""
         rng = np.random.default_rng(seed)
-        m = cls(rng.normal(0, 0.1, sum(int(np.prod(s)) for s in cls.SHAPES.values())))
+        m = cls(None, lexicon.second)
+        m.flat[:] = rng.normal(0, 0.1, len(m.flat))
         m.u[:] = rng.normal(0, HIDDEN**-0.5, m.u.shape)
-        counts = np.full(VOCAB, 1e-12)
+        counts = np.full(m.vocab, 1e-12)
         counts[: len(lexicon.counts)] = lexicon.counts + 0.5
-        per_class = counts.reshape(CLASSES, CLASS_SIZE)
-        m.bc[:] = np.log(np.r_[per_class.sum(1), lexicon.rest_mass])
-        m.bc -= m.bc.max()
-        m.bv[:] = np.maximum(np.log(per_class / per_class.sum(1, keepdims=True)), -20)
+        rest = lexicon.rest_mass
+        for b, v, per_class in ((m.bc2, m.bv2, counts[FIRST:].reshape(m.second, -1)), (m.bc, m.bv, counts[:FIRST].reshape(CLASSES, -1))):
+            b[:] = np.log(np.r_[per_class.sum(1), rest])
+            rest += per_class.sum()
+            b -= b.max()
+            v[:] = np.maximum(np.log(per_class / per_class.sum(1, keepdims=True)), -20)
         return m
 
     def step(self, a: np.ndarray, h: np.ndarray):
@@ -146,36 +174,51 @@ class GatedModel:
         n = np.tanh(a[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
         return n + z * (h - n), (r, z, n, u[:, 2 * HIDDEN :])
 
+    @staticmethod
+    def choose(h: np.ndarray, w: np.ndarray, b: np.ndarray, own: np.ndarray, grad: tuple | None):
+        """Log-probability of the choice ``own`` in each row and, with ``grad``, the loss's gradient by state."""
+        out, dh, ones = np.empty(len(h), np.float32), None if grad is None else np.empty_like(h), np.ones(len(b), np.float32)
+        for at in range(0, len(h), CHUNK):
+            part, mine = h[at : at + CHUNK], own[at : at + CHUNK]
+            rows = np.arange(len(part))
+            p = part @ w
+            p += b
+            np.minimum(p, MOST, out=p)
+            chosen = p[rows, mine]
+            np.exp(p, out=p)
+            total = p @ ones
+            out[at : at + CHUNK] = chosen - np.log(total)
+            if grad is not None:
+                p /= total[:, None]
+                p[rows, mine] -= 1
+                grad[0][...] += part.T @ p
+                grad[1][...] += p.sum(0)
+                dh[at : at + CHUNK] = p @ w.T
+        return out, dh
+
     def log_prob(self, h: np.ndarray, target: np.ndarray, grad: GatedModel | None = None):
         """Natural log-probability of each target from each state; with ``grad`` also the loss's gradient by state."""
-        n, cls = len(h), target // CLASS_SIZE
-        logits = h @ self.wc + self.bc
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1)
-        out = logits[np.arange(n), cls] - np.log(total)
-        if grad is not None:
-            p /= total[:, None]
-            p[np.arange(n), cls] -= 1
-            grad.wc += h.T @ p
-            grad.bc += p.sum(0)
-            dh = p @ self.wc.T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            own = order[cuts[c] : cuts[c + 1]]
-            word, hc = target[own] - c * CLASS_SIZE, h[own]
-            inner = hc @ self.wv[c] + self.bv[c]
-            inner -= inner.max(1, keepdims=True)
-            q = np.exp(inner)
-            total = q.sum(1)
-            out[own] += inner[np.arange(len(own)), word] - np.log(total)
+        out, dh = np.zeros(len(h), np.float32), np.zeros_like(h)
+        rows, names = np.arange(len(h)), ("wc", "bc", "wv", "bv")
+        for base, classes, size, level in ((0, CLASSES, CLASS_SIZE, ""), (FIRST, self.second, SECOND_SIZE, "2")):
+            wc, bc, wv, bv = (getattr(self, n + level) for n in names)
+            gwc, gbc, gwv, gbv = (None if grad is None else getattr(grad, n + level) for n in names)
+            word = target[rows] - base
+            cls = np.minimum(word // size, classes)
+            logs, d = self.choose(h[rows], wc, bc, cls, None if grad is None else (gwc, gbc))
+            out[rows] += logs
             if grad is not None:
-                q /= total[:, None]
-                q[np.arange(len(own)), word] -= 1
-                grad.wv[c] += hc.T @ q
-                grad.bv[c] += q.sum(0)
-                dh[own] += q @ self.wv[c].T
+                dh[rows] += d
+            order = np.argsort(cls, kind="stable")
+            cuts = np.searchsorted(cls[order], np.arange(classes + 1))
+            for c in np.flatnonzero(np.diff(cuts)).tolist():
+                inner = order[cuts[c] : cuts[c + 1]]
+                own = rows[inner]
+                logs, d = self.choose(h[own], wv[c], bv[c], word[inner] - c * size, None if grad is None else (gwv[c], gbv[c]))
+                out[own] += logs
+                if grad is not None:
+                    dh[own] += d
+            rows = rows[cls == classes]
         return out if grad is None else (out, dh)
 
     def score(self, inputs: list[np.ndarray], targets: list[np.ndarray], group: int = 512, window: int = 64) -> np.ndarray:
@@ -204,7 +247,7 @@ class GatedModel:
 
     def gradient(self, x: np.ndarray, y: np.ndarray, h: np.ndarray):
         """Truncated backpropagation through one window; targets below 0 are padding."""
-        steps, grad, before, kept = len(x), GatedModel(np.zeros_like(self.flat)), [], []
+        steps, grad, before, kept = len(x), GatedModel(None, self.second), [], []
         states = np.zeros((*x.shape, HIDDEN), np.float32)
         for t in range(steps):
             before.append(h)
@@ -227,33 +270,47 @@ class GatedModel:
             du = np.concatenate((dr, dz, dn * r), axis=1)
             grad.u += prev.T @ du
             dh = dh * z + du @ self.u.T
-        np.add.at(grad.x, x.ravel(), da.reshape(-1, 3 * HIDDEN))
+        order = np.argsort(x, axis=None, kind="stable")
+        ids = x.ravel()[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        grad.x[ids[first]] = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[order], first)
         return logs.sum(), grad, h
 
 
 class Trainer:
-    """Adam over windows of ``STREAMS`` parallel documents."""
+    """Adam over windows of up to ``STREAMS`` parallel documents."""
 
     def __init__(self, model: GatedModel, rate: float = RATE):
         self.model, self.rate, self.steps, self.tokens = model, rate, 0, 0
-        self.m, self.v = np.zeros_like(model.flat), np.zeros_like(model.flat)
+        self.m, self.v, self.part = (np.zeros_like(model.flat) for _ in range(3))
 
     def update(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
         n = int((y >= 0).sum())
         _, grad, h = self.model.gradient(x, y, h)
-        g = grad.flat / max(n, 1)
-        g *= min(1.0, 1.0 / (float(np.linalg.norm(g)) + 1e-9))
+        g, own = grad.flat, np.float32
+        g *= own(1 / max(n, 1))
+        g *= own(min(1.0, 1.0 / (float(np.sqrt(g @ g)) + 1e-9)))
         self.steps += 1
         self.tokens += n
-        self.m += 0.1 * (g - self.m)
-        self.v += 0.01 * (g * g - self.v)
+        self.m *= own(0.9)
+        self.v *= own(0.99)
+        np.multiply(g, own(0.1), out=self.part)
+        self.m += self.part
+        np.multiply(g, g, out=g)
+        g *= own(0.01)
+        self.v += g
         rate = self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
-        self.model.flat -= rate * self.m / (np.sqrt(self.v) + 1e-8)
+        np.sqrt(self.v, out=g)
+        g += own(1e-8)
+        np.divide(self.m, g, out=g)
+        g *= own(rate)
+        self.model.flat -= g
         return h
 
     def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]]) -> None:
         sequences = sorted(sequences, key=lambda s: -len(s[0]))
-        groups = [sequences[i : i + STREAMS] for i in range(0, len(sequences), STREAMS)]
+        streams = min(STREAMS, max(32, len(sequences) // 8))  # few documents take smaller steps, more of them
+        groups = [sequences[i : i + streams] for i in range(0, len(sequences), streams)]
         for k in np.random.default_rng(len(sequences)).permutation(len(groups)).tolist():
             group = groups[k]
             lengths = np.array([len(a) for a, _ in group])
@@ -289,7 +346,7 @@ def train(docs: DataFrame, lexicon, rounds: int = ROUNDS) -> GatedModel:
         sent = spark.sparkContext.broadcast(model.flat)
 
         def run(batches, k=k, sent=sent):
-            trainer = Trainer(GatedModel(sent.value.copy()))
+            trainer = Trainer(GatedModel(sent.value.copy(), lexicon.value.second))
             for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
                 held = [sequence(lexicon.value, lexicon.value.ids(words_of(x.as_py()))) for x in b.column(0)]
                 trainer.fit(held)
@@ -298,11 +355,11 @@ def train(docs: DataFrame, lexicon, rounds: int = ROUNDS) -> GatedModel:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "wx", "w"])
 
         part = rows.where(F.pmod("h", F.lit(rounds)) == k).select("text")
-        sums = part.mapInArrow(run, "i long, wx double, w double").groupBy("i").agg((F.sum("wx") / F.sum("w")).alias("x")).collect()
-        if sums:
+        sums = part.mapInArrow(run, "i long, wx double, w double").groupBy("i").agg((F.sum("wx") / F.sum("w")).alias("x")).toArrow()
+        if sums.num_rows:
             flat = np.zeros(size, np.float32)
-            flat[[r.i for r in sums]] = [r.x for r in sums]
-            model = GatedModel(flat)
+            flat[sums.column("i").to_numpy()] = sums.column("x").to_numpy()
+            model = GatedModel(flat, model.second)
     return model
 
 
@@ -330,7 +387,7 @@ def score(docs: DataFrame, fold: int = 1, frequent: int = FREQUENT) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lex, net, uid = lexicon.value, GatedModel(model.value), TaskContext.get().partitionId() << 33
+        lex, net, uid = lexicon.value, GatedModel(model.value, lexicon.value.second), TaskContext.get().partitionId() << 33
         n = len(lex.index)
         for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             ids, ys, rest, numbers = [], [], [], []
@@ -347,7 +404,7 @@ def score(docs: DataFrame, fold: int = 1, frequent: int = FREQUENT) -> DataFrame
                 known = known[known < n]
                 rest.append(other)
                 # Frequent words outside the vocabulary are told apart by their counts here, the others by the join.
-                tail = known[known >= VOCAB]
+                tail = known[known >= net.vocab]
                 inner = float((lex.base[tail] + log_total - log_mass).sum())
                 numbers.append((len(words) + 1, len(known), float(lex.base[known].sum()), inner))
             logs = net.score(ids, ys) / LN10

@@ -59,13 +59,14 @@ def lexicon():
 def test_gradient_by_differences():
     rng = np.random.default_rng(0)
     model = lm.GatedModel.start(lexicon())
-    x, y = rng.integers(0, lm.VOCAB + lm.TAILS + 1, (5, 3)), rng.integers(0, lm.VOCAB + 1, (5, 3))
+    x, y = rng.integers(0, lm.FIRST + lm.TAILS + 1, (5, 3)), rng.integers(0, model.vocab + 1, (5, 3))
+    y[0, 0], y[0, 1], y[1, 1] = 3, lm.FIRST + 5, model.vocab
     y[3:, 2] = -1
     h = rng.normal(size=(3, lm.HIDDEN)).astype(np.float32)
     _, grad, _ = model.gradient(x, y, h)
     direction = (grad.flat != 0) * rng.normal(size=len(grad.flat)).astype(np.float32)
     step = 1e-3
-    loss = [-lm.GatedModel(model.flat + s * direction).gradient(x, y, h)[0] for s in (step, -step)]
+    loss = [-lm.GatedModel(model.flat + s * direction, model.second).gradient(x, y, h)[0] for s in (step, -step)]
     assert abs((loss[0] - loss[1]) / (2 * step) - float(grad.flat @ direction)) < 2e-2 * max(1, abs(float(grad.flat @ direction)))
 
 
@@ -73,7 +74,7 @@ def test_whole_sequences_and_normalisation():
     rng = np.random.default_rng(1)
     model = lm.GatedModel.start(lexicon())
     xs = [rng.integers(0, 1000, n) for n in (1, 150, 64, 65, 700)]
-    ys = [rng.integers(0, lm.VOCAB + 1, len(x)) for x in xs]
+    ys = [rng.integers(0, model.vocab + 1, len(x)) for x in xs]
     want = []
     for x, y in zip(xs, ys):
         h, total = np.zeros((1, lm.HIDDEN), np.float32), 0.0
@@ -82,8 +83,8 @@ def test_whole_sequences_and_normalisation():
             total += float(model.log_prob(h, np.array([b]))[0])
         want.append(total)
     assert np.allclose(model.score(xs, ys, group=2, window=64), want, rtol=1e-4)
-    h = rng.normal(size=(1, lm.HIDDEN)).astype(np.float32).repeat(lm.VOCAB + 1, 0)
-    assert abs(np.exp(model.log_prob(h, np.arange(lm.VOCAB + 1)).astype(np.float64)).sum() - 1) < 1e-4
+    h = rng.normal(size=(1, lm.HIDDEN)).astype(np.float32).repeat(model.vocab + 1, 0)
+    assert abs(np.exp(model.log_prob(h, np.arange(model.vocab + 1)).astype(np.float64)).sum() - 1) < 1e-4
 
 
 def test_model_beats_the_base_on_held_out(spark):
