@@ -1,10 +1,12 @@
-"""Toxicity by a gap-weighted subsequence string kernel, Nyström landmarks and a linear SVM.
-
-The kernel compares two words by their common subsequences of three characters, each weighted
-by a decay to the power of the span it takes up, so that inserted or missing characters weaken a match
-instead of ending it. Landmarks are words that labelled toxic texts hold far more often than
-others. A text is the vector of its best kernel value with each landmark; the
-Nyström map whitens it and a support vector machine, fitted on labelled texts, separates.
+"""Toxicity by a gap-weighted subsequence string kernel, Nyström landmarks and a support vector machine.
+
+Two words are compared by their common subsequences of three characters, each weighted by a decay to
+the power of the span it takes up, so that inserted or missing characters weaken a match instead of
+ending it. Two sentences are compared by the sum, over all pairs of their words, of the third power of the
+normalised word kernel; sums and products of kernels are kernels, so this is one too. Landmarks are
+sentences of a single word, drawn from labelled texts. A sentence's kernel values with the landmarks, mapped by the inverse
+square root of the landmarks' own kernel matrix, are its Nyström features. The machine is trained on sentences: a text is as toxic
+as its worst sentence, so the sentence of a toxic text that the machine itself finds worst carries the label.
 """
 
 from __future__ import annotations
@@ -27,13 +29,19 @@ GAPS = [(a, b, DECAY ** (a + b + 1)) for a in range(1, SPAN) for b in range(1, S
 PIECE = 24
 #: Labelled texts the classifier is fitted on at most, chosen by a hash of their id.
 SAMPLE = 12_000
-LANDMARKS, SHORTLIST = 96, 600
+LANDMARKS, SHORTLIST = 72, 600
+#: Landmarks from all labelled texts, beside those from words that toxic texts hold far more often.
+PLAIN_LANDMARKS = 24
+#: Sentences of each labelled text that training sees at most: those with the largest kernel values.
+KEPT = 8
+#: A sentence ends at a full stop, an exclamation or a question mark, or after this many words.
+LONGEST = 24
 #: Words a worker keeps the kernel values of; beyond it the cache starts anew.
 CACHE_WORDS = 300_000
 #: Texts whose words are looked at together.
 SLICE = 500
-#: Kernel values below this say nothing and count as none.
-FLOOR = 0.4
+#: The word kernel's power in the sentence kernel, and the word value below which the power is left out as zero.
+POWER, FLOOR = 3, 0.2
 MARK = re.compile(r"[\W_]+")
 SPACED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
 
@@ -61,10 +69,16 @@ def triples(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
 
 
 def norms(codes: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(codes))
+    """Each word's norm in the space of all subsequences."""
+    keys, weights, rows = [np.zeros(0, np.int64)], [np.zeros(0)], np.arange(len(codes)) * CODES**3
     for t, weight in triples(codes):
-        total += weight**2 * (t > 0).sum(1)
-    return np.sqrt(np.maximum(total, 1e-12))
+        found = t > 0
+        keys.append((t + rows[:, None])[found])
+        weights.append(np.full(len(keys[-1]), weight))
+    feature, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, np.concatenate(weights), len(feature))
+    square = np.bincount(feature // CODES**3, total**2, len(codes))
+    return np.sqrt(np.maximum(square, 1e-12))
 
 
 class Kernel:
@@ -86,7 +100,7 @@ class Kernel:
         self.most = self.weights.max(1, initial=0)[self.index]
 
     def values(self, words: list[str], floor: float = 0.0) -> np.ndarray:
-        """Kernel values, shape (words, landmarks), at most 1 for all but repetitive words.
+        """Kernel values, shape (words, landmarks), at most 1.
 
         Words that a bound on all their values puts under ``floor`` are left at 0.
         """
@@ -104,63 +118,111 @@ class Kernel:
                     own = np.flatnonzero(found[:, col])
                     part[own] += np.float32(weight) * self.weights[found[own, col]]
             out[at + able] = part / size[able, None]
-        return np.minimum(out, 1)
+        return out
 
 
-def words_of(text: str | None) -> set[str]:
-    """Distinct words of a text; long ones in pieces, runs of single characters also joined."""
+def tokens_of(text: str | None) -> list[str]:
+    """Words of a text with their marks; runs of single characters come again at the end, joined, as sentences of their own."""
     low = (text or "").lower()
-    words = set(low.split())
-    if sum(len(w) == 1 for w in words) >= 3:
-        words.update("".join(run.split()) for run in SPACED.findall(low))
-    long = [w for w in words if len(w) > PIECE]
-    for w in long:
-        words.discard(w)
-        words.update(w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2))
-    return words
+    tokens = low.split()
+    if sum(len(w) == 1 for w in tokens) >= 3:
+        for run in SPACED.findall(low):
+            tokens += [".", "".join(run.split())]
+    return tokens
+
+
+def pieces_of(token: str) -> list[str]:
+    """A token's letters and digits (or the token itself, without any), long ones in overlapping pieces."""
+    bare = MARK.sub("", token) or token
+    if len(bare) <= PIECE:
+        return [bare]
+    return [bare[i : i + PIECE] for i in range(0, len(bare) - PIECE // 2, PIECE // 2)]
 
 
-class Pooler:
-    """Best kernel value of a text's words with each landmark, with a cache of words."""
+class Sentences:
+    """Kernel rows of the sentences of texts with the landmarks, with a cache of words."""
 
     def __init__(self, kernel: Kernel):
-        self.kernel, self.known, self.rows = kernel, {}, []
-
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
-        return np.concatenate([self._slice(texts[i : i + SLICE]) for i in range(0, max(1, len(texts)), SLICE)])
-
-    def _learn(self, new: list[str]) -> None:
-        # Marks inside a word are gaps at no cost: the better of the word and its bare letters counts.
-        values = self.kernel.values(new, FLOOR)
-        marked = [i for i, w in enumerate(new) if not w.isalpha()]
-        if marked:
-            bare = self.kernel.values([MARK.sub("", new[i]) for i in marked], FLOOR)
-            values[marked] = np.maximum(values[marked], bare)
-        told = values.max(1, initial=0) >= FLOOR
-        self.known.update(dict.fromkeys(new, 0))
-        for i in np.flatnonzero(told).tolist():
-            self.rows.append(np.where(values[i] >= FLOOR, values[i], 0).astype(np.float16))
-            self.known[new[i]] = len(self.rows)
-
-    def _slice(self, texts: list[str | None]) -> np.ndarray:
-        sets = [words_of(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.rows = {}, []
-        self._learn(list(set().union(*sets).difference(self.known)))
-        out = np.zeros((len(texts), len(self.kernel.landmarks)))
-        for i, words in enumerate(sets):
-            if hits := {*map(self.known.__getitem__, words)} - {0}:
-                out[i] = np.max([self.rows[h - 1] for h in hits], axis=0)
-        return out
+        self.kernel = kernel
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Row of each token (0: none of its values counts), twice over, plus 1 if the token ends a sentence.
+        self.known: dict[str, int] = {}
+        self.rows, self.used = np.zeros((1024, len(self.kernel.landmarks)), np.float32), 1
+
+    def _learn(self, tokens: list[str]) -> None:
+        parts = [pieces_of(t) for t in tokens]
+        flat = [w for p in parts for w in p]
+        values = self.kernel.values(flat, FLOOR)
+        powers = np.where(values >= FLOOR, values, 0) ** POWER
+        starts = np.cumsum([0, *map(len, parts)])[:-1]
+        sums = np.add.reduceat(powers, starts, axis=0) if len(parts) else powers
+        told = np.flatnonzero(sums.any(1))
+        while self.used + len(told) > len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        self.rows[self.used : self.used + len(told)] = sums[told]
+        row = np.zeros(len(tokens), np.int64)
+        row[told] = np.arange(self.used, self.used + len(told))
+        self.used += len(told)
+        ends = [t[-1] in ".!?" for t in tokens]
+        self.known.update(zip(tokens, (2 * row + ends).tolist(), strict=True))
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Kernel rows, and the number of the text that each belongs to, in order.
+
+        Every text has one row of zeros, for all its sentences that hold nothing, and one for each other sentence.
+        """
+        words = [tokens_of(t) for t in texts]
+        new = set().union(*words).difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self._forget()
+            new = set().union(*words)
+        self._learn(list(new))
+        size = np.array([len(w) for w in words])
+        code = np.fromiter((self.known[t] for w in words for t in w), np.int64, int(size.sum()))
+        text = np.repeat(np.arange(len(words)), size)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+        start = place % LONGEST == 0
+        start[1:] |= code[:-1] % 2 == 1
+        told = np.flatnonzero(code > 1)
+        sentence, row = np.cumsum(start)[told], self.rows[code[told] // 2]
+        first = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]][: len(sentence)])
+        sums = np.add.reduceat(row, first, axis=0) if len(first) else row
+        owner = np.concatenate((text[told[first]], np.arange(len(words))))
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate((sums, np.zeros((len(words), row.shape[1]), np.float32)))[order], owner[order]
 
 
 def nystroem(kernel: Kernel) -> np.ndarray:
     """The inverse square root of the landmarks' own kernel matrix."""
-    k = kernel.values(kernel.landmarks).astype(np.float64)
+    k = kernel.values(kernel.landmarks).astype(np.float64) ** POWER
     value, vector = np.linalg.eigh((k + k.T) / 2)
     return vector / np.sqrt(np.maximum(value, 0.05)) @ vector.T
 
 
+def worst(decision: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The largest decision of each owner; owners stand together and in order."""
+    return np.maximum.reduceat(decision, np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]))
+
+
+def fit_sentences(x: np.ndarray, owner: np.ndarray, y: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, float]:
+    """A support vector machine on sentences ``x`` of texts ``owner`` with labels ``y`` by text.
+
+    All sentences of a clean text are clean. Of a toxic text one sentence is toxic: first the one with
+    the largest features, then the one that the machine of the round before finds worst.
+    """
+    at, value = np.arange(len(x)), np.linalg.norm(x, axis=1)
+    w, b = np.zeros(x.shape[1]), 0.0
+    for _ in range(rounds):
+        order = np.lexsort((at, -value, owner))
+        first = order[np.flatnonzero(np.r_[True, owner[order][1:] != owner[order][:-1]])]
+        own = np.concatenate((first[y[owner[first]] > 0], np.flatnonzero(y[owner] == 0)))
+        w, b = fit_svm(x[own], y[owner[own]])
+        value = x @ w + b
+    return w, b
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss and balanced classes, by Newton steps on the primal."""
     n, d = x.shape
@@ -205,17 +267,19 @@ class Model:
     def __init__(self, kernel: Kernel | None, weights=None, bias: float = 0.0, a: float = 1.0, b: float = 0.0, prior: float = 0.0):
         self.kernel, self.weights, self.bias, self.a, self.b, self.prior = kernel, weights, bias, a, b, prior
 
-    def scores(self, pooled: np.ndarray) -> np.ndarray:
-        f = pooled @ self.weights + self.bias
+    def scores(self, rows: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """A score for each text from the kernel rows of its sentences."""
+        f = worst(rows @ self.weights + self.bias, owner)
         return 1 / (1 + np.exp(-np.clip(self.a * f + self.b, -30, 30)))
 
 
-def choose_landmarks(toxic: list[str]) -> list[str]:
-    """The first words of ``toxic`` that no earlier one nearly equals."""
-    bare = list(dict.fromkeys(w for w in (re.sub(r"^\W+|\W+$", "", x)[:PIECE] for x in toxic) if w))
+def choose_landmarks(toxic: list[str], plain: list[str]) -> list[str]:
+    """Words of ``toxic`` and then of ``plain`` that no landmark before nearly equals."""
+    bare = list(dict.fromkeys(p for w in toxic + plain for p in pieces_of(w)[:1]))
+    first = set(bare[: len({p for w in toxic for p in pieces_of(w)[:1]})])
     k, kept = Kernel(bare).values(bare) if bare else np.zeros((0, 0)), []
-    for i in range(len(bare)):
-        if len(kept) < LANDMARKS and all(k[i, j] < 0.9 for j in kept):
+    for i, w in enumerate(bare):
+        if len(kept) < LANDMARKS + (w not in first) * PLAIN_LANDMARKS and all(k[i, j] < 0.9 for j in kept):
             kept.append(i)
     return [bare[i] for i in kept]
 
@@ -234,6 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(None, prior=total / len(known) if known else 0.0)
     known = spark.createDataFrame([tuple(r) for r in known], "doc_id long, toxic int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))  # one text for each label
     # Log-likelihood ratio of a word between toxic and other texts.
     words = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower(F.trim("text")), r"\s+"))).alias("w")).where("w <> ''")
     counts = words.groupBy("w").agg(F.sum("toxic").cast("double").alias("k"), F.count("*").cast("double").alias("n")).where("n >= 3")
@@ -242,28 +307,38 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ratio = part(F.col("k"), rate) + part(F.col("n") - F.col("k"), 1 - rate)
     counts = counts.withColumn("g", F.when(F.col("k") > F.col("n") * rate, ratio).otherwise(-ratio))
     toxic = [r.w for r in counts.where("g > 3").orderBy(F.desc("g"), "w").limit(SHORTLIST).collect()]
-    kernel = Kernel(choose_landmarks(toxic) or ["-"])
+    plain = [r.w for r in counts.orderBy(F.xxhash64("w"), "w").limit(4 * PLAIN_LANDMARKS).collect()]
+    kernel = Kernel(choose_landmarks(toxic, plain) or ["-"])
     sent = spark.sparkContext.broadcast(kernel)
 
     def run(batches):
-        pool = Pooler(sent.value)
-        for b in batches:
-            x = pool(b.column(0).to_pylist()).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1)], names=["x", "toxic"])
+        read = Sentences(sent.value)
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
+            x, owner = read(b.column(0).to_pylist())
+            size = np.linalg.norm(x, axis=1)
+            order = np.lexsort((-size, owner))
+            rank = np.arange(len(x)) - np.searchsorted(owner, owner)
+            kept = np.sort(order[rank < KEPT])
+            parts = [x[kept[owner[kept] == i]].tobytes() for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), b.column(1)], names=["x", "toxic"])
 
     got = rows.select("text", "toxic").mapInArrow(run, "x binary, toxic int").collect()
-    x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float32).reshape(len(got), -1).astype(np.float64)
-    y = np.array([r.toxic for r in got])
+    parts = [np.frombuffer(bytes(r.x), np.float32).reshape(-1, len(kernel.landmarks)) for r in got]
+    x, y = np.concatenate(parts).astype(np.float64), np.array([r.toxic for r in got])
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     white = nystroem(kernel)
-    # The sigmoid is fitted on decisions for rows that their own machine has not seen.
+    x = x @ white
+    # The sigmoid is fitted on decisions for texts that their own machine has not seen.
     fold, f = np.random.default_rng(0).integers(0, 4, len(y)), np.zeros(len(y))
     for k in range(4):
         own = fold == k
         if own.any() and (~own).any() and len(set(y[~own])) == 2:
-            w, b = fit_svm(x[~own] @ white, y[~own])
-            f[own] = x[own] @ white @ w + b
+            seen = ~own[owner]
+            number = np.cumsum(~own) - 1
+            w, b = fit_sentences(x[seen], number[owner[seen]], y[~own])
+            f[own] = worst(x[~seen] @ w + b, owner[~seen])
     a, b = fit_sigmoid(f, y)
-    w, bias = fit_svm(x @ white, y)
+    w, bias = fit_sentences(x, owner, y)
     return Model(kernel, white @ w, bias, a, b)
 
 
@@ -274,8 +349,12 @@ def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        pool = Pooler(sent.value.kernel)
-        return lambda texts: sent.value.scores(pool(texts)).tolist()
+        read = Sentences(sent.value.kernel)
+
+        def fill(texts: list[str | None]) -> list[float]:
+            return [v for i in range(0, len(texts), SLICE) for v in sent.value.scores(*read(texts[i : i + SLICE])).tolist()]
+
+        return fill
 
     return add_arrow_column(docs, "text", name, "double", make)
 
@@ -294,7 +373,11 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs``, all columns kept, without the rows predicted toxic."""
+    """``docs``, all columns kept, without the rows predicted toxic.
+
+    Null and empty texts are judged as texts without words; repeated rows go or stay together; an empty
+    table gives no rows; further columns may have any name.
+    """
     columns, name = docs.columns, free_name(docs, "score")
     return with_score(docs, train(docs, labels), name).where(F.col(name) < 0.5).select(*columns)
 

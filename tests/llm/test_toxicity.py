@@ -5,23 +5,23 @@ import numpy as np
 from faircart.llm import toxicity as tx
 
 
-def plain_kernel(s, t):
-    """Triple loop over the definition."""
+def features(w):
+    code = tx.codes_of([w])[0]
+    code = code[code > 0]
+    out = {}
+    for i in range(len(code)):
+        for a, b, weight in tx.GAPS:
+            if i + a + b < len(code):
+                u = (code[i], code[i + a], code[i + a + b])
+                out[u] = out.get(u, 0) + weight
+    return out
 
-    def features(w):
-        code = tx.codes_of([w])[0]
-        code = code[code > 0]
-        out, size = {}, 0.0
-        for i in range(len(code)):
-            for a, b, weight in tx.GAPS:
-                if i + a + b < len(code):
-                    u = (code[i], code[i + a], code[i + a + b])
-                    out[u] = out.get(u, 0) + weight
-                    size += weight**2
-        return out, size**0.5
 
-    (f, x), (g, y) = features(s), features(t)
-    return min(1.0, sum(v * g.get(u, 0) for u, v in f.items()) / (x * y))
+def plain_kernel(s, t):
+    """Triple loop over the definition."""
+    f, g = features(s), features(t)
+    size = lambda x: sum(v * v for v in x.values()) ** 0.5
+    return sum(v * g.get(u, 0) for u, v in f.items()) / (size(f) * size(g)) if f and g else 0.0
 
 
 def test_kernel_by_definition():
@@ -30,7 +30,56 @@ def test_kernel_by_definition():
     for i, s in enumerate(words):
         for j, t in enumerate(words):
             assert abs(k[i, j] - plain_kernel(s, t)) < 1e-5
-    assert k[2, 0] > 0.3 > k[4, 0] and k[1, 0] > 2 * k[4, 0]
+    assert k[2, 0] > 0.3 > k[4, 0] and k[1, 0] > 2 * k[4, 0] and abs(k[7, 7] - 1) < 1e-5
+
+
+def brute_rows(text, landmarks):
+    """Kernel rows of all sentences that hold anything, by the definition of the sentence kernel."""
+    tokens, out, at = (text or "").lower().split(), [], 0
+    while at < len(tokens):
+        end = at + 1
+        while end < len(tokens) and tokens[end - 1][-1] not in ".!?" and end % tx.LONGEST:
+            end += 1
+        row = np.zeros(len(landmarks))
+        for w in tokens[at:end]:
+            for j, z in enumerate(landmarks):
+                k = plain_kernel("".join(c for c in w if c.isalnum()) or w, z)
+                row[j] += k**tx.POWER if k >= tx.FLOOR else 0
+        if row.any():
+            out.append(row)
+        at = end
+    return out
+
+
+def test_sentence_rows_by_definition():
+    rng, landmarks = random.Random(4), ["idiot", "clown", "theon"]
+    vocab = "idiot idi0t i.d.iot! clown. clowns the on in. crown, patio? iidiot trash -".split()
+    texts = [" ".join(rng.choices(vocab, k=n)) for n in (0, 1, 5, 60, 200)] + [None, "  ", "idiot. . ! idiot"]
+    x, owner = tx.Sentences(tx.Kernel(landmarks))(texts)
+    for i, t in enumerate(texts):
+        own = sorted(map(tuple, np.round(x[owner == i], 4)))
+        assert own == sorted([(0.0,) * 3] + [tuple(np.round(r.astype(np.float32), 4)) for r in brute_rows(t, landmarks)])
+
+
+def test_machine_against_the_kernel_form():
+    """With every sentence a landmark, the Nyström machine decides as the kernel machine on the full matrix does."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeiot", k=5)) for _ in range(30)] + ["idiot", "idioot", "idi0t", "idiots"]
+    y = np.array([0] * 30 + [1] * 4)
+    k = tx.Kernel(words).values(words).astype(np.float64) ** tx.POWER
+    value, vector = np.linalg.eigh((k + k.T) / 2)
+    assert value.min() > -1e-6  # a kernel
+    w, b = tx.fit_svm(k @ (vector / np.sqrt(np.maximum(value, 1e-9)) @ vector.T), y)
+    primal = k @ (vector / np.sqrt(np.maximum(value, 1e-9)) @ vector.T) @ w + b
+    a, c, s = np.zeros(len(y)), 0.0, np.where(y > 0, 1.0, -1.0)
+    cost = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    for _ in range(200):  # Newton on the representer weights of the same loss
+        own = s * (k @ a + c) < 1
+        d = np.diag(2 * cost * own)
+        left = np.block([[d @ k + np.eye(len(y)), d.sum(1, keepdims=True)], [(2 * cost * own)[None] @ k, np.array([[(2 * cost * own).sum() + 1e-6]])]])
+        a, c = np.split(np.linalg.solve(left, np.r_[2 * cost * own * s, (2 * cost * own * s).sum()]), [len(y)])
+        c = float(c[0])
+    assert np.allclose(primal, k @ a + c, atol=1e-2)
 
 
 def auc(score, y):
