@@ -27,8 +27,6 @@ CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words a worker keeps the ids of; beyond it the cache starts anew.
 CACHE_WORDS = 800_000
-#: Pieces of one length that are ranked by one task.
-RANK_ROWS = 50_000
 #: Control characters that str.split takes for white space and the tokenizer does not.
 ODD = "\x1c\x1d\x1e\x1f"
 #: Marks that end a word; between a letter or digit and these the tokenizer always cuts.
@@ -94,27 +92,32 @@ def encoder(path: str) -> WordEncoder:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """``(uid, doc_id, piece, start, length, ids_crc32)``: every document's ids cut to ``capacity``."""
+    """``(part, rank, doc_id, piece, start, length, ids_crc32)``: every document's ids cut to ``capacity``.
+
+    ``part`` is the task that made the piece and ``rank`` its number, from 0, among the pieces of its length there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, uid, end = encoder(path), TaskContext.get().partitionId() << 33, struct.pack("<I", end_id)
+        tokens, part_id, end = encoder(path), TaskContext.get().partitionId(), struct.pack("<I", end_id)
+        made: Counter = Counter()
         for b in batches:
             rows = []
             for doc_id, ids in zip(b.column(0).to_pylist(), tokens.encode(b.column(1).to_pylist()), strict=True):
                 ids += end
                 for at in range(0, len(ids), 4 * capacity):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((uid, doc_id, at // (4 * capacity), at // 4, len(part) // 4, zlib.crc32(part)))
-                    uid += 1
+                    length = len(part) // 4
+                    rows.append((part_id, made[length], doc_id, at // (4 * capacity), at // 4, length, zlib.crc32(part)))
+                    made[length] += 1
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "rank", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, "part int, rank long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 Run = tuple[tuple[int, ...], int]
@@ -247,24 +250,18 @@ class Slots:
 
 
 def pack_pieces(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``items(uid, length, ...)`` with ``sequence_id`` and ``offset``.
+    """``items(part, rank, length, ...)`` of ``pieces`` with ``sequence_id`` and ``offset``.
 
-    ``items`` should be a written table, as it is read three times. The histogram and the plan
-    are bounded by ``capacity`` alone. A length with very many pieces is ranked in salted groups.
+    ``items`` must be a written table, as it is read three times. The histogram and the plan
+    are bounded by ``capacity`` alone. A piece's rank among all of its length is its rank in its part plus the pieces
+    of the parts before: one small row per part and length is summed, and no length is sorted or gathered.
     """
+    counts = items.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = items.sparkSession.sparkContext.broadcast(Slots(pack_histogram(histogram, capacity)))
-    groups = {s: -(-n // RANK_ROWS) for s, n in histogram.items() if n > RANK_ROWS}
-    salts = F.lit(1)
-    for s, n in groups.items():
-        salts = F.when(F.col("length") == s, n).otherwise(salts)
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("uid"), salts).cast("int"))
-    w = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    firsts = firsts.select("length", "salt", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
-    inner = Window.partitionBy("length", "salt").orderBy("uid")
-    ranked = salted.withColumn("rank", F.row_number().over(inner) - 1).join(firsts, ["length", "salt"])
-    ranked = ranked.withColumn("rank", F.col("first") + F.col("rank")).drop("salt", "first")
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    ranked = items.join(firsts, ["part", "length"]).withColumn("rank", F.col("first") + F.col("rank")).drop("part", "first")
     out = ranked.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
     at_length, at_rank = ranked.columns.index("length"), ranked.columns.index("rank")
 

@@ -5,6 +5,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from faircart.llm import packing
 
@@ -79,10 +81,9 @@ def test_word_encoder(path):
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want, text
 
 
-def test_pack(spark, path, monkeypatch):
+def test_pack(spark, path):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing, "RANK_ROWS", 20)
     rng = random.Random(7)
     rows = [(i, " ".join(rng.choices(["alpha", "beta,", "x"], k=rng.choice([0, 1, 3, 40, 90])))) for i in range(200)]
     rows += [(500, None), (501, ""), (7, rows[7][1]), (None, "alpha"), (502, "alpha beta " * 700)]
@@ -110,3 +111,18 @@ def test_pack(spark, path, monkeypatch):
 
 def test_empty_table(spark, path):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+
+
+def test_ranks_of_many_parts_and_lengths(spark):
+    """Over a thousand lengths, one of them in a third of all rows, from many parts: every slot is taken once."""
+    rows = spark.range(60_000).select(
+        (F.col("id") % 37).cast("int").alias("part"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1500 + 1).cast("long").alias("length"),
+        F.col("id").alias("doc_id"),
+    )
+    own = Window.partitionBy("part", "length").orderBy("doc_id")
+    items = rows.withColumn("rank", (F.row_number().over(own) - 1).cast("long")).cache()
+    got = packing.pack_pieces(items).groupBy("sequence_id")
+    got = got.agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.countDistinct("offset").alias("d"), F.count("*").alias("c"))
+    bad = got.where("n <> `end` or n > 4096 or d <> c")
+    assert bad.count() == 0 and got.agg(F.sum("c")).first()[0] == 60_000
