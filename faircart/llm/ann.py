@@ -19,7 +19,7 @@ from .common import materialise, table
 SUB, CENTROIDS = 2, 16
 #: Vectors the codebooks are fitted on at most (all are encoded and searched).
 SAMPLE = 8192
-BLOCK_ROWS, QUERY_ROWS, RERANK = 4096, 256, 64
+BLOCK_ROWS, QUERY_ROWS, RERANK = 4096, 256, 128
 
 
 def parallel_weight(dim: int, threshold: float) -> float:
@@ -115,26 +115,23 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, groups: int, dim: int, quantiser=None) -> DataFrame:
-    """One row per block: ``(block, ids, vectors, codes)`` as bytes."""
+    """One row per block: ``(block, ids, firsts, vectors, codes)`` as bytes."""
 
     def run(part: pa.Table) -> pa.Table:
-        ids, x = part.column("rep").to_numpy(), _matrix(part.column("v"), dim)
+        ids, firsts, x = part.column("rep").to_numpy(), part.column("first").to_numpy(), _matrix(part.column("v"), dim)
         codes = quantiser.value.encode(x).tobytes() if quantiser is not None else b""
-        return pa.table({"block": part.column("block")[:1], "ids": [ids.tobytes()], "vectors": [x.tobytes()], "codes": [codes]})
+        return pa.table({"block": part.column("block")[:1], "ids": [ids.tobytes()], "firsts": [firsts.tobytes()], "vectors": [x.tobytes()], "codes": [codes]})
 
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(groups)).cast("int"))
-    return blocks.groupBy("block").applyInArrow(run, "block int, ids binary, vectors binary, codes binary")
+    return blocks.groupBy("block").applyInArrow(run, "block int, ids binary, firsts binary, vectors binary, codes binary")
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """``(vec_id, v)``: one row per id with a vector of the commonest length that has a direction."""
+    """``(row, vec_id, v)``: every row with an id whose vector has finite components and a direction."""
     v = F.col("embedding").cast("array<double>")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if size:
-        rows = rows.where(F.size("v") == size.d)
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
 
 
 def nearest(
@@ -143,24 +140,27 @@ def nearest(
     """The ``k`` vectors with the largest inner product for each vector where ``is_query(vec_id)`` holds.
 
     Returns ``(query_id, rank, vec_id, score)``. Vectors that are null, zero, or hold a null or
-    non-finite component, of another length than the commonest, or without an id take no part. Repeated
-    rows of an id count once (the smallest vector, if they differ). Equal vectors are searched
-    once and expanded to their smallest ids afterwards. Ties go to the smaller id. Other columns
-    are ignored; an empty table gives no rows.
+    non-finite component, or without an id take no part. Of vectors of different lengths the shorter counts as
+    followed by zeros. Every row is a candidate for every query but itself, so an id that is repeated is found as often as
+    it stands, and asks as often. Equal vectors are searched once and expanded to their smallest ids
+    afterwards. Ties go to the smaller id. Other columns are ignored; an empty table gives no rows.
 
     All vectors are scanned, in blocks of ``block_rows``; ``rerank`` of each block and query are
-    reranked exactly, so a block of that size or less is searched exactly.
+    reranked exactly, so a block of that size or less is searched exactly. There is no coarse partition: on vectors without
+    clusters, probing cells reaches a recall of 0.95 only where it scans over four fifths of the table.
     """
     spark = embeddings.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = materialise(usable(embeddings), "vectors")
-    reps = materialise(rows.groupBy("v").agg(F.min("vec_id").alias("rep")), "vector-reps")
-    n = reps.count()
-    if not n:
+    lengths = rows.agg(F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
+    if lengths.most is None:
         return empty
-    members = rows.join(reps, "v").select("vec_id", "rep")
-    members = materialise(members, "vector-members")
-    asked = members.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("rep").alias("qrep"))
+    if lengths.least < lengths.most:
+        rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(lengths.most) - F.size("v"))))
+    reps = materialise(rows.groupBy("v").agg(F.min("row").alias("rep"), F.min("vec_id").alias("first")), "vector-reps")
+    n = reps.count()
+    members = materialise(rows.join(reps, "v").select("row", "vec_id", "rep"), "vector-members")
+    asked = members.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("row").alias("own"), F.col("rep").alias("qrep"))
     wanted = asked.select(F.col("qrep").alias("rep")).distinct()
     n_queries = wanted.count()
     if not n_queries:
@@ -172,13 +172,14 @@ def nearest(
     coded = materialise(_packed(reps, blocks, dim, quantiser), "vector-blocks")
     queries = _packed(reps.join(wanted, "rep", "left_semi"), -(-n_queries // query_rows), dim)
     queries = queries.select(F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    met = queries.repartition("block").join(coded.hint("shuffle_merge"), "block").select("qids", "qvectors", "ids", "vectors", "codes")
+    met = queries.repartition("block").join(coded.hint("shuffle_merge"), "block").select("qids", "qvectors", "ids", "firsts", "vectors", "codes")
     keep = k + 1
+    kinds = (np.int64, float, np.int64, np.int64, float, np.uint8)
 
     def run(batches):
         for b in batches:
             for row in zip(*b.columns, strict=True):
-                qids, q, ids, v, codes = (np.frombuffer(c.as_buffer(), t) for c, t in zip(row, (np.int64, float, np.int64, float, np.uint8), strict=True))
+                qids, q, ids, firsts, v, codes = (np.frombuffer(c.as_buffer(), t) for c, t in zip(row, kinds, strict=True))
                 q, v, codes = q.reshape(-1, dim), v.reshape(-1, dim), codes.reshape(len(ids), -1)
                 scores = quantiser.value.scan(q, codes).T
                 if len(ids) > rerank:
@@ -186,22 +187,22 @@ def nearest(
                 else:
                     best = np.broadcast_to(np.arange(len(ids)), (len(q), len(ids)))
                 exact = np.einsum("qrd,qd->qr", v[best], q)
-                order = np.lexsort((ids[best], -exact), axis=1)[:, :keep]
-                exact, found = np.take_along_axis(exact, order, 1), ids[np.take_along_axis(best, order, 1)]
-                columns = np.repeat(qids, order.shape[1]), found.ravel(), exact.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["qrep", "rep", "score"])
-
-    found = met.mapInArrow(run, "qrep long, rep long, score double")
-    best = Window.partitionBy("qrep").orderBy(F.desc("score"), "rep")
-    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep).drop("n")
-    first = Window.partitionBy("rep").orderBy("vec_id")
+                order = np.lexsort((ids[best], firsts[best], -exact), axis=1)[:, :keep]
+                exact, own = np.take_along_axis(exact, order, 1), np.take_along_axis(best, order, 1)
+                columns = np.repeat(qids, order.shape[1]), ids[own].ravel(), firsts[own].ravel(), exact.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["qrep", "rep", "first", "score"])
+
+    found = met.mapInArrow(run, "qrep long, rep long, first long, score double")
+    best = Window.partitionBy("qrep").orderBy(F.desc("score"), "first", "rep")
+    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep).drop("n", "first")
+    first = Window.partitionBy("rep").orderBy("vec_id", "row")
     few = members.withColumn("n", F.row_number().over(first)).where(F.col("n") <= keep).drop("n")
     # Expand equal vectors while queries are still one per vector; then one row per query and its few candidates.
-    wide = Window.partitionBy("qrep").orderBy(F.desc("score"), "vec_id")
+    wide = Window.partitionBy("qrep").orderBy(F.desc("score"), "vec_id", "row")
     found = found.join(few, "rep").withColumn("n", F.row_number().over(wide)).where(F.col("n") <= keep).drop("n", "rep")
-    lists = found.groupBy("qrep").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("c"))
+    lists = found.groupBy("qrep").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "row"))).alias("c"))
     out = asked.join(lists, "qrep")
-    c = F.slice(F.filter("c", lambda x: x.vec_id != F.col("query_id")), 1, k)
+    c = F.slice(F.filter("c", lambda x: x["row"] != F.col("own")), 1, k)
     out = out.select("query_id", F.posexplode(c).alias("rank", "c"))
     return out.select("query_id", (F.col("rank") + 1).alias("rank"), "c.vec_id", (-F.col("c.s")).alias("score"))
 
