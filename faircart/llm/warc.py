@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import pyarrow as pa
 import zstandard
@@ -22,6 +24,8 @@ from .common import scratch_path, table
 SKIPPABLE, ZSTD = 0x184D2A5D, 0xFD2FB528
 SUFFIX = ".warc.zst"
 URN = "<urn:page:%s>"
+#: An archive is closed after the record that brings it to this size, so that one file is a modest value to read.
+ROLL_BYTES = 1 << 26
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -96,23 +100,49 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
         return (b"".join(samples) or HEAD)[-size:].rjust(8, b" ")
 
 
-def write_archive(records: Iterator[bytes], out, level: int = 3, dict_size: int = 1 << 15, samples: int = 200) -> int:
-    """Write the dictionary frame and a frame per record to ``out``; the number of records."""
+class ArchiveWriter:
+    """One archive: the dictionary frame, then a frame per record."""
+
+    def __init__(self, out, raw: bytes, level: int = 3):
+        plain = zstandard.ZstdCompressor(level=level).compress(raw)
+        out.write(struct.pack("<II", SKIPPABLE, len(plain)) + plain)
+        dictionary = zstandard.ZstdCompressionDict(raw)
+        dictionary.precompute_compress(level=level)
+        self.packer, self.out, self.size = zstandard.ZstdCompressor(dict_data=dictionary, write_checksum=True), out, 8 + len(plain)
+
+    def add(self, record: bytes) -> None:
+        frame = self.packer.compress(record)
+        self.out.write(frame)
+        self.size += len(frame)
+
+
+def roll_archives(records: Iterator[bytes], create, roll: int = ROLL_BYTES, dict_size: int = 1 << 15, samples: int = 200) -> int:
+    """Write ``records`` to as many archives as they need; the number of records.
+
+    ``create(i)`` is a context that gives the stream of archive ``i``. The dictionary is made from the first
+    records and leads every archive.
+    """
     first = [r for _, r in zip(range(samples), records)]
-    raw = train_dictionary([r[:8192] for r in first], dict_size)
-    plain = zstandard.ZstdCompressor(level=level).compress(raw)
-    out.write(struct.pack("<II", SKIPPABLE, len(plain)) + plain)
-    dictionary = zstandard.ZstdCompressionDict(raw)
-    dictionary.precompute_compress(level=level)
-    packer = zstandard.ZstdCompressor(dict_data=dictionary, write_checksum=True)
-    n = 0
-    for group in (first, records):
-        for r in group:
-            out.write(packer.compress(r))
-            n += 1
+    if not first:
+        return 0
+    raw, n, i = train_dictionary([r[:8192] for r in first], dict_size), 0, 0
+    left = itertools.chain(first, records)
+    while (r := next(left, None)) is not None:
+        with create(i) as out:
+            archive = ArchiveWriter(out, raw)
+            while r is not None:
+                archive.add(r)
+                n += 1
+                r = next(left, None) if archive.size < roll else None
+        i += 1
     return n
 
 
+def write_archive(records: Iterator[bytes], out) -> int:
+    """Write all records to one archive ``out``; the number of records."""
+    return roll_archives(records, lambda i: nullcontext(out), roll=1 << 62)
+
+
 def read_frames(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
     """The records of one archive: dictionary from the leading skippable frame, then a frame each."""
     view = memoryview(data)
@@ -156,11 +186,11 @@ def with_responses(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> int:
-    """Write ``pages(page_id, url, html)`` as one archive per partition under ``path``; the number of records.
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", roll: int = ROLL_BYTES) -> int:
+    """Write ``pages(page_id, url, html)`` as archives of about ``roll`` bytes under ``path``; the number of records.
 
-    ``path`` must be a URI that executors share. An archive is written under another name and
-    renamed, and a repeated task replaces its own file, so a lost executor leaves no half archive.
+    ``path`` must be a URI that executors share. A task writes under names of its own attempt and renames
+    its archives when all are whole; a repeated task replaces them, so a lost executor leaves no half archive.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,13 +205,21 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
 
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
-        draft = f"{folder}/_{uuid.uuid4().hex}"
-        with store.open_output_stream(draft) as out:
-            n = write_archive(records(), out)
-        if n:
-            store.move(draft, f"{folder}/part-{TaskContext.get().partitionId():06d}{SUFFIX}")
-        else:
-            store.delete_file(draft)
+        drafts: list[str] = []
+
+        def create(i: int):
+            drafts.append(f"{folder}/_{uuid.uuid4().hex}")
+            return store.open_output_stream(drafts[-1])
+
+        n = roll_archives(records(), create, roll)
+        name = f"{folder}/part-{TaskContext.get().partitionId():06d}-%05d{SUFFIX}"
+        for i, draft in enumerate(drafts):
+            store.move(draft, name % i)
+        # An attempt before this one may have met the rows in another order and left one archive more.
+        i = len(drafts)
+        while store.get_file_info(name % i).type != fs.FileType.NotFound:
+            store.delete_file(name % i)
+            i += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     done = with_responses(pages, min_bytes).mapInArrow(run, "n long")
