@@ -1,10 +1,9 @@
 """Recurrent language-model scores of whole documents.
 
 A gated recurrent unit reads a document word by word and carries its state from window to window
-to the end. The output is factored: first a class, then the word within its class. One class stands for
-all rarer words and opens a second level of classes, whose number grows with the vocabulary of the
-corpus; words beyond both levels form one class, within which corpus counts tell them apart. Replicas
-are trained by truncated backpropagation in numpy inside Spark tasks and averaged after each round, so
+to the end. The output is factored: first a class, then the word within its class. Classes and words in
+a class grow in number with the fourth root of the corpus vocabulary; words beyond them form one
+class, within which corpus counts tell them apart. Replicas are trained by truncated backpropagation in numpy inside Spark tasks and averaged after each round, so
 weights depend a little on how rows are dealt. Word counts cover all training documents; words too many to
 send to every task are joined.
 """
@@ -29,11 +28,9 @@ END = b" "
 FREQUENT = 150_000
 #: Longer words are known by a digest, so that no key is longer than this.
 WORD_BYTES = 64
-CLASSES, CLASS_SIZE = 32, 32
-FIRST = CLASSES * CLASS_SIZE
-#: Words in a class of the second level; the number of its classes is ``second_classes``.
-SECOND_SIZE = 64
-#: Input ids behind the first level: other words by a hash of their last letters.
+#: Classes at least, and words in each; ``side_of`` gives the number for a corpus.
+SIDE = 32
+#: Input ids behind the explicit words: other words by a hash of their last letters.
 TAILS = 512
 HIDDEN, WINDOW, STREAMS = 16, 32, 256
 #: Rows whose class probabilities are taken together, so that they stay in the cache.
@@ -57,9 +54,9 @@ def words_of(data: bytes | None) -> list[bytes]:
     return words
 
 
-def second_classes(distinct: int) -> int:
-    """Classes of the second level: the power of two next to the cube root of the number of distinct words, 8 at least."""
-    return max(8, 1 << round(np.log2(max(distinct, 1)) / 3))
+def side_of(distinct: int) -> int:
+    """Classes, and words in each, so that about the square root of ``distinct`` words is explicit."""
+    return max(SIDE, round(distinct**0.25))
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -106,17 +103,17 @@ class Lexicon:
     """The commonest words: base log-probability, input and output id of each; the last row is for all others."""
 
     def __init__(self, frequent: list[tuple[bytes, int]], total: int, distinct: int):
-        self.second = second_classes(distinct)
-        vocab = FIRST + self.second * SECOND_SIZE
+        self.side = side_of(distinct)
+        vocab = self.side**2
         self.index = {w: i for i, (w, _) in enumerate(frequent)}
         n, counts = len(frequent), np.array([c for _, c in frequent], np.float64)
         self.log_total = np.log10(total + 0.5 * (distinct + 1))
         self.base = np.r_[np.log10(counts + 0.5) - self.log_total, 0.0]
         self.out = np.minimum(np.arange(n + 1), vocab).astype(np.int32)
         self.out[n] = vocab
-        tails = [FIRST + xxhash.xxh32_intdigest(w[-4:]) % TAILS for w, _ in frequent]
-        self.inp = np.where(self.out < FIRST, self.out, np.r_[tails, FIRST + TAILS]).astype(np.int32)
-        self.inp[n] = FIRST + TAILS
+        tails = [vocab + xxhash.xxh32_intdigest(w[-4:]) % TAILS for w, _ in frequent]
+        self.inp = np.where(self.out < vocab, self.out, np.r_[tails, vocab + TAILS]).astype(np.int32)
+        self.inp[n] = vocab + TAILS
         self.counts = counts[:vocab]
         self.rest_mass = max(float(total - self.counts.sum()), 1.0)
         self.end = self.index.get(END, n)
@@ -127,24 +124,20 @@ class Lexicon:
 
 
 class GatedModel:
-    """A gated recurrent unit with a class-factored softmax in two levels and one class for the rest."""
+    """A gated recurrent unit with a class-factored softmax and one class for the rest."""
 
-    def __init__(self, flat: np.ndarray | None, second: int):
+    def __init__(self, flat: np.ndarray | None, side: int):
         shapes = {
-            "x": (FIRST + TAILS + 1, 3 * HIDDEN),
+            "x": (side**2 + TAILS + 1, 3 * HIDDEN),
             "u": (HIDDEN, 3 * HIDDEN),
-            "wc": (HIDDEN, CLASSES + 1),
-            "bc": (CLASSES + 1,),
-            "wv": (CLASSES, HIDDEN, CLASS_SIZE),
-            "bv": (CLASSES, CLASS_SIZE),
-            "wc2": (HIDDEN, second + 1),
-            "bc2": (second + 1,),
-            "wv2": (second, HIDDEN, SECOND_SIZE),
-            "bv2": (second, SECOND_SIZE),
+            "wc": (HIDDEN, side + 1),
+            "bc": (side + 1,),
+            "wv": (side, HIDDEN, side),
+            "bv": (side, side),
         }
         sizes = [int(np.prod(shape)) for shape in shapes.values()]
         self.flat = np.zeros(sum(sizes), np.float32) if flat is None else np.ascontiguousarray(flat, np.float32)
-        self.second, self.vocab, at = second, FIRST + second * SECOND_SIZE, 0
+        self.side, self.vocab, at = side, side**2, 0
         for (name, shape), size in zip(shapes.items(), sizes, strict=True):
             setattr(self, name, self.flat[at : at + size].reshape(shape))
             at += size
@@ -153,17 +146,15 @@ class GatedModel:
     def start(cls, lexicon: Lexicon, seed: int = 0) -> GatedModel:
         """Small random weights; the output biases give the corpus counts."""
         rng = np.random.default_rng(seed)
-        m = cls(None, lexicon.second)
+        m = cls(None, lexicon.side)
         m.flat[:] = rng.normal(0, 0.1, len(m.flat))
         m.u[:] = rng.normal(0, HIDDEN**-0.5, m.u.shape)
         counts = np.full(m.vocab, 1e-12)
         counts[: len(lexicon.counts)] = lexicon.counts + 0.5
-        rest = lexicon.rest_mass
-        for b, v, per_class in ((m.bc2, m.bv2, counts[FIRST:].reshape(m.second, -1)), (m.bc, m.bv, counts[:FIRST].reshape(CLASSES, -1))):
-            b[:] = np.log(np.r_[per_class.sum(1), rest])
-            rest += per_class.sum()
-            b -= b.max()
-            v[:] = np.maximum(np.log(per_class / per_class.sum(1, keepdims=True)), -20)
+        per_class = counts.reshape(m.side, m.side)
+        m.bc[:] = np.log(np.r_[per_class.sum(1), lexicon.rest_mass])
+        m.bc -= m.bc.max()
+        m.bv[:] = np.maximum(np.log(per_class / per_class.sum(1, keepdims=True)), -20)
         return m
 
     def step(self, a: np.ndarray, h: np.ndarray):
@@ -198,27 +189,17 @@ class GatedModel:
 
     def log_prob(self, h: np.ndarray, target: np.ndarray, grad: GatedModel | None = None):
         """Natural log-probability of each target from each state; with ``grad`` also the loss's gradient by state."""
-        out, dh = np.zeros(len(h), np.float32), np.zeros_like(h)
-        rows, names = np.arange(len(h)), ("wc", "bc", "wv", "bv")
-        for base, classes, size, level in ((0, CLASSES, CLASS_SIZE, ""), (FIRST, self.second, SECOND_SIZE, "2")):
-            wc, bc, wv, bv = (getattr(self, n + level) for n in names)
-            gwc, gbc, gwv, gbv = (None if grad is None else getattr(grad, n + level) for n in names)
-            word = target[rows] - base
-            cls = np.minimum(word // size, classes)
-            logs, d = self.choose(h[rows], wc, bc, cls, None if grad is None else (gwc, gbc))
-            out[rows] += logs
+        side = self.side
+        cls = target // side
+        out, dh = self.choose(h, self.wc, self.bc, cls, None if grad is None else (grad.wc, grad.bc))
+        order = np.argsort(cls, kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(side + 1))
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            own = order[cuts[c] : cuts[c + 1]]
+            logs, d = self.choose(h[own], self.wv[c], self.bv[c], target[own] - c * side, None if grad is None else (grad.wv[c], grad.bv[c]))
+            out[own] += logs
             if grad is not None:
-                dh[rows] += d
-            order = np.argsort(cls, kind="stable")
-            cuts = np.searchsorted(cls[order], np.arange(classes + 1))
-            for c in np.flatnonzero(np.diff(cuts)).tolist():
-                inner = order[cuts[c] : cuts[c + 1]]
-                own = rows[inner]
-                logs, d = self.choose(h[own], wv[c], bv[c], word[inner] - c * size, None if grad is None else (gwv[c], gbv[c]))
-                out[own] += logs
-                if grad is not None:
-                    dh[own] += d
-            rows = rows[cls == classes]
+                dh[own] += d
         return out if grad is None else (out, dh)
 
     def score(self, inputs: list[np.ndarray], targets: list[np.ndarray], group: int = 512, window: int = 64) -> np.ndarray:
@@ -247,7 +228,7 @@ class GatedModel:
 
     def gradient(self, x: np.ndarray, y: np.ndarray, h: np.ndarray):
         """Truncated backpropagation through one window; targets below 0 are padding."""
-        steps, grad, before, kept = len(x), GatedModel(None, self.second), [], []
+        steps, grad, before, kept = len(x), GatedModel(None, self.side), [], []
         states = np.zeros((*x.shape, HIDDEN), np.float32)
         for t in range(steps):
             before.append(h)
@@ -346,7 +327,7 @@ def train(docs: DataFrame, lexicon, rounds: int = ROUNDS) -> GatedModel:
         sent = spark.sparkContext.broadcast(model.flat)
 
         def run(batches, k=k, sent=sent):
-            trainer = Trainer(GatedModel(sent.value.copy(), lexicon.value.second))
+            trainer = Trainer(GatedModel(sent.value.copy(), lexicon.value.side))
             for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
                 held = [sequence(lexicon.value, lexicon.value.ids(words_of(x.as_py()))) for x in b.column(0)]
                 trainer.fit(held)
@@ -359,7 +340,7 @@ def train(docs: DataFrame, lexicon, rounds: int = ROUNDS) -> GatedModel:
         if sums.num_rows:
             flat = np.zeros(size, np.float32)
             flat[sums.column("i").to_numpy()] = sums.column("x").to_numpy()
-            model = GatedModel(flat, model.second)
+            model = GatedModel(flat, model.side)
     return model
 
 
@@ -387,7 +368,7 @@ def score(docs: DataFrame, fold: int = 1, frequent: int = FREQUENT) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lex, net, uid = lexicon.value, GatedModel(model.value, lexicon.value.second), TaskContext.get().partitionId() << 33
+        lex, net, uid = lexicon.value, GatedModel(model.value, lexicon.value.side), TaskContext.get().partitionId() << 33
         n = len(lex.index)
         for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             ids, ys, rest, numbers = [], [], [], []

@@ -59,14 +59,14 @@ def lexicon():
 def test_gradient_by_differences():
     rng = np.random.default_rng(0)
     model = lm.GatedModel.start(lexicon())
-    x, y = rng.integers(0, lm.FIRST + lm.TAILS + 1, (5, 3)), rng.integers(0, model.vocab + 1, (5, 3))
-    y[0, 0], y[0, 1], y[1, 1] = 3, lm.FIRST + 5, model.vocab
+    x, y = rng.integers(0, model.vocab + lm.TAILS + 1, (5, 3)), rng.integers(0, model.vocab + 1, (5, 3))
+    y[0, 0], y[0, 1] = 3, model.vocab
     y[3:, 2] = -1
     h = rng.normal(size=(3, lm.HIDDEN)).astype(np.float32)
     _, grad, _ = model.gradient(x, y, h)
     direction = (grad.flat != 0) * rng.normal(size=len(grad.flat)).astype(np.float32)
     step = 1e-3
-    loss = [-lm.GatedModel(model.flat + s * direction, model.second).gradient(x, y, h)[0] for s in (step, -step)]
+    loss = [-lm.GatedModel(model.flat + s * direction, model.side).gradient(x, y, h)[0] for s in (step, -step)]
     assert abs((loss[0] - loss[1]) / (2 * step) - float(grad.flat @ direction)) < 2e-2 * max(1, abs(float(grad.flat @ direction)))
 
 
