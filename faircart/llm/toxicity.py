@@ -32,7 +32,7 @@ SAMPLE = 12_000
 LANDMARKS, SHORTLIST = 72, 600
 #: Landmarks from all labelled texts, beside those from words that toxic texts hold far more often.
 PLAIN_LANDMARKS = 24
-#: Sentences of each labelled text that training sees at most: those with the largest kernel values.
+#: Sentences of each labelled text that training sees at most: those with the largest values at toxic landmarks.
 KEPT = 8
 #: A sentence ends at a full stop, an exclamation or a question mark, or after this many words.
 LONGEST = 24
@@ -206,13 +206,13 @@ def worst(decision: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(decision, np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]))
 
 
-def fit_sentences(x: np.ndarray, owner: np.ndarray, y: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, float]:
+def fit_sentences(x: np.ndarray, owner: np.ndarray, y: np.ndarray, likely: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, float]:
     """A support vector machine on sentences ``x`` of texts ``owner`` with labels ``y`` by text.
 
     All sentences of a clean text are clean. Of a toxic text one sentence is toxic: first the one with
-    the largest features, then the one that the machine of the round before finds worst.
+    the largest value of ``likely``, then the one that the machine of the round before finds worst.
     """
-    at, value = np.arange(len(x)), np.linalg.norm(x, axis=1)
+    at, value = np.arange(len(x)), likely
     w, b = np.zeros(x.shape[1]), 0.0
     for _ in range(rounds):
         order = np.lexsort((at, -value, owner))
@@ -273,15 +273,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * f + self.b, -30, 30)))
 
 
-def choose_landmarks(toxic: list[str], plain: list[str]) -> list[str]:
-    """Words of ``toxic`` and then of ``plain`` that no landmark before nearly equals."""
+def choose_landmarks(toxic: list[str], plain: list[str]) -> tuple[list[str], int]:
+    """Words of ``toxic`` and then of ``plain`` that no landmark before nearly equals, and how many are of the first kind."""
     bare = list(dict.fromkeys(p for w in toxic + plain for p in pieces_of(w)[:1]))
     first = set(bare[: len({p for w in toxic for p in pieces_of(w)[:1]})])
     k, kept = Kernel(bare).values(bare) if bare else np.zeros((0, 0)), []
     for i, w in enumerate(bare):
         if len(kept) < LANDMARKS + (w not in first) * PLAIN_LANDMARKS and all(k[i, j] < 0.9 for j in kept):
             kept.append(i)
-    return [bare[i] for i in kept]
+    return [bare[i] for i in kept], sum(bare[i] in first for i in kept)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -308,26 +308,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = counts.withColumn("g", F.when(F.col("k") > F.col("n") * rate, ratio).otherwise(-ratio))
     toxic = [r.w for r in counts.where("g > 3").orderBy(F.desc("g"), "w").limit(SHORTLIST).collect()]
     plain = [r.w for r in counts.orderBy(F.xxhash64("w"), "w").limit(4 * PLAIN_LANDMARKS).collect()]
-    kernel = Kernel(choose_landmarks(toxic, plain) or ["-"])
+    landmarks, marked = choose_landmarks(toxic, plain)
+    kernel, marked = Kernel(landmarks or ["-"]), max(marked, 1)
     sent = spark.sparkContext.broadcast(kernel)
 
     def run(batches):
         read = Sentences(sent.value)
         for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             x, owner = read(b.column(0).to_pylist())
-            size = np.linalg.norm(x, axis=1)
-            order = np.lexsort((-size, owner))
+            order = np.lexsort((-x[:, :marked].max(1), owner))
             rank = np.arange(len(x)) - np.searchsorted(owner, owner)
             kept = np.sort(order[rank < KEPT])
             parts = [x[kept[owner[kept] == i]].tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), b.column(1)], names=["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), *b.columns[1:]], names=["x", "toxic", "doc_id"])
 
-    got = rows.select("text", "toxic").mapInArrow(run, "x binary, toxic int").collect()
+    got = rows.select("text", "toxic", "doc_id").mapInArrow(run, "x binary, toxic int, doc_id long").collect()
+    got.sort(key=lambda r: r.doc_id)
     parts = [np.frombuffer(bytes(r.x), np.float32).reshape(-1, len(kernel.landmarks)) for r in got]
     x, y = np.concatenate(parts).astype(np.float64), np.array([r.toxic for r in got])
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     white = nystroem(kernel)
-    x = x @ white
+    likely, x = x[:, :marked].max(1), x @ white
     # The sigmoid is fitted on decisions for texts that their own machine has not seen.
     fold, f = np.random.default_rng(0).integers(0, 4, len(y)), np.zeros(len(y))
     for k in range(4):
@@ -335,10 +336,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         if own.any() and (~own).any() and len(set(y[~own])) == 2:
             seen = ~own[owner]
             number = np.cumsum(~own) - 1
-            w, b = fit_sentences(x[seen], number[owner[seen]], y[~own])
+            w, b = fit_sentences(x[seen], number[owner[seen]], y[~own], likely[seen])
             f[own] = worst(x[~seen] @ w + b, owner[~seen])
     a, b = fit_sigmoid(f, y)
-    w, bias = fit_sentences(x, owner, y)
+    w, bias = fit_sentences(x, owner, y, likely)
     return Model(kernel, white @ w, bias, a, b)
 
 
