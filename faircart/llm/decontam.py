@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_arrow_column, free_name, table
+from .common import add_arrow_column, free_name, materialise, scratch_path, table
 
 WORD = re.compile(r"\w+")
 #: Characters of test items that one pass over the documents looks for.
@@ -109,48 +109,66 @@ class Sketches:
         return out
 
 
+def block_number(items: DataFrame, chars: int) -> int:
+    return (items.agg(F.sum(F.length("text"))).first()[0] or 0) // chars + 1
+
+
 def item_blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS):
     """Blocks of ``(item_id, text)`` of about ``chars`` characters each, one at a time on the driver."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = total // chars + 1
+    blocks = block_number(items, chars)
     for b in range(blocks):
         yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, slack: int = 4) -> DataFrame:
+def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, slack: int = 4, chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per pair of a document and a test item of which it contains ``threshold`` or more.
 
     Returns ``(doc_id, item_id, shared, shingles, containment)``. Null and empty texts match
     nothing. Items of fewer than ``width`` words are one shingle of all their words. Repeated
-    document rows and repeated items give repeated pairs. Other columns are ignored. Documents
-    are not shuffled: each pass streams them once past the sketches of one block of items.
+    document rows and repeated items give repeated pairs. Very long texts are read whole; an empty table on
+    either side gives no rows. Other columns are ignored. Documents are not shuffled: each pass streams them
+    once past the sketches of one block of items. One block at a time is held by the driver and the tasks: where there
+    are several, each pass is written before the next.
     """
-    out = None
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for block in item_blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(Sketches(block, width, threshold, slack))
+    several, out, path = block_number(benchmark.where("text is not null"), chars) > 1, None, scratch_path(spark, "contained")
+    for block in item_blocks(benchmark, chars):
+        index = spark.sparkContext.broadcast(Sketches(block, width, threshold, slack))
 
         def make(index=index):
             return lambda texts: [index.value.matches(t) for t in texts]
 
         found = add_arrow_column(rows, "text", "m", "array<struct<item_id:long,shared:long,shingles:long>>", make)
-        found = found.select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
-        out = found if out is None else out.unionByName(found)
+        out = found.select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
+        if several:
+            out.write.mode("append").parquet(path)
+            index.destroy()
+    if several:
+        out = spark.read.schema(out.schema).parquet(path)
     return out.withColumn("containment", F.col("shared") / F.col("shingles"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs``, all columns kept, without the rows whose text contains a test item to ``threshold``."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs``, all columns kept, without the rows whose text contains a test item to ``threshold``.
+
+    Null and empty texts stay; repeated rows stay or go together; without test items all rows stay, and an empty
+    table stays empty. Where there are several blocks of items, what each has left is written before the next.
+    """
     columns = docs.columns
-    for block in item_blocks(benchmark):
+    several = block_number(benchmark.where("text is not null"), chars) > 1
+    for block in item_blocks(benchmark, chars):
         index = docs.sparkSession.sparkContext.broadcast(Sketches(block, width, threshold))
 
         def make(index=index):
             return lambda texts: [bool(index.value.matches(t)) for t in texts]
 
         name = free_name(docs, "hit")
-        docs = add_arrow_column(docs, "text", name, "boolean", make).where(~F.col(name)).select(*columns)
+        docs = add_arrow_column(docs, "text", name, "boolean", make).where(~F.col(name)).select(*(f"`{c}`" for c in columns))
+        if several:
+            docs = materialise(docs, "decontaminated")
+            index.destroy()
     return docs
 
 
