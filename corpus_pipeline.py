@@ -1,7 +1,9 @@
 """A corpus pipeline over ``documents``: toxicity, near-duplicates, benchmark, personal data, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``, further columns included. Nulls in any column, empty and very long texts, repeated
+rows and empty tables pass through every stage; a null text counts as empty and stays null until it is packed as the end
+token alone.
 """
 
 from __future__ import annotations
@@ -11,41 +13,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faircart.llm import decontam, packing, pii, similar, toxicity
+from faircart.llm import decontam, packing, pii, simhash, toxicity
 from faircart.llm.common import materialise, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the string-kernel machine calls toxic go."""
+    """Rows that the string-kernel machine calls toxic go; without both kinds of labels, none or all do."""
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of texts linked by a Jaccard similarity of 0.8 over five-word shingles stays.
 
-    It is the smallest by doc_id (null last), then text, then row key.
+    It is the smallest by doc_id (null last), then the first as stored.
     """
-    tagged, key, label = similar.classes(docs)
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text"), F.col(key).alias("k"))
-    kept = tagged.groupBy(label).agg(F.min(order).alias("first")).select(F.col("first.k").alias(key))
-    return tagged.join(kept, key, "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    return simhash.deduplicate(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that contain a test item go."""
+    """Rows that contain four fifths of a test item's five-word shingles go; null and empty texts stay."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and disclosing terms are replaced in the texts; n_chars follows."""
+    """Personal data and disclosing terms are replaced in the texts; n_chars follows. A null text keeps its null n_chars."""
     out = pii.sanitise(docs)
     return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of at most 4096."""
+    """Token pieces with their places in sequences of at most 4096; every row gives one piece at least."""
     return packing.pack(docs)
 
 

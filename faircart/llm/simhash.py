@@ -11,7 +11,7 @@ steps are lossless.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,16 +52,13 @@ def shingle_hashes(text: str | None, words: int = 4, seed: int = 42) -> Iterator
         yield np.array([digest(joined[a:b], seed) for a, b in pairs], dtype="<u8")
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """SimHash of a whole text as an unsigned integer.
-
-    A-Z are lower-cased, words are runs without ASCII white space, shingles count with
-    their repeats. Null, empty and blank texts give 0.
-    """
+def fingerprint_of(parts: Iterable[np.ndarray]) -> int:
+    """SimHash of the hashes in all ``parts``: a bit is 1 if it is set in over half of them; 0 without hashes."""
     counts, total = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text, words, seed):
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
+    for h in parts:
+        for at in range(0, len(h), 16384):
+            bits = np.unpackbits(h[at : at + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts += bits.sum(axis=0, dtype=np.int64)
         total += len(h)
     if not total:
         return 0
@@ -69,6 +66,15 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(set_bits.tobytes(), "little")
 
 
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """SimHash of a whole text as an unsigned integer.
+
+    A-Z are lower-cased, words are runs without ASCII white space, shingles count with
+    their repeats. Null, empty and blank texts give 0.
+    """
+    return fingerprint_of(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     """``(doc_id, fp)`` per document row; ``fp`` is the fingerprint as a signed 64-bit integer."""
 
@@ -222,6 +228,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, tau: int = 4, seed: int = 4
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicate(docs: DataFrame, words: int = 5) -> DataFrame:
+    """One row of each class of texts alike at 0.8 or more over ``words``-word shingles, see ``similar.deduplicate``."""
+    from .similar import deduplicate
+
+    return deduplicate(docs, words)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate classes of the whole ``documents`` table."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -1,8 +1,10 @@
 """Classes of documents whose word shingles are alike by exact Jaccard similarity.
 
-Candidates meet in MinHash bands; all texts that bands connect go to one group, each once, and
-inside a group shingle sets are compared exactly. With 32 bands of four values a pair at
-similarity 0.8 shares no band with probability (1 - 0.8**4)**32, about 5e-8.
+Candidates are what the SimHash operator links by its pigeonring filter, and what meets in MinHash bands:
+fingerprints alone cannot reach a similarity of 0.8, where they differ in ten bits of 64 on average. All texts
+that links or bands connect go to one group, each once, and inside a group shingle sets are compared
+exactly. With 32 bands of four values a pair at similarity 0.8 shares no band with probability
+(1 - 0.8**4)**32, about 5e-8.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import free_name, materialise
 from .components import connected_components
-from .simhash import shingle_hashes
+from .simhash import fingerprint_of, shingle_hashes
+from .simhash import links as simhash_links
 
 BANDS, BAND = 32, 4
 #: Linked from 4 / 5 on, so that the test is in integers.
@@ -94,17 +97,16 @@ def links(texts: DataFrame, groups: DataFrame, words: int, block: int) -> DataFr
     return met.mapInArrow(run, "src long, dst long")
 
 
-def classes(docs: DataFrame, words: int = 5, block: int = BLOCK) -> tuple[DataFrame, str, str]:
-    """All rows of ``docs(text)`` with a unique row key and a class, and the names of these two columns.
+def classes(docs: DataFrame, words: int = 5, block: int = BLOCK) -> tuple[DataFrame, DataFrame, str, list[str]]:
+    """``(marked, classes, key, more)``: all rows of ``docs(text)`` with a unique row key, and ``(key, component)``.
 
     Texts are linked if the sets of their ``words``-word shingles have a Jaccard similarity of 4/5
     or more; a class is a component of links. Null, empty and blank texts have the empty set and
-    are one class. All columns stay as they are.
+    are one class. All columns stay as they are; ``key`` and ``more`` name the added ones.
     """
-    key = free_name(docs, "row_key")
-    label, digest, bands = free_name(docs, "class"), free_name(docs, "digest"), free_name(docs, "bands")
+    key, digest, bands, mark = (free_name(docs, n) for n in ("row_key", "digest", "bands", "mark"))
     at = docs.columns.index("text")
-    more = F.lit(0).cast("long").alias(key), F.lit(b"").alias(digest), F.array().cast("array<long>").alias(bands)
+    more = F.lit(0).cast("long").alias(key), F.lit(b"").alias(digest), F.array().cast("array<long>").alias(bands), F.lit(0).cast("long").alias(mark)
     schema = docs.select("*", *more).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,25 +114,49 @@ def classes(docs: DataFrame, words: int = 5, block: int = BLOCK) -> tuple[DataFr
 
         uid = TaskContext.get().partitionId() << 33
         for b in batches:
-            marks, keys = [], []
+            digests, keys, marks = [], [], []
             for x in b.column(at):
                 shingles = shingle_set(x.as_py(), words)
-                marks.append(xxhash.xxh128_digest(shingles.tobytes()))
+                digests.append(xxhash.xxh128_digest(shingles.tobytes()))
                 keys.append(band_keys(shingles))
-            more = [pa.array(range(uid, uid + len(marks)), pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                marks.append(fingerprint_of([shingles]))
+            more = [
+                pa.array(range(uid, uid + len(marks)), pa.int64()),
+                pa.array(digests, pa.binary()),
+                pa.array(keys, pa.list_(pa.int64())),
+                pa.array(np.array(marks, np.uint64).view(np.int64)),
+            ]
             uid += len(marks)
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=schema.names)
 
     marked = materialise(docs.mapInArrow(run, schema), "similar")
-    sets = marked.groupBy(F.col(digest).alias("digest")).agg(F.min(key).alias("node"), F.first(bands).alias("bands"))
+    sets = marked.groupBy(F.col(digest).alias("digest")).agg(F.min(key).alias("node"), F.first(bands).alias("bands"), F.first(mark).alias("fp"))
     sets = materialise(sets, "similar-sets")
-    keyed = sets.select("node", F.explode("bands").alias("k"))
+    # Fingerprints that SimHash links share a key with the smallest of their component, as texts of one band do.
+    prints = sets.select("fp").distinct()
+    linked = connected_components(simhash_links(prints))
+    prints = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    alike = sets.select("node", "fp").join(prints, "fp").select("node", F.xxhash64(F.lit("simhash"), "component").alias("k"))
+    keyed = sets.select("node", F.explode("bands").alias("k")).unionByName(alike)
     hubs = keyed.groupBy("k").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = connected_components(keyed.join(hubs, "k").where("node <> hub"), "node", "hub")
     texts = marked.select(F.col(key).alias("node"), "text")
     linked = connected_components(materialise(links(texts, groups, words, block), "similar-links"))
-    known = sets.drop("bands").join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    known = sets.select("node", "digest").join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     known = marked.select(F.col(key).alias("key"), F.col(digest).alias("digest")).join(known, "digest").select("key", "component")
-    known = materialise(known, "similar-classes")
-    tagged = marked.drop(digest, bands).join(known.select(F.col("key").alias(key), F.col("component").alias(label)), key)
-    return tagged, key, label
+    return marked, materialise(known, "similar-classes"), key, [key, digest, bands, mark]
+
+
+def deduplicate(docs: DataFrame, words: int = 5, block: int = BLOCK) -> DataFrame:
+    """``docs(doc_id, text)``, all columns kept, with one row of each class.
+
+    It is the smallest by doc_id (null last), then the first as stored. Rows without an id are members like any others;
+    null, empty and blank texts are one class; an empty table stays empty. Only row keys are joined: whole rows meet a
+    written table of the keys that go.
+    """
+    marked, known, key, more = classes(docs, words, block)
+    ids = marked.select(F.col(key).alias("key"), F.col("doc_id").alias("doc_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = known.join(ids, "key").groupBy("component").agg(F.min(order)["key"].alias("key"))
+    gone = materialise(known.select("key").join(first.select("key"), "key", "left_anti").withColumnRenamed("key", key), "similar-gone")
+    return marked.join(gone, key, "left_anti").select(*(f"`{c}`" for c in docs.columns))
