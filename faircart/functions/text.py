@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space beyond ASCII that browser scripts' \\s takes in and Java's does not.
 WIDE_SPACE = "                 　﻿"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with underscores before it until no column of ``df`` has it (case ignored)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ascii_words(pattern: str) -> str:
     """A pattern whose word boundaries know ASCII letters, digits and _ only, whatever the JVM."""
     return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
@@ -34,6 +42,8 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain_space(text), r"\s+", " "))
 
 
+#: A control character that marks the places of matches.
+CUT = "\x01"
 #: Fixed value: what may follow a unit.
 AHEAD = ascii_words(r"(?=\b|\W)")
 
@@ -52,7 +62,9 @@ def find_all(text: Column, pattern: str) -> Column:
     The pieces between matches give the places, so no Python runs.
     """
     kind = "array<struct<start:int,end:int,value:string>>"
-    pieces = F.split(text, pattern, -1)
+    # Splitting by the pattern itself would compile it anew for every row; replacing keeps it.
+    text = F.translate(text, CUT, " ")
+    pieces = F.split(F.regexp_replace(text, pattern, CUT), CUT, -1)
 
     def pairs(found):
         return F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("value")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import free_name
+
 #: Rates closer than this are the same.
 SAME = 0.0001
 
@@ -30,8 +32,9 @@ def lowest_of_n(rows: DataFrame, cohort: list[str], value: str = "cents", minimu
     known = rows.where(F.col(value).isNotNull())
     for c in cohort:
         known = known.where(F.col(c).isNotNull())
-    sizes = known.groupBy(*cohort).agg(F.count("*").alias("lowest_of"), F.min(value).alias("_least")).where(F.col("lowest_of") >= minimum)
-    return known.join(sizes, cohort).where(F.col(value) - F.col("_least") <= SAME).drop("_least")
+    least = free_name(rows, "least")
+    sizes = known.groupBy(*cohort).agg(F.count("*").alias("lowest_of"), F.min(value).alias(least)).where(F.col("lowest_of") >= minimum)
+    return known.join(sizes, cohort).where(F.col(value) - F.col(least) <= SAME).drop(least)
 
 
 def sortable_counts(rows: DataFrame, parent: list[str], key: str = "compare_key", family: str = "family") -> DataFrame:
@@ -45,20 +48,36 @@ def default_compare_key(rows: DataFrame, parent: list[str], key: str = "compare_
     return sortable_counts(rows, parent, key, family).orderBy(F.desc("sortable"), key).limit(1)
 
 
-def slot_sort(rows: DataFrame, parent: list[str], family: str = "family", position: str = "pos", value: str = "cents") -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: list, name: str, coarse) -> DataFrame:
+    """``rows`` with ``name``, their number from 1 within ``keys`` in a total order.
+
+    ``coarse`` is a column that never falls along ``order``. Only rows equal in it are sorted together; the sizes
+    of the groups before are added, so that a hot key is numbered by many tasks.
+    """
+    part, size, before = (free_name(rows, n) for n in ("part", "size", "before"))
+    dealt = rows.withColumn(part, coarse)
+    sizes = dealt.groupBy(*keys, part).agg(F.count("*").alias(size))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn(before, F.coalesce(F.sum(size).over(earlier), F.lit(0))).drop(size)
+    own = Window.partitionBy(*keys, part).orderBy(*order)
+    out = dealt.withColumn(name, F.row_number().over(own)).join(sizes, [*keys, part])
+    return out.withColumn(name, (F.col(name) + F.col(before)).cast("long")).drop(part, before)
+
+
+def slot_sort(
+    rows: DataFrame, parent: list[str], family: str = "family", position: str = "pos", value: str = "cents", step: float = 10.0, run: int = 10_000
+) -> DataFrame:
     """Adds ``new_pos`` and ``moved``: members of a family swap places among their own slots, by value.
 
-    Families of one, and rows without a value, keep their place. Ties keep their order.
+    Families of one, and rows without a value, keep their place. Ties keep their order. Positions are unique in a parent.
+    Rows are ranked together only within ``run`` positions and within ``step`` of the value.
     """
-    slots = Window.partitionBy(*parent, family).orderBy(position)
-    ranks = Window.partitionBy(*parent, family).orderBy(value, position)
-    whole = Window.partitionBy(*parent, family)
-    known = rows.where(F.col(value).isNotNull())
-    places = known.select(*parent, F.col(family).alias(family), F.col(position).alias("new_pos"), F.row_number().over(slots).alias("_r"))
-    ranked = known.withColumn("_r", F.row_number().over(ranks)).withColumn("_n", F.count("*").over(whole))
-    moved = ranked.join(places, [*parent, family, "_r"]).withColumn("new_pos", F.when(F.col("_n") < 2, F.col(position)).otherwise(F.col("new_pos")))
+    rank, known = free_name(rows, "rank"), rows.where(F.col(value).isNotNull())
+    keys = [*parent, family]
+    places = numbered(known.select(*keys, F.col(position).alias("new_pos")), keys, ["new_pos"], rank, F.floor(F.col("new_pos") / run))
+    moved = numbered(known, keys, [value, position], rank, F.floor(F.col(value) / step)).join(places, [*keys, rank])
     fixed = rows.where(F.col(value).isNull()).withColumn("new_pos", F.col(position))
-    out = moved.drop("_r", "_n").select(*rows.columns, "new_pos").unionByName(fixed.select(*rows.columns, "new_pos"))
+    out = moved.select(*rows.columns, "new_pos").unionByName(fixed.select(*rows.columns, "new_pos"))
     return out.withColumn("moved", F.col("new_pos") != F.col(position))
 
 
@@ -68,14 +87,16 @@ def restore_order(rows: DataFrame, parent: list[str], position: str = "pos") ->
 
 def dedupe_products(rows: DataFrame, scope: list[str], position: str = "pos") -> DataFrame:
     """The first product of each lower-case title and display in a scope."""
-    first = Window.partitionBy(*scope, F.lower("title"), "display").orderBy(position)
-    return rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    return first_by(rows, [*scope, F.lower("title"), "display"], position)
+
 
+def first_by(rows: DataFrame, keys: list, *order) -> DataFrame:
+    """The first row of each key in a total order; safe where ``min_by`` would pick any of equals.
 
-def first_by(rows: DataFrame, keys: list[str], *order) -> DataFrame:
-    """The first row of each key in a total order; safe where ``min_by`` would pick any of equals."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    Spark keeps only the first rows of each task before it shuffles (a window group limit), so hot keys stay small.
+    """
+    name = free_name(rows, "nth")
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) == 1).drop(name)
 
 
 def latest(rows: DataFrame, keys: list[str], time: str, *ties) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, prices, units
-from ..functions.text import let, matches, number_text, plain_space, to_fixed, trim_zeros
+from ..functions.text import matches, number_text, plain_space, to_fixed, trim_zeros
 
 #: Largest relative difference at which a printed and a computed rate agree.
 AGREEMENT = 0.08
-PRICE = "struct<cents:double,unit:string,dimension:string,display:string,compare_key:string,explanation:string,source:string>"
 
 
 def rates_agree(left: Column, right: Column) -> Column:
@@ -68,40 +69,66 @@ def pack_multiplier(title: Column, q: Column, pack_count: Column) -> Column:
     )
 
 
-def native_result(native: Column, preferences: dict | None = None) -> Column:
-    """A printed unit price in the preferred unit; null if not convertible."""
+def per_distinct(rows: DataFrame, keys: list[str], add) -> DataFrame:
+    """``rows`` with the columns that ``add(df)`` computes from ``keys`` alone, once for each distinct combination.
+
+    Texts of offers repeat (one title for many dates and shops), and rules over texts cost far more than
+    rows do. Distinct keys are gathered map-side first; adaptive execution splits a hot key in the join back.
+    """
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = add(rows.select(*keys).distinct().repartition(spread, *keys))
+    made = [c for c in known.columns if c not in keys]
+    known = known.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), *made)
+    same = reduce(lambda x, y: x & y, [rows[k].eqNullSafe(known[f"_key{i}"]) for i, k in enumerate(keys)])
+    return rows.join(known, same, "left").drop(*(f"_key{i}" for i in range(len(keys))))
+
+
+def native_rate(native: Column, preferences: dict | None = None) -> Column:
+    """A printed unit price in the preferred unit, ``struct<cents,unit,dimension>``; null if not convertible."""
     to = units.target_unit(native["unit"], preferences)
     cents = units.convert_price(native["cents"], native["unit"], to)
-    told = F.when(native["unit"] == to, F.concat(F.lit("Visible unit price "), native["source"])).otherwise(
-        F.concat(F.lit("Converted "), native["source"], F.lit(" to "), units.label_of(to))
-    )
-    return F.when(cents.isNotNull(), _price(cents, to, native["dimension"], told, "native-unit-price"))
+    return F.when(cents.isNotNull(), _rate(cents, to, native["dimension"]))
+
+
+def _rate(cents: Column, unit: Column, dimension: Column) -> Column:
+    return F.struct(cents.alias("cents"), unit.alias("unit"), dimension.alias("dimension"))
 
 
-def _price(cents: Column, unit: Column, dimension: Column, explanation: Column, source: str) -> Column:
+def package_rate(price_cents: Column, q: Column, times: Column, preferences: dict | None = None) -> Column:
+    """Price over package contents in the preferred unit; null without a multiplier."""
+    to = units.target_unit(q["unit"], preferences)
+    base = units.quantity_to_base(q["value"] * times, q["unit"])
+    cents = price_cents / base * units.to_base(to)
+    return F.when((base > 0) & units.units_are_comparable(q["unit"], to), _rate(cents, to, q["dimension"]))
+
+
+def _price(rate: Column, explanation: Column, source: str) -> Column:
+    """A rate with what is shown of it."""
     return F.struct(
-        cents.alias("cents"),
-        unit.alias("unit"),
-        dimension.alias("dimension"),
-        prices.format_price(cents, unit).alias("display"),
-        F.concat_ws(":", dimension, unit).alias("compare_key"),
+        rate["cents"].alias("cents"),
+        rate["unit"].alias("unit"),
+        rate["dimension"].alias("dimension"),
+        prices.format_price(rate["cents"], rate["unit"]).alias("display"),
+        F.concat_ws(":", rate["dimension"], rate["unit"]).alias("compare_key"),
         explanation.alias("explanation"),
         F.lit(source).alias("source"),
     )
 
 
-def package_result(price_cents: Column, q: Column, times: Column, preferences: dict | None = None) -> Column:
-    """Price over package contents in the preferred unit; null without a multiplier."""
-    to = units.target_unit(q["unit"], preferences)
-    amount = q["value"] * times
-    base = units.quantity_to_base(amount, q["unit"])
-    cents = price_cents / base * units.to_base(to)
-    told = F.concat(
-        F.lit("$"), to_fixed(price_cents / 100, 2), F.lit(" / "), trim_zeros(number_text(amount)), F.lit(" "), units.label_of(q["unit"])
+def native_price(native: Column, rate: Column) -> Column:
+    told = F.when(native["unit"] == rate["unit"], F.concat(F.lit("Visible unit price "), native["source"])).otherwise(
+        F.concat(F.lit("Converted "), native["source"], F.lit(" to "), units.label_of(rate["unit"]))
     )
-    return F.when((base > 0) & units.units_are_comparable(q["unit"], to), _price(cents, to, q["dimension"], told, "current-price"))
+    return _price(rate, told, "native-unit-price")
+
 
+def package_price(price_cents: Column, q: Column, times: Column, rate: Column) -> Column:
+    amount = trim_zeros(number_text(q["value"] * times))
+    told = F.concat(F.lit("$"), to_fixed(price_cents / 100, 2), F.lit(" / "), amount, F.lit(" "), units.label_of(q["unit"]))
+    return _price(rate, told, "current-price")
 
+
+# The texts of warnings.
 def warnings(title: Column, pack_count: Column, source: Column, target: Column) -> Column:
     found = F.array(
         F.when(pack_count > 1, F.concat(F.lit("Multi-pack detected: "), pack_count, F.lit(" pack."))),
@@ -111,31 +138,51 @@ def warnings(title: Column, pack_count: Column, source: Column, target: Column)
     return F.array_compact(found)
 
 
+#: What the rules over titles read of a product; see ``title_verdicts``.
+VERDICT_KEYS = ["title", "_nu", "_nd", "_ns", "_pv", "_pu", "_pd", "_ps", "pack_count"]
+
+
+def title_verdicts(keys: DataFrame) -> DataFrame:
+    """All decisions that need a pattern: on the package, the printed price, the pack and the family."""
+    title, fields = F.col("title"), ("value", "unit", "dimension", "source")
+    package = F.when(F.col("_pu").isNotNull(), F.struct(*(F.col(c).alias(f) for c, f in zip(("_pv", "_pu", "_pd", "_ps"), fields, strict=True))))
+    rows = keys.withColumn("_package", package).withColumn("_ok", classify.is_likely(title, F.col("_package")))
+    rows = rows.withColumn("_times", F.when(F.col("_package").isNotNull(), pack_multiplier(title, F.col("_package"), F.col("pack_count"))))
+    refused = classify.rejection_reason(title, F.col("_nd"), F.col("_nu"), F.lit(None).cast("double"), F.col("_ns")).isNotNull()
+    rows = rows.withColumn("_refused", F.when(F.col("_nu").isNotNull(), refused))
+    rows = rows.withColumn("_counted", matches(F.col("_ps"), r"\b(?:ct\.?|counts?|pieces?|items?)\b"))
+    rows = rows.withColumn("_cased", F.col("_ps").rlike(r"(?i)/\s*case|pack"))
+    liquid = F.when(F.col("_pd") == "volume", classify.family(title, F.col("_pd")) == "laundry:detergent-liquid")
+    return rows.withColumn("_liquid", liquid).drop("_package")
+
+
 def normalize(products: DataFrame, preferences: dict | None = None) -> DataFrame:
     """Adds ``normalized`` (null where the evidence is missing or conflicts) and ``warnings``.
 
     ``products`` has title, price_cents, native ``struct<cents,unit,dimension,source,...>``, package
-    ``struct<value,unit,dimension,source,...>`` and pack_count. Everything is row-local.
+    ``struct<value,unit,dimension,source,...>`` and pack_count. Rules over texts run once for each distinct title with its
+    parsed facts; what remains for a row is arithmetic. Columns that begin with ``_`` are kept free for this.
     """
     title, native, package = F.col("title"), F.col("native"), F.col("package")
-    fluid = (native["unit"] == "oz") & (package["unit"] == "fl_oz")
-    retyped = F.when(F.coalesce(fluid, F.lit(False)), native.withField("unit", F.lit("fl_oz")).withField("dimension", F.lit("volume"))).otherwise(native)
-    rows = products.withColumn("_fluid", F.coalesce(fluid, F.lit(False))).withColumn("_native", retyped)
-    likely_package = classify.is_likely(title, package)
-    own = F.col("_native")
-    rate = F.struct(F.lit(None).cast("double").alias("value"), own["unit"].alias("unit"), own["dimension"].alias("dimension"), own["source"].alias("source"))
-    count = (native["unit"] == "each") & (package["dimension"] == "count") & (package["value"] > 1)
-    rows = rows.withColumn("_ok", likely_package).withColumn("_times", F.when(package.isNotNull(), pack_multiplier(title, package, F.col("pack_count"))))
-    usable = own.isNotNull() & (classify.reject(title, rate).isNull() | F.coalesce(count & F.col("_ok"), F.lit(False)))
-    rows = rows.withColumn("_n", F.when(usable, native_result(own, preferences)))
+    fluid = F.coalesce((native["unit"] == "oz") & (package["unit"] == "fl_oz"), F.lit(False))
+    rows = products.withColumn("_fluid", fluid)
+    rows = rows.withColumn("_nu", F.when(fluid, F.lit("fl_oz")).otherwise(native["unit"]))
+    rows = rows.withColumn("_nd", F.when(fluid, F.lit("volume")).otherwise(native["dimension"]))
+    # Only these kinds of printed prices are judged by their own text.
+    rows = rows.withColumn("_ns", F.when(F.col("_nd").isin("length", "count") | (F.col("_nu") == "g"), native["source"]))
+    rows = rows.select("*", package["value"].alias("_pv"), package["unit"].alias("_pu"), package["dimension"].alias("_pd"), package["source"].alias("_ps"))
+    rows = per_distinct(rows, VERDICT_KEYS, title_verdicts)
+    own = F.struct(native["cents"].alias("cents"), F.col("_nu").alias("unit"), F.col("_nd").alias("dimension"), native["source"].alias("source"))
+    count = (native["unit"] == "each") & (F.col("_pd") == "count") & (F.col("_pv") > 1)
+    usable = native.isNotNull() & (~F.col("_refused") | F.coalesce(count & F.col("_ok"), F.lit(False)))
     packed = F.col("_ok") & F.col("price_cents").isNotNull() & F.col("_times").isNotNull()
-    rows = rows.withColumn("_p", F.when(packed, package_result(F.col("price_cents"), package, F.col("_times"), preferences)))
+    rows = rows.withColumn("_n", F.when(usable, native_rate(own, preferences)))
+    rows = rows.withColumn("_p", F.when(packed, package_rate(F.col("price_cents"), package, F.col("_times"), preferences)))
     n, p = F.col("_n"), F.col("_p")
-    source = package["source"]
-    counted = (package["dimension"] == "count") & (package["value"] > 1) & matches(source, r"\b(?:ct\.?|counts?|pieces?|items?)\b")
-    takes_package = (n["unit"] == "each") & (counted | (p["dimension"] != "count") | (p["unit"] != "each") | source.rlike(r"(?i)/\s*case|pack"))
-    liquid = (package["dimension"] == "volume") & (p["dimension"] == "volume") & (classify.family(title, p["dimension"]) == "laundry:detergent-liquid")
+    counted = (F.col("_pd") == "count") & (F.col("_pv") > 1) & F.col("_counted")
+    takes_package = (n["unit"] == "each") & (counted | (p["dimension"] != "count") | (p["unit"] != "each") | F.col("_cased"))
     other = (p["dimension"] == "count") & (p["unit"] != "each")
+    liquid = (p["dimension"] == "volume") & F.col("_liquid")
     choice = (
         F.when(package.isNotNull() & F.col("_times").isNull() & n.isNotNull() & (n["dimension"] != "count"), "abstain")
         .when(n.isNull() & p.isNull(), "abstain")
@@ -147,48 +194,55 @@ def normalize(products: DataFrame, preferences: dict | None = None) -> DataFrame
         .when(rates_agree(n["cents"], p["cents"]), "native")
         .otherwise("abstain")
     )
-    rows = rows.withColumn("_choice", choice)
-    picked = F.when(F.col("_choice") == "native", n).when(F.col("_choice") == "package", p)
-    unit = F.when(F.col("_choice") == "native", own["unit"]).when(F.col("_choice") == "package", package["unit"])
-    told = F.when(picked.isNotNull(), warnings(title, F.col("pack_count"), unit, picked["unit"]))
-    # Filters on the outcome stop at the explode; pushed below it they would repeat all these expressions.
-    outcome = F.struct(F.col("_choice").alias("choice"), picked.alias("normalized"), told.alias("warnings"))
-    rows = rows.withColumn("_out", F.explode(F.array(outcome)))
-    return rows.select(*(F.col(c) for c in products.columns), "_out.*")
+    rows = rows.withColumn("choice", choice)
+    by_native, by_package = F.col("choice") == "native", F.col("choice") == "package"
+    picked = F.when(by_native, native_price(own, n)).when(by_package, package_price(F.col("price_cents"), package, F.col("_times"), p))
+    unit, target = F.when(by_native, F.col("_nu")).when(by_package, F.col("_pu")), F.when(by_native, n["unit"]).when(by_package, p["unit"])
+    told = F.when(by_native | by_package, warnings(title, F.col("pack_count"), unit, target))
+    return rows.select(*(F.col(c) for c in products.columns), "choice", picked.alias("normalized"), told.alias("warnings"))
+
+
+def usable_quantities(title: Column, text: Column) -> Column:
+    """The quantities of ``text`` that may be the package size of a product with this title."""
+    own = F.transform(prices.parse_quantities(text), lambda q: classify.specialize(title, q))
+    return F.filter(own, lambda q: classify.reject(title, q).isNull())
+
+
+def title_facts(titles: DataFrame) -> DataFrame:
+    """What a title alone tells: printed price, quantities, the quantity a product is used by, pack count."""
+    title = F.col("title")
+    rows = titles.withColumn("_title_native", F.try_element_at(prices.parse_native_prices(title), F.lit(1)))
+    rows = rows.withColumn("_in_title", usable_quantities(title, title))
+    rows = rows.withColumn("_title_use", classify.select_use_quantity(title, F.col("_in_title")))
+    return rows.withColumn("_title_pack", prices.pack_count(title))
 
 
 def extract(cards: DataFrame, preferences: dict | None = None) -> DataFrame:
     """Products of ``cards(title, card_text, price_text)`` that could be normalised; other columns stay.
 
-    Facts come from the title first. A quantity that stands in the title outranks others.
+    Facts come from the title first, once for each distinct title. A quantity that stands in the title outranks others.
     """
-    title = plain_space(F.col("title"))
     text, scoped = plain_space(F.coalesce("card_text", F.lit(""))), plain_space(F.coalesce("price_text", "card_text", F.lit("")))
-    rows = cards.withColumn("title", title).withColumn("_text", text).withColumn("_scoped", scoped)
-    from_title = F.try_element_at(prices.parse_native_prices(F.col("title")), F.lit(1))
-    rows = rows.withColumn("_title_native", from_title)
-    rows = rows.withColumn("native", F.coalesce("_title_native", F.try_element_at(prices.parse_native_prices(F.col("_text")), F.lit(1))))
-
-    def usable(source: str) -> Column:
-        own = F.transform(prices.parse_quantities(F.col(source)), lambda q: classify.specialize(F.col("title"), q))
-        return F.filter(own, lambda q: classify.reject(F.col("title"), q).isNull())
-
-    rows = rows.withColumn("_in_title", usable("title"))
-    elsewhere = F.when((F.size("_in_title") == 0) & F.col("_title_native").isNull(), usable("_text"))
+    rows = cards.withColumn("title", plain_space(F.col("title"))).withColumn("_text", text).withColumn("_scoped", scoped)
+    rows = per_distinct(rows, ["title"], title_facts)
+    title, none = F.col("title"), F.size("_in_title") == 0
+    shown = F.when(F.col("_title_native").isNull(), F.try_element_at(prices.parse_native_prices(F.col("_text")), F.lit(1)))
+    rows = rows.withColumn("native", F.coalesce("_title_native", shown))
+    elsewhere = F.when(none & F.col("_title_native").isNull(), usable_quantities(title, F.col("_text")))
     rows = rows.withColumn("_quantities", F.coalesce(elsewhere, "_in_title"))
     wanted = F.when(F.col("native.unit") != "each", F.col("native.dimension"))
-    chosen = F.coalesce(classify.select_use_quantity(F.col("title"), F.col("_quantities")), prices.select_quantity(F.col("_quantities"), wanted))
-
-    def raised(q):
-        rank = F.when(F.contains(F.col("title"), q["source"]), F.greatest(q["rank"], F.lit(3))).otherwise(q["rank"])
-        return F.when(q.isNotNull(), F.struct(*((rank if c == "rank" else q[c]).alias(c) for c in classify.QUANTITY_FIELDS)))
-
-    rows = rows.withColumn("package", let(chosen, raised))
-    best = F.coalesce(prices.best_price(F.col("_scoped")), prices.best_price(F.col("_text")))
+    use = F.when(none, classify.select_use_quantity(title, F.col("_quantities"))).otherwise(F.col("_title_use"))
+    rows = rows.withColumn("_chosen", F.coalesce(use, prices.select_quantity(F.col("_quantities"), wanted)))
+    q = F.col("_chosen")
+    rank = F.when(F.contains(title, q["source"]), F.greatest(q["rank"], F.lit(3))).otherwise(q["rank"])
+    raised = F.when(q.isNotNull(), F.struct(*((rank if c == "rank" else q[c]).alias(c) for c in classify.QUANTITY_FIELDS)))
+    rows = rows.withColumn("package", raised)
+    same = F.col("_scoped") == F.col("_text")
+    best = F.coalesce(prices.best_price(F.col("_scoped")), F.when(~same, prices.best_price(F.col("_text"))))
     rows = rows.withColumn("price_cents", best["cents"])
-    rows = rows.withColumn("pack_count", F.coalesce(prices.pack_count(F.col("title")), prices.pack_count(F.col("_text"))))
-    rows = rows.drop("_text", "_scoped", "_title_native", "_in_title", "_quantities")
-    return normalize(rows, preferences).where("normalized is not null")
+    rows = rows.withColumn("pack_count", F.coalesce("_title_pack", prices.pack_count(F.col("_text"))))
+    rows = rows.drop("_text", "_scoped", "_title_native", "_in_title", "_title_use", "_title_pack", "_quantities", "_chosen")
+    return normalize(rows, preferences).where("choice <> 'abstain'")
 
 
 def matching_native(native: Column, package: Column, normalized: Column) -> Column:

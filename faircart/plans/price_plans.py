@@ -86,7 +86,7 @@ def best_price_pick(spark, sf_dir):
 
 @query(
     "native_price_parse",
-    f"""SELECT l_orderkey, l_linenumber, {RATE} * 1.0 AS cents, 'lb' AS unit, 'mass' AS dimension FROM lineitem WHERE {RATE} > 0""",
+    f"""SELECT l_orderkey, l_linenumber, CAST({RATE} AS DOUBLE) AS cents, 'lb' AS unit, 'mass' AS dimension FROM lineitem WHERE {RATE} > 0""",
 )
 def native_price_parse(spark, sf_dir):
     """A printed price per pound."""
@@ -110,7 +110,9 @@ def quantity_parse(spark, sf_dir):
         .when(k == 2, F.concat(F.lit("Litter, "), q, F.lit(" lbs.")))
         .otherwise(F.concat(q, F.lit("/case")))
     )
-    found = line.select("l_orderkey", "l_linenumber", F.explode(prices.parse_quantities(t)).alias("q"))
+    rows = line.select("l_orderkey", "l_linenumber", t.alias("text"))
+    rows = normalize.per_distinct(rows, ["text"], lambda d: d.withColumn("q", prices.parse_quantities(F.col("text"))))
+    found = rows.select("l_orderkey", "l_linenumber", F.explode("q").alias("q"))
     return found.select("l_orderkey", "l_linenumber", "q.value", "q.unit", F.col("q.rank").alias("quantity_rank"))
 
 
@@ -200,7 +202,7 @@ def comparison_groups(spark, sf_dir):
 @query(
     "slot_sort",
     f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, {RATE} AS cents,
-      row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_returnflag, l_extendedprice) AS pos FROM lineitem),
+      row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_returnflag, l_extendedprice, l_quantity) AS pos FROM lineitem),
     s AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY pos) AS slot,
       row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY cents, pos) AS rank FROM r)
     SELECT a.l_suppkey, a.pos, b.pos AS new_pos, a.pos <> b.pos AS moved FROM s a JOIN s b
@@ -208,12 +210,10 @@ def comparison_groups(spark, sf_dir):
 )
 def slot_sort(spark, sf_dir):
     """H4: members of a family swap places among their own slots by price."""
-    from pyspark.sql import Window
-
     line = table(spark, sf_dir, "lineitem")
     rate = cents_of(F.col("l_extendedprice") / F.col("l_quantity") / 1000)
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_extendedprice")
-    rows = line.select("l_suppkey", "l_returnflag", rate.alias("cents"), F.row_number().over(w).alias("pos"))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_extendedprice", "l_quantity"]
+    rows = compare.numbered(line.select("l_suppkey", *order, rate.alias("cents")), ["l_suppkey"], order, "pos", F.floor(F.col("l_orderkey") / 10_000)).drop(*(c for c in order if c != "l_returnflag"))
     return compare.slot_sort(rows, ["l_suppkey"], "l_returnflag").select("l_suppkey", "pos", "new_pos", "moved")
 
 
@@ -242,15 +242,16 @@ def native_vs_package(spark, sf_dir):
     j = j.withColumn("price_cents", F.col("p_size") * F.col("rate_cents")).where("price_cents between 1 and 500000")
     shown = F.floor(F.col("rate_cents") * (100 + 3 * (F.col("l_partkey") % 5)) / 100)
     title = F.concat(F.lit("Cat Litter, "), "p_size", F.lit(" lb"))
-    rows = j.select(
-        "l_orderkey",
-        "l_linenumber",
-        title.alias("title"),
-        "price_cents",
-        F.try_element_at(prices.parse_native_prices(F.concat(dollars(shown), F.lit("/lb"))), F.lit(1)).alias("native"),
-        F.try_element_at(prices.parse_quantities(title), F.lit(1)).alias("package"),
-        prices.pack_count(title).alias("pack_count"),
-    )
+    rows = j.select("l_orderkey", "l_linenumber", title.alias("title"), "price_cents", F.concat(dollars(shown), F.lit("/lb")).alias("text"))
+
+    def facts(titles):
+        quantity = F.try_element_at(prices.parse_quantities(F.col("title")), F.lit(1))
+        return titles.withColumn("package", quantity).withColumn("pack_count", prices.pack_count(F.col("title")))
+
+    def rate(texts):
+        return texts.withColumn("native", F.try_element_at(prices.parse_native_prices(F.col("text")), F.lit(1)))
+
+    rows = normalize.per_distinct(normalize.per_distinct(rows, ["title"], facts), ["text"], rate)
     return normalize.normalize(rows).select("l_orderkey", "l_linenumber", "choice")
 
 
@@ -388,16 +389,18 @@ def card_scores(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", classify.card_score(t, k > 0, k == 2, F.lit(False)).alias("score"))
 
 
+CLEAN = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
 @query(
     "candidate_titles",
-    r"""SELECT conv_id, turn, trim(regexp_replace(substr(text, 1, 100), '\s+', ' ', 'g')) AS title FROM conversations
-    WHERE length(trim(regexp_replace(substr(text, 1, 100), '\s+', ' ', 'g'))) BETWEEN 8 AND 220
-      AND NOT regexp_matches(trim(regexp_replace(substr(text, 1, 100), '\s+', ' ', 'g')),
+    rf"""SELECT conv_id, turn, {CLEAN} AS title FROM conversations WHERE length({CLEAN}) BETWEEN 8 AND 220
+      AND NOT regexp_matches({CLEAN},
       '(?i)^(?:add|remove|compare|subscribe|sponsored|shipping|pickup|delivery|options|quick view|buy|sign in|create account)\b|^\$|^\d+\s+pack$|^\d(?:\.\d)?\s+out of 5 stars?\b|^\d+(?:\.\d+)?%\s+off\b')""",
 )
 def candidate_titles(spark, sf_dir):
-    """C11: texts that could be a title."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", classify.clean_candidate_title(F.substring("text", 1, 100)).alias("title"))
+    """C11: texts that could be a title, by their whole length."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", classify.clean_candidate_title(F.col("text")).alias("title"))
     return rows.where("title is not null")
 
 
@@ -414,8 +417,8 @@ def product_evidence(spark, sf_dir):
 
 @query(
     "title_hash",
-    r"""SELECT doc_id, sha256(trim(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', ' ', 'g'))) AS hash FROM documents WHERE text IS NOT NULL""",
+    r"""SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS hash FROM documents WHERE text IS NOT NULL""",
 )
 def title_hash(spark, sf_dir):
-    """Duplicate titles share a hash (the title is the first 80 characters, as this feature defines)."""
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.title_hash(F.substring("text", 1, 80)).alias("hash"))
+    """Whole texts that differ in case and marks only share a hash."""
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.title_hash(F.col("text")).alias("hash"))
