@@ -146,9 +146,17 @@ def squeezed_alnum(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+#: Compatibility forms of ASCII characters: the full-width block and the ideographic blank.
+FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000"
+HALF_WIDTH = "".join(map(chr, range(0x21, 0x7F))) + " "
+
+
 def title_hash(text: Column) -> Column:
-    """sha256 of the lower-case letters and digits, for duplicate titles."""
-    return F.sha2(squeezed_alnum(text), 256)
+    """sha256 of the lower-case letters and digits of a whole text, for duplicate titles.
+
+    Compatibility forms of ASCII characters are brought back first; other characters are no letters here anyway.
+    """
+    return F.sha2(squeezed_alnum(F.translate(text, FULL_WIDTH, HALF_WIDTH)), 256)
 
 
 def text_similarity(left: Column, right: Column) -> Column:
@@ -283,5 +291,5 @@ def parse_decision(raw: Column) -> Column:
 
 
 def strict_json(text: Column) -> Column:
-    """Parsed VARIANT, null if the text is not JSON."""
-    return F.try_parse_json(text)
+    """Parsed VARIANT, null if the text is not one JSON value and nothing else (the parser alone takes what follows a value)."""
+    return F.when(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.try_parse_json(text))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import price_plans
+from . import price_plans, text_plans
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**price_plans.QUERIES}
-ORACLE_SQL: dict[str, str] = {**price_plans.ORACLE_SQL}
+PLANS = (price_plans, text_plans)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in PLANS for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in PLANS for name, sql in m.ORACLE_SQL.items()}

@@ -55,3 +55,19 @@ def rate_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RATE = SQL_MACROS["cents"]("l_extendedprice / l_quantity / 1000")
+
+
+def registry():
+    """Dictionaries of queries and their SQL, and a decorator that fills them."""
+    queries, sql = {}, {}
+
+    def query(name: str, text: str | None = None):
+        def keep(f):
+            queries[name] = f
+            if text:
+                sql[name] = text
+            return f
+
+        return keep
+
+    return queries, sql, query
