@@ -32,9 +32,9 @@ WORD_BYTES = 64
 SIDE = 32
 #: Input ids behind the explicit words: other words by a hash of their last letters.
 TAILS = 512
-HIDDEN, WINDOW, STREAMS = 16, 32, 256
+HIDDEN, WINDOW, STREAMS = 16, 32, 512
 #: Rows whose class probabilities are taken together, so that they stay in the cache.
-CHUNK = 2048
+CHUNK = 512
 #: Bound on a logit; biases start at 0 at most, so that exponentials need no shift.
 MOST = np.float32(40)
 #: Each round learns from other training documents, whole; together the rounds cover all.
@@ -202,7 +202,7 @@ class GatedModel:
                 dh[own] += d
         return out if grad is None else (out, dh)
 
-    def score(self, inputs: list[np.ndarray], targets: list[np.ndarray], group: int = 512, window: int = 64) -> np.ndarray:
+    def score(self, inputs: list[np.ndarray], targets: list[np.ndarray], group: int = 1024, window: int = 64) -> np.ndarray:
         """Log-probability of each whole sequence; the state is carried across windows to its end."""
         out = np.zeros(len(inputs))
         order = np.argsort([-len(x) for x in inputs], kind="stable")
@@ -219,8 +219,9 @@ class GatedModel:
                     x[: len(part), k], y[: len(part), k] = part, targets[own[k]][at : at + steps]
                 states = np.zeros((steps, alive, HIDDEN), np.float32)
                 h = h[:alive]
+                gates = self.x[x]
                 for t in range(steps):
-                    states[t] = h = self.step(self.x[x[t]], h)[0]
+                    states[t] = h = self.step(gates[t], h)[0]
                 told = y >= 0
                 logs = self.log_prob(states[told], y[told])
                 out[own[:alive]] += np.bincount(np.nonzero(told)[1], logs, alive)
@@ -228,29 +229,31 @@ class GatedModel:
 
     def gradient(self, x: np.ndarray, y: np.ndarray, h: np.ndarray):
         """Truncated backpropagation through one window; targets below 0 are padding."""
-        steps, grad, before, kept = len(x), GatedModel(None, self.side), [], []
-        states = np.zeros((*x.shape, HIDDEN), np.float32)
+        steps, grad, kept = len(x), GatedModel(None, self.side), []
+        states, before, inputs = np.zeros((*x.shape, HIDDEN), np.float32), np.empty((*x.shape, HIDDEN), np.float32), self.x[x]
         for t in range(steps):
-            before.append(h)
-            h, parts = self.step(self.x[x[t]], h)
+            before[t] = h
+            h, parts = self.step(inputs[t], h)
             kept.append(parts)
             states[t] = h
         told = y >= 0
         logs, dh_told = self.log_prob(states[told], y[told], grad)
         dstates = np.zeros_like(states)
         dstates[told] = dh_told
-        da = np.empty((*x.shape, 3 * HIDDEN), np.float32)
+        da, du, back = np.empty((*x.shape, 3 * HIDDEN), np.float32), np.empty((*x.shape, 3 * HIDDEN), np.float32), np.ascontiguousarray(self.u.T)
         dh = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
-            (r, z, n, un), prev = kept[t], before[t]
-            dh = dh + dstates[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (prev - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            da[t, :, :HIDDEN], da[t, :, HIDDEN : 2 * HIDDEN], da[t, :, 2 * HIDDEN :] = dr, dz, dn
-            du = np.concatenate((dr, dz, dn * r), axis=1)
-            grad.u += prev.T @ du
-            dh = dh * z + du @ self.u.T
+            (r, z, n, un), d, e = kept[t], da[t], du[t]
+            dh += dstates[t]
+            dn = dh * (1 - z)
+            dn *= 1 - n * n
+            np.multiply(dn * un, r * (1 - r), out=d[:, :HIDDEN])
+            np.multiply(dh * (before[t] - n), z * (1 - z), out=d[:, HIDDEN : 2 * HIDDEN])
+            d[:, 2 * HIDDEN :] = dn
+            e[:, : 2 * HIDDEN] = d[:, : 2 * HIDDEN]
+            np.multiply(dn, r, out=e[:, 2 * HIDDEN :])
+            dh = dh * z + e @ back
+        grad.u += before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
         order = np.argsort(x, axis=None, kind="stable")
         ids = x.ravel()[order]
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
@@ -290,7 +293,7 @@ class Trainer:
 
     def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]]) -> None:
         sequences = sorted(sequences, key=lambda s: -len(s[0]))
-        streams = min(STREAMS, max(32, len(sequences) // 8))  # few documents take smaller steps, more of them
+        streams = min(STREAMS, max(32, len(sequences) // 4))  # few documents take smaller steps, more of them
         groups = [sequences[i : i + streams] for i in range(0, len(sequences), streams)]
         for k in np.random.default_rng(len(sequences)).permutation(len(groups)).tolist():
             group = groups[k]
