@@ -42,7 +42,7 @@ ROUNDS, RATE = 2, 0.01
 #: Distinct words a task counts before it passes them on.
 COUNT_WORDS = 200_000
 #: Documents that are scored together.
-SLICE = 4000
+SLICE = 8000
 LN10 = float(np.log(10))
 
 
@@ -293,7 +293,7 @@ class Trainer:
 
     def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]]) -> None:
         sequences = sorted(sequences, key=lambda s: -len(s[0]))
-        streams = min(STREAMS, max(32, len(sequences) // 4))  # few documents take smaller steps, more of them
+        streams = min(STREAMS, max(32, len(sequences) // 8))  # few documents take smaller steps, more of them
         groups = [sequences[i : i + streams] for i in range(0, len(sequences), streams)]
         for k in np.random.default_rng(len(sequences)).permutation(len(groups)).tolist():
             group = groups[k]
