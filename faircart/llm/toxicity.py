@@ -37,11 +37,11 @@ KEPT = 8
 #: A sentence ends at a full stop, an exclamation or a question mark, or after this many words.
 LONGEST = 24
 #: Words a worker keeps the kernel values of; beyond it the cache starts anew.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 200_000
 #: Texts whose words are looked at together.
 SLICE = 500
 #: The word kernel's power in the sentence kernel, and the word value below which the power is left out as zero.
-POWER, FLOOR = 3, 0.2
+POWER, FLOOR = 3, 0.3
 MARK = re.compile(r"[\W_]+")
 SPACED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
 
