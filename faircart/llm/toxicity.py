@@ -33,7 +33,7 @@ LANDMARKS, SHORTLIST = 72, 600
 #: Landmarks from all labelled texts, beside those from words that toxic texts hold far more often.
 PLAIN_LANDMARKS = 24
 #: Sentences of each labelled text that training sees at most: those with the largest values at toxic landmarks.
-KEPT = 8
+KEPT = 4
 #: A sentence ends at a full stop, an exclamation or a question mark, or after this many words.
 LONGEST = 24
 #: Words a worker keeps the kernel values of; beyond it the cache starts anew.
@@ -226,7 +226,7 @@ def fit_sentences(x: np.ndarray, owner: np.ndarray, y: np.ndarray, likely: np.nd
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss and balanced classes, by Newton steps on the primal."""
     n, d = x.shape
-    x1, s = np.c_[x, np.ones(n)], np.where(y > 0, 1.0, -1.0)
+    x1, s = np.c_[x, np.ones(n, x.dtype)], np.where(y > 0, 1.0, -1.0)
     cost = c * np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y <= 0).sum())))
     w, ridge = np.zeros(d + 1), np.r_[np.ones(d), 1e-6]
 
@@ -235,8 +235,10 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 30) -> tu
 
     for _ in range(steps):
         own = s * (x1 @ w) < 1
-        h = 2 * (x1[own] * cost[own, None]).T @ x1[own] + np.diag(ridge)
-        step = np.linalg.solve(h, 2 * x1[own].T @ (cost[own] * s[own])) - w
+        held = x1[own]
+        weighted = held * cost[own, None].astype(x.dtype)
+        h = 2 * (weighted.T @ held).astype(np.float64) + np.diag(ridge)
+        step = np.linalg.solve(h, 2 * weighted.T @ s[own]) - w
         scale = 1.0
         while scale > 1e-3 and loss(w + scale * step) > loss(w):
             scale /= 2
@@ -325,10 +327,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     got = rows.select("text", "toxic", "doc_id").mapInArrow(run, "x binary, toxic int, doc_id long").collect()
     got.sort(key=lambda r: r.doc_id)
     parts = [np.frombuffer(bytes(r.x), np.float32).reshape(-1, len(kernel.landmarks)) for r in got]
-    x, y = np.concatenate(parts).astype(np.float64), np.array([r.toxic for r in got])
+    x, y = np.concatenate(parts), np.array([r.toxic for r in got])
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    del got, parts
     white = nystroem(kernel)
-    likely, x = x[:, :marked].max(1), x @ white
+    likely, x = x[:, :marked].max(1), x @ white.astype(np.float32)
     # The sigmoid is fitted on decisions for texts that their own machine has not seen.
     fold, f = np.random.default_rng(0).integers(0, 4, len(y)), np.zeros(len(y))
     for k in range(4):
