@@ -69,8 +69,9 @@ def unit_pattern() -> str:
     return "|".join(n.translate(_ESCAPED).replace(" ", r"\s+") for n in ordered)
 
 
-def _lookup(pairs: dict) -> Column:
-    return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
+def _lookup(pairs: dict, key: Column) -> Column:
+    """The value of ``key`` in a fixed table, as text; one literal, which the optimizer folds into a map."""
+    return F.try_element_at(F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in pairs.items())), F.lit("\x02"), F.lit("\x01")), key)
 
 
 def normalize_unit_token(raw: Column) -> Column:
@@ -95,23 +96,23 @@ def _names() -> dict[str, str]:
 
 def parse_unit(raw: Column) -> Column:
     """Canonical unit of a spelling; null if unknown."""
-    return F.try_element_at(_lookup(_names()), normalize_unit_token(raw))
+    return _lookup(_names(), normalize_unit_token(raw))
 
 
 def dimension_of(unit: Column) -> Column:
-    return F.try_element_at(_lookup({u: d for u, d, *_ in UNITS}), unit)
+    return _lookup({u: d for u, d, *_ in UNITS}, unit)
 
 
 def label_of(unit: Column) -> Column:
-    return F.try_element_at(_lookup({u: label for u, _, label, *_ in UNITS}), unit)
+    return _lookup({u: label for u, _, label, *_ in UNITS}, unit)
 
 
 def spoken_name(unit: Column) -> Column:
-    return F.try_element_at(_lookup(SPOKEN), unit)
+    return _lookup(SPOKEN, unit)
 
 
 def to_base(unit: Column) -> Column:
-    return F.try_element_at(_lookup({u: f for u, _, _, f, _ in UNITS}), unit)
+    return _lookup({u: f for u, _, _, f, _ in UNITS}, unit).cast("double")
 
 
 def units_are_comparable(left: Column, right: Column) -> Column:
@@ -129,7 +130,7 @@ def quantity_to_base(value: Column, unit: Column) -> Column:
 
 
 def default_unit(dimension: Column) -> Column:
-    return F.try_element_at(_lookup(PREFERRED), dimension)
+    return _lookup(PREFERRED, dimension)
 
 
 def merge_preferences(given: dict | None) -> dict:
@@ -148,7 +149,7 @@ def merge_preferences(given: dict | None) -> dict:
 
 def target_unit(unit: Column, preferences: dict | None = None) -> Column:
     """The preferred unit of the dimension if comparable, else the unit itself."""
-    wanted = F.try_element_at(_lookup(merge_preferences(preferences)["preferred_units"]), dimension_of(unit))
+    wanted = _lookup(merge_preferences(preferences)["preferred_units"], dimension_of(unit))
     return F.when(units_are_comparable(unit, wanted), wanted).otherwise(unit)
 
 

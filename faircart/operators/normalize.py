@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -69,39 +70,35 @@ def pack_multiplier(title: Column, q: Column, pack_count: Column) -> Column:
     )
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, computed and written to the folder of ``spark.checkpoint.dir``; on a single machine a temporary one where that is unset."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="faircart-"))
+    return df.checkpoint()
+
+
 def per_distinct(rows: DataFrame, keys: list[str], add) -> DataFrame:
     """``rows`` with the columns that ``add(df)`` computes from ``keys`` alone, once for each distinct combination.
 
     Texts of offers repeat (one title for many dates and shops), and rules over texts cost far more than
-    rows do. Distinct keys are gathered map-side first; adaptive execution splits a hot key in the join back.
+    rows do. Distinct keys are gathered map-side first; adaptive execution splits a hot key in the join back. What is computed
+    is checkpointed: else each further call would double the plan, and with it the scans of the input.
     """
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = add(rows.select(*keys).distinct().repartition(spread, *keys))
+    known = checkpointed(add(rows.select(*keys).distinct().repartition(spread, *keys)))
     made = [c for c in known.columns if c not in keys]
     known = known.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), *made)
     same = reduce(lambda x, y: x & y, [rows[k].eqNullSafe(known[f"_key{i}"]) for i, k in enumerate(keys)])
     return rows.join(known, same, "left").drop(*(f"_key{i}" for i in range(len(keys))))
 
 
-def native_rate(native: Column, preferences: dict | None = None) -> Column:
-    """A printed unit price in the preferred unit, ``struct<cents,unit,dimension>``; null if not convertible."""
-    to = units.target_unit(native["unit"], preferences)
-    cents = units.convert_price(native["cents"], native["unit"], to)
-    return F.when(cents.isNotNull(), _rate(cents, to, native["dimension"]))
-
-
 def _rate(cents: Column, unit: Column, dimension: Column) -> Column:
     return F.struct(cents.alias("cents"), unit.alias("unit"), dimension.alias("dimension"))
 
 
-def package_rate(price_cents: Column, q: Column, times: Column, preferences: dict | None = None) -> Column:
-    """Price over package contents in the preferred unit; null without a multiplier."""
-    to = units.target_unit(q["unit"], preferences)
-    base = units.quantity_to_base(q["value"] * times, q["unit"])
-    cents = price_cents / base * units.to_base(to)
-    return F.when((base > 0) & units.units_are_comparable(q["unit"], to), _rate(cents, to, q["dimension"]))
-
-
 def _price(rate: Column, explanation: Column, source: str) -> Column:
     """A rate with what is shown of it."""
     return F.struct(
@@ -142,8 +139,8 @@ def warnings(title: Column, pack_count: Column, source: Column, target: Column)
 VERDICT_KEYS = ["title", "_nu", "_nd", "_ns", "_pv", "_pu", "_pd", "_ps", "pack_count"]
 
 
-def title_verdicts(keys: DataFrame) -> DataFrame:
-    """All decisions that need a pattern: on the package, the printed price, the pack and the family."""
+def title_verdicts(keys: DataFrame, preferences: dict | None = None) -> DataFrame:
+    """All decisions that need a pattern or a table: on the package, the printed price, the pack, the family and the units."""
     title, fields = F.col("title"), ("value", "unit", "dimension", "source")
     package = F.when(F.col("_pu").isNotNull(), F.struct(*(F.col(c).alias(f) for c, f in zip(("_pv", "_pu", "_pd", "_ps"), fields, strict=True))))
     rows = keys.withColumn("_package", package).withColumn("_ok", classify.is_likely(title, F.col("_package")))
@@ -153,6 +150,10 @@ def title_verdicts(keys: DataFrame) -> DataFrame:
     rows = rows.withColumn("_counted", matches(F.col("_ps"), r"\b(?:ct\.?|counts?|pieces?|items?)\b"))
     rows = rows.withColumn("_cased", F.col("_ps").rlike(r"(?i)/\s*case|pack"))
     liquid = F.when(F.col("_pd") == "volume", classify.family(title, F.col("_pd")) == "laundry:detergent-liquid")
+    for side in "np":
+        unit, to = F.col(f"_{side}u"), F.col(f"_{side}to")
+        rows = rows.withColumn(f"_{side}to", units.target_unit(unit, preferences)).withColumn(f"_{side}from", units.to_base(unit))
+        rows = rows.withColumn(f"_{side}into", F.when(units.units_are_comparable(unit, to), units.to_base(to)))
     return rows.withColumn("_liquid", liquid).drop("_package")
 
 
@@ -171,13 +172,16 @@ def normalize(products: DataFrame, preferences: dict | None = None) -> DataFrame
     # Only these kinds of printed prices are judged by their own text.
     rows = rows.withColumn("_ns", F.when(F.col("_nd").isin("length", "count") | (F.col("_nu") == "g"), native["source"]))
     rows = rows.select("*", package["value"].alias("_pv"), package["unit"].alias("_pu"), package["dimension"].alias("_pd"), package["source"].alias("_ps"))
-    rows = per_distinct(rows, VERDICT_KEYS, title_verdicts)
+    rows = per_distinct(rows, VERDICT_KEYS, lambda keys: title_verdicts(keys, preferences))
     own = F.struct(native["cents"].alias("cents"), F.col("_nu").alias("unit"), F.col("_nd").alias("dimension"), native["source"].alias("source"))
     count = (native["unit"] == "each") & (F.col("_pd") == "count") & (F.col("_pv") > 1)
     usable = native.isNotNull() & (~F.col("_refused") | F.coalesce(count & F.col("_ok"), F.lit(False)))
     packed = F.col("_ok") & F.col("price_cents").isNotNull() & F.col("_times").isNotNull()
-    rows = rows.withColumn("_n", F.when(usable, native_rate(own, preferences)))
-    rows = rows.withColumn("_p", F.when(packed, package_rate(F.col("price_cents"), package, F.col("_times"), preferences)))
+    # Small expressions: a filter on the choice repeats them wherever the choice reads them.
+    rate = native["cents"] / F.col("_nfrom") * F.col("_ninto")
+    rows = rows.withColumn("_n", F.when(usable & F.col("_ninto").isNotNull(), _rate(rate, F.col("_nto"), F.col("_nd"))))
+    base = F.col("_pv") * F.col("_times") * F.col("_pfrom")
+    rows = rows.withColumn("_p", F.when(packed & (base > 0) & F.col("_pinto").isNotNull(), _rate(F.col("price_cents") / base * F.col("_pinto"), F.col("_pto"), F.col("_pd"))))
     n, p = F.col("_n"), F.col("_p")
     counted = (F.col("_pd") == "count") & (F.col("_pv") > 1) & F.col("_counted")
     takes_package = (n["unit"] == "each") & (counted | (p["dimension"] != "count") | (p["unit"] != "each") | F.col("_cased"))
