@@ -35,15 +35,18 @@ def pointer_fields(text: Column) -> Column:
     return F.when(formed & whole, F.array(*each))
 
 
-def pointer_issue(text: Column) -> Column:
-    """The first thing wrong with a pointer by code; null for a valid one."""
+def pointer_issue(text: Column, any_kind: bool = False) -> Column:
+    """The first thing wrong with a pointer by code; null for a valid one.
+
+    A candidate must be of its field's kind, unless ``any_kind`` leaves that to whoever looks it up.
+    """
     lines, values = F.split(text, "\n"), pointer_fields(text)
     value = dict(zip(FIELDS, (F.get(values, F.lit(i)) for i in range(len(FIELDS))), strict=True))
     outer = (text != F.trim(text)) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("```"))
     nodes = F.split(value["TITLE"], ",")
     bad_nodes = ~value["CARD"].rlike(NODE) | ~F.forall(nodes, lambda n: n.rlike(NODE)) | (F.size(F.array_distinct(nodes)) < F.size(nodes))
     given = {f: value[f] != "NONE" for f in KINDS}
-    bad_value = reduce(lambda a, b: a | b, [given[f] & ~value[f].rlike(rf"^[A-Za-z0-9._:-]+@{k}\d+$") for f, k in KINDS.items()])
+    bad_value = reduce(lambda a, b: a | b, [given[f] & ~value[f].rlike(rf"^[A-Za-z0-9._:-]+@{'[puqk]' if any_kind else k}\d+$") for f, k in KINDS.items()])
     comparable = value["STATUS"] == "comparable"
     some = reduce(lambda a, b: a | b, given.values())
     priced = given["NATIVE_UNIT_PRICE"] | (given["CURRENT_PRICE"] & given["PACKAGE_QUANTITY"])

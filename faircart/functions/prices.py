@@ -23,6 +23,7 @@ NATIVE = (
     r"(?:\$\s*([0-9]+(?:[.,][0-9]+)?)|([0-9]+(?:[.,][0-9]+)?)\s*(?:¢|cents?))\s*(?:[(\[]\s*)?(?:/|per\s+)\s*(?:linear\s+)?"
     rf"({UNIT}){AFTER}"
 )
+PER_UNIT = rf"(?:/|\bper\s+)\s*({UNIT}){AFTER}"
 PACK_OF = rf"(\d+)\s*(?:pack|pk)\s+of\s+({NUM})\s*({UNIT}){AFTER}"
 TIMES = rf"({NUM})\s*(?:x|×|by)\s*({NUM})\s*(?:-\s*)?({UNIT}){AFTER}"
 WIDTH_BY_LENGTH = rf"{NUM}\s*(?:\"|inch(?:es)?|in\.?)\s*(?:x|×|by)\s*({NUM})\s*(ft|feet|foot|yds?\.?|yards?){AFTER}"
@@ -104,6 +105,17 @@ def parse_native_prices(text: Column) -> Column:
     return F.filter(F.transform(find_all(text, pattern), price), lambda x: x.unit.isNotNull() & (x.cents > 0))
 
 
+def parse_per_unit(text: Column) -> Column:
+    """Labels that only name a unit, as "per sq ft": ``array<struct<unit, dimension, source, idx>>``."""
+    pattern = ci(PER_UNIT)
+
+    def label(m):
+        unit = units.parse_unit(group(m.value, pattern, 1))
+        return F.struct(unit.alias("unit"), units.dimension_of(unit).alias("dimension"), m.value.alias("source"), m.start.alias("idx"))
+
+    return F.filter(F.transform(find_all(text, pattern), label), lambda x: x.unit.isNotNull())
+
+
 def _quantity(m, value, raw_unit, rank: int):
     unit = units.parse_unit(raw_unit)
     return F.struct(
