@@ -157,3 +157,30 @@ def best_box(boxes: DataFrame, nodes: DataFrame, page: str, least: float = 0.15,
     close = pairs.withColumn("best", F.max("iou").over(w)).where(F.col("iou") >= near * F.col("best"))
     first = w.orderBy(F.desc("listed"), "depth", F.desc(F.col("nw") * F.col("nh")), "node_id")
     return close.withColumn("r", F.row_number().over(first)).where("r = 1").select(*boxes.columns, "node_id", "iou")
+
+
+def contained_labels(labels: DataFrame, texts: DataFrame, by: list[str]) -> DataFrame:
+    """``(by, label, text, relation)``: for each of ``labels(by, label)`` the shortest of ``texts(by, text)`` that equals, holds or is held by it.
+
+    Blanks are squeezed and case is ignored; ties go to the first text. Instead of comparing all of a group, what may be
+    contained meets by its first three characters what has them anywhere (shorter ones by all they have), and is then
+    looked for as a whole.
+    """
+    from .selection import first_n
+
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    left = labels.select(*by, "label", plain("label").alias("a")).where("a <> ''").distinct()
+    right = texts.select(*by, "text", plain("text").alias("b")).where("b <> ''").distinct()
+
+    def grams(c: str) -> Column:
+        starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1)))
+        each = lambda n: F.transform(starts(n), lambda i: F.substring(c, i, F.lit(n)))
+        return F.array_distinct(F.concat(*map(each, (1, 2, 3))))
+
+    def within(small: DataFrame, s: str, large: DataFrame, g: str) -> DataFrame:
+        keyed = small.withColumn("gram", F.substring(s, 1, 3))
+        return keyed.join(large.withColumn("gram", F.explode(grams(g))), [*by, "gram"]).where(F.contains(g, s)).drop("gram")
+
+    both = within(left, "a", right, "b").unionByName(within(right, "b", left, "a")).distinct()
+    relation = F.when(F.col("a") == F.col("b"), "equal").when(F.contains("b", F.col("a")), "contains").otherwise("contained")
+    return first_n(both.withColumn("relation", relation), [*by, "label"], 1, F.length("text"), "text").select(*by, "label", "text", "relation")

@@ -87,3 +87,38 @@ def leading(rows: DataFrame, by: list[str], score: str, lead: float, *ties) -> D
     w = Window.partitionBy(*by).orderBy(F.desc(score), *ties)
     ranked = rows.withColumn(after, F.lead(score).over(w)).withColumn(r, F.row_number().over(w)).where(F.col(r) == 1)
     return ranked.where(F.col(after).isNull() | (F.col(score) - F.col(after) >= lead)).drop(r, after)
+
+
+def alternating(rows: DataFrame, site: str, abstains: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``turn``: rounds over sites in order, in which each gives one row, by turns one that abstains and one that doesn't.
+
+    The site at an even place begins with one that doesn't abstain, the next with one that does; a site whose wanted
+    kind has run out gives the other, until it has none. The round of a row follows from how many of each kind its site
+    has, so no round waits for the one before: the k-th of the kind that begins comes in round 2k, of the other in 2k + 1,
+    but not later than after all of the other kind. ``turn`` counts from 1. ``order`` must order a site's rows fully.
+    """
+    from .compare import numbered
+
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = rows.withColumn("_late", F.col(abstains).cast("int"))
+    places = own.select(site).distinct().withColumn("_place", F.row_number().over(Window.orderBy(site)) - 1)
+    kinds = own.groupBy(site).agg(F.count_if(F.col("_late") == 1).alias("_lates"), F.count_if(F.col("_late") == 0).alias("_others")).join(places, site)
+    keys = [site, "_late"]
+    own = numbered(own, keys, order, "_k", ranges(own, order[0], spread)).join(kinds, site)
+    first = F.pmod(F.col("_place") + F.col("_late"), F.lit(2)) == 0
+    k, rest = F.col("_k") - 1, F.when(F.col("_late") == 1, F.col("_others")).otherwise(F.col("_lates"))
+    own = own.withColumn("_round", F.least(2 * k + F.when(first, 0).otherwise(1), rest + k))
+    # One row per site and round; sites of a round are few enough to be ranked by their place among those that are left.
+    sizes = own.groupBy("_round").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_round", before.alias("_before"))
+    own = own.withColumn("_at", F.row_number().over(Window.partitionBy("_round").orderBy("_place"))).join(sizes, "_round")
+    return own.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("_before") + F.col("_at")).alias("turn"))
+
+
+def ranges(rows: DataFrame, key: str, parts: int) -> Column:
+    """A coarse ascending number of ``key``, by quantiles, for ``numbered``; 0 for keys that aren't numbers."""
+    if dict(rows.dtypes)[key] not in ("bigint", "int", "double"):
+        return F.lit(0)
+    cuts = sorted(set(rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.01)))
+    return sum((F.when(F.col(key) >= c, 1).otherwise(0) for c in cuts), F.lit(0))

@@ -202,10 +202,8 @@ def comparison_groups(spark, sf_dir):
     "slot_sort",
     f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, {RATE} AS cents,
       row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_returnflag, l_extendedprice, l_quantity) AS pos FROM lineitem),
-    s AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY pos) AS slot,
-      row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY cents, pos) AS rank FROM r)
-    SELECT a.l_suppkey, a.pos, b.pos AS new_pos, a.pos <> b.pos AS moved FROM s a JOIN s b
-    ON a.l_suppkey = b.l_suppkey AND a.l_returnflag = b.l_returnflag AND a.rank = b.slot""",
+    s AS (SELECT l_suppkey, unnest(list(pos ORDER BY cents, pos)) AS pos, unnest(list(pos ORDER BY pos)) AS new_pos FROM r GROUP BY l_suppkey, l_returnflag)
+    SELECT l_suppkey, pos, new_pos, pos <> new_pos AS moved FROM s""",
 )
 def slot_sort(spark, sf_dir):
     """H4: members of a family swap places among their own slots by price."""

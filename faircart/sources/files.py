@@ -90,3 +90,22 @@ def selection_digest(records: DataFrame, by: list[str], key: str) -> DataFrame:
 def first_capture(rows: DataFrame, key: str, order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order)
     return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+
+
+def png_size(content: Column) -> Column:
+    """``struct<width, height>`` from the header of a PNG file's bytes; null for anything else."""
+    head = F.hex(F.substring(content, 1, 24))
+    number = lambda at: F.conv(F.substring(head, 2 * at + 1, 8), 16, 10).cast("long")
+    formed = head.rlike("^89504E470D0A1A0A[0-9A-F]{8}49484452[0-9A-F]{16}$")
+    return F.when(formed & (number(16) > 0) & (number(20) > 0), F.struct(number(16).alias("width"), number(20).alias("height")))
+
+
+def read_pictures(spark: SparkSession, path: str) -> DataFrame:
+    """``(folder, name, size)`` of all PNG files under ``path``; ``size`` is null for a broken one. Only sizes leave the scan."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(path)
+    return rows.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), png_size(F.col("content")).alias("size"))
+
+
+def fits_region(size: Column, width: Column, height: Column, most: float = 2.0) -> Column:
+    """Whether a picture is as large as its region, within ``most`` pixels; a picture without a size never is."""
+    return F.coalesce((F.abs(size["width"] - width) <= most) & (F.abs(size["height"] - height) <= most), F.lit(False))
