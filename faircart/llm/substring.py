@@ -1,7 +1,8 @@
 """Substring deduplication: word windows that an earlier document holds are cut out of later ones.
 
-Every window of a fixed number of words has a Rabin-Karp hash: 64 bits, and 32 more from another base and other word
-values, so that among ten trillion windows one is taken for another with a chance of about one in a thousand. Documents
+Every window of a fixed number of words has a Rabin-Karp hash, of words that are Rabin-Karp hashes of their bytes: 64 bits,
+and 32 more from another base. Were they random, one of ten trillion windows would be taken for another with a chance of
+one in a thousand. Documents
 are dealt into chunks, which are ranges of their ids. Each task sends the distinct hashes it has seen of a chunk, sorted
 and as differences, to the owner of that part of the hash space; the owner counts each hash over chunks and answers a
 chunk with the hashes that an earlier chunk holds. Documents then meet the answers of their chunk, repeats inside the
@@ -13,12 +14,12 @@ holds very many rows is a chunk range of its own, and its rows, which don't remo
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,16 +29,19 @@ from .common import table
 CHUNK_BYTES = 1 << 23
 #: Windows that a task gathers before it sends them on.
 GATHERED = 1 << 20
-#: Words that a task remembers the values of.
-KNOWN_WORDS = 1 << 17
+#: Bytes of a text whose words are hashed at a time.
+PIECE = 1 << 16
+SPACES = re.compile(rb"[\x20\x09-\x0D]")
+IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+BYTE_VALUES = np.random.default_rng(13).integers(0, 1 << 64, 256, np.uint64)
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
 
 class Hashes:
-    """Rabin-Karp hashes of all windows of a text, in 64-bit arithmetic."""
+    """Rabin-Karp hashes of a text's words, over bytes, and of all its windows, over words, in 64-bit arithmetic."""
 
     def __init__(self, window: int):
-        self.window, self.number, self.values = window, {}, []
+        self.window = window
         self.powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * 2
 
     def _powers(self, which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,28 +57,36 @@ class Hashes:
         up, down = self.powers[which]
         return up[:n], down[:n]
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """``(64 bits, 32 more)`` of each window of ``words``; equal windows have equal values wherever they stand."""
-        n = len(words) - self.window + 1
-        if n < 1:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        if len(self.number) > KNOWN_WORDS:
-            self.number, self.values = {}, []
-        number, values = self.number, self.values
-        for w in set(words).difference(number):
-            number[w] = len(values)
-            x = xxhash.xxh3_128_intdigest(w)
-            values.append((x & 0xFFFFFFFFFFFFFFFF, x >> 64))
-        at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        distinct, at = np.unique(at, return_inverse=True) if len(words) < len(values) else (range(len(values)), at)
-        value = np.array([values[i] for i in distinct], np.uint64)
-        out = []
-        for which in range(2):
-            up, down = self._powers(which, len(words))
-            sums = np.zeros(len(words) + 1, np.uint64)
-            np.cumsum(value[at, which] * up, out=sums[1:])
-            out.append((sums[self.window :] - sums[: -self.window]) * down[:n])
-        return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+    def _spans(self, which: int, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The polynomial of ``values`` over each span, by sums from the beginning, wherever the span stands."""
+        up, down = self._powers(which, len(values) + 1)
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[:-1], out=sums[1:])
+        return (sums[end] - sums[start]) * down[start]
+
+    def words(self, text: bytes) -> list[np.ndarray]:
+        """Two values of each word."""
+        out = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
+        at = 0
+        while at < len(text):
+            more = SPACES.search(text, at + PIECE)
+            piece = np.frombuffer(text[at : more.start() if more else len(text)], np.uint8)
+            at += len(piece)
+            space = np.concatenate(([True], IS_SPACE[piece], [True]))
+            edges = np.flatnonzero(space[1:] != space[:-1])
+            values = BYTE_VALUES[piece]
+            for which in range(2):
+                x = self._spans(which, values, edges[::2], edges[1::2])
+                x = (x ^ (x >> np.uint64(32))) * BASES[1 - which]
+                out[which].append(x ^ (x >> np.uint64(29)))
+        return [np.concatenate(x) for x in out]
+
+    def of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """``(64 bits, 32 more)`` of each window; equal windows have equal values wherever they stand."""
+        words = self.words(text or b"")
+        start = np.arange(max(0, len(words[0]) - self.window + 1))
+        key, more = (self._spans(which, words[which], start, start + self.window) for which in range(2))
+        return key, (more >> np.uint64(32)).astype(np.uint32)
 
 
 def later(key: np.ndarray, check: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -134,14 +146,11 @@ def chunk_columns(docs: DataFrame, size: int) -> tuple[Column, Column, int]:
         splits[np.searchsorted(bounds, e)] = ends.count(e) + 1
     splits[-1] = max(1, (some.n - some.ids) * parts // max(1, some.n) + 1)
 
-    @F.pandas_udf("struct<chunk:int,splits:int>")
-    def place(ids):
-        import pandas as pd
-
-        none = ids.isna().to_numpy()
-        at = np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), "left")
-        at[none] = len(bounds) + 1
-        return pd.DataFrame({"chunk": at.astype(np.int32), "splits": splits[at]})
+    @F.arrow_udf("struct<chunk:int,splits:int>")
+    def place(ids: pa.Array) -> pa.Array:
+        at = np.searchsorted(bounds, ids.fill_null(0).to_numpy(), "left")
+        at[ids.is_null().to_numpy(zero_copy_only=False)] = len(bounds) + 1
+        return pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(splits[at])], ["chunk", "splits"])
 
     found = place(F.col("doc_id"))
     return found["chunk"], F.pmod(F.xxhash64("text"), found["splits"]).cast("int"), parts
@@ -177,7 +186,7 @@ def gather(window: int, owners: int):
         for b in batches:
             texts = b.column(2).cast(pa.binary())
             for chunk, split, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, strict=True):
-                found = hashes.of(words_of(text.as_py()))
+                found = hashes.of(text.as_py())
                 if len(found[0]):
                     held[chunk, split].append(found)
                     n += len(found[0])
@@ -225,7 +234,7 @@ def cut_out(window: int):
         ids = docs["doc_id"].to_pylist()
         rank = {d: i for i, d in enumerate(sorted({d for d in ids if d is not None}))} | {None: len(ids)}
         texts = docs["text"].cast(pa.binary())
-        found = [hashes.of(words_of(t.as_py())) for t in texts]
+        found = [hashes.of(t.as_py()) for t in texts]
         size = [len(f[0]) for f in found]
         known = [unpack_keys(x.as_py()) for x in answers["keys"]]
         order = np.concatenate([np.repeat(np.array([rank[d] for d in ids], np.int64), size), np.full(sum(map(len, known)), -1)])

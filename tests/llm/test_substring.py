@@ -84,8 +84,8 @@ def test_empty_tables(spark):
 
 def test_hashes_depend_on_words_alone():
     hashes = substring.Hashes(3)
-    a = hashes.of(b"x y z x y z w".split())
-    b = substring.Hashes(3).of(b"q x y z".split())
+    a = hashes.of(b"x y z x y z w")
+    b = substring.Hashes(3).of(b" q\tx y\nz ")
     for k in range(2):
         assert a[k][0] == a[k][3] == b[k][1]
         assert len(set(a[k].tolist())) == 4
@@ -101,3 +101,13 @@ def test_later_tells_keys_by_both_parts():
     check = np.array([1, 2, 1, 3, 3, 1], np.uint32)
     order = np.array([2, 0, 1, 4, 4, 0])
     assert substring.later(key, check, order).tolist() == [True, False, False, False, False, False]
+
+
+def test_pieces_of_a_text_give_the_same(monkeypatch):
+    text = " ".join(f"word{i % 7} é{i}" for i in range(300)).encode()
+    whole = substring.Hashes(4).of(text)
+    monkeypatch.setattr(substring, "PIECE", 10)
+    parts = substring.Hashes(4).of(text)
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+    assert len(whole[0]) == 597
+    assert len(substring.Hashes(4).of(b"x" * 1000)[0]) == len(substring.Hashes(4).of(None)[0]) == 0
