@@ -134,25 +134,29 @@ def best_box(boxes: DataFrame, nodes: DataFrame, page: str, least: float = 0.15,
     """For every box the node of its page that covers it best: ``boxes`` with ``node_id`` and ``iou``.
 
     Boxes and nodes have ``x, y, w, h``; nodes also ``node_id, depth, listed``. Of overlaps of ``near`` times the best a list
-    item is preferred, then the shallower, the larger and the smaller id. Only boxes and nodes that share a cell of a
-    grid are compared; a cell is as wide as the page's widest node.
+    item is preferred, then the shallower, the larger and the smaller id. A node lies in a grid whose cells are the power of
+    two from its longer side on, so in four cells at most, however large others on its page are. An overlap of ``least`` bounds
+    how much larger one of the two is, so a box looks only at cells of a few sizes, and at those that it meets.
     """
-    cell = nodes.groupBy(page).agg(F.greatest(F.max("w"), F.max("h"), F.lit(1.0)).alias("cell"))
+    level = lambda side: F.ceil(F.log2(F.greatest(side, F.lit(1.0)))).cast("int")
 
-    def cells(d: DataFrame) -> DataFrame:
-        d = d.join(cell, page)
+    def cells(d: DataFrame, size: Column) -> DataFrame:
         for a, s in (("x", "w"), ("y", "h")):
-            d = d.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.col(a) / F.col("cell")), F.floor((F.col(a) + F.col(s)) / F.col("cell")))))
-        return d.drop("cell")
-
-    n = cells(nodes.select(page, "node_id", "depth", "listed", "x", "y", "w", "h"))
-    n = n.select(page, "cx", "cy", "node_id", "depth", "listed", *(F.col(c).alias(f"n{c}") for c in "xywh"))
-    pairs = cells(boxes).join(n, [page, "cx", "cy"])
+            d = d.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.col(a) / size), F.floor((F.col(a) + F.col(s)) / size))))
+        return d
+
+    n = nodes.select(page, "node_id", "depth", "listed", "x", "y", "w", "h").where("w >= 0 and h >= 0").withColumn("level", level(F.greatest("w", "h")))
+    n = cells(n, F.pow(F.lit(2.0), F.col("level")))
+    n = n.select(page, "level", "cx", "cy", "node_id", "depth", "listed", *(F.col(c).alias(f"n{c}") for c in "xywh"))
+    # Both sides of the overlap are at most the smaller side, so with overlap L each side is within 1/L of the other's.
+    low, high = level(F.greatest("w", "h") * least), level(F.greatest("w", "h") / least)
+    asked = boxes.where("w >= 0 and h >= 0").withColumn("level", F.explode(F.sequence(low, high)))
+    pairs = cells(asked, F.pow(F.lit(2.0), F.col("level"))).join(n, [page, "level", "cx", "cy"])
     over = lambda a, s: F.greatest(F.lit(0.0), F.least(F.col(a) + F.col(s), F.col(f"n{a}") + F.col(f"n{s}")) - F.greatest(F.col(a), F.col(f"n{a}")))
     both = over("x", "w") * over("y", "h")
     union = F.col("w") * F.col("h") + F.col("nw") * F.col("nh") - both
     pairs = pairs.withColumn("iou", F.coalesce(F.try_divide(both, union), F.lit(0.0))).where(F.col("iou") >= least)
-    pairs = pairs.drop("cx", "cy").dropDuplicates([*boxes.columns, "node_id"])
+    pairs = pairs.drop("level", "cx", "cy").dropDuplicates([*boxes.columns, "node_id"])
     w = Window.partitionBy(*boxes.columns)
     close = pairs.withColumn("best", F.max("iou").over(w)).where(F.col("iou") >= near * F.col("best"))
     first = w.orderBy(F.desc("listed"), "depth", F.desc(F.col("nw") * F.col("nh")), "node_id")

@@ -68,9 +68,9 @@ _cents, _dollars = SQL_MACROS["cents"]("p_retailprice"), SQL_MACROS["dollars"]
 
 #: The node table (with ``parent`` instead of paths) for DuckDB, to follow WITH; later steps are appended to it.
 SHELF_SQL = f"""p AS (SELECT *, p_partkey // 8 AS page_id, p_partkey % 8 AS k, p_partkey // 8 % 3 AS layout, p_partkey % 5 AS form, {_cents} AS cents, 2 + 8 * (p_partkey % 8) AS b,
-    10.0 + p_partkey % 8 % 3 * 330 AS px, 100.0 + p_partkey % 8 // 3 * 400 AS py, 300.0 + p_size % 3 * 5 AS pw, 320.0 + p_partkey % 2 * 10 AS ph FROM part),
+    (10 + p_partkey % 8 % 3 * 330)::DOUBLE AS px, (100 + p_partkey % 8 // 3 * 400)::DOUBLE AS py, (300 + p_size % 3 * 5)::DOUBLE AS pw, (320 + p_partkey % 2 * 10)::DOUBLE AS ph FROM part),
   n AS (
-    SELECT DISTINCT page_id, 0 AS node, NULL::BIGINT AS parent, 'body' AS tag, NULL AS role, NULL AS text, NULL AS label, false AS interactive, 0.0 AS x, 0.0 AS y, 1000.0 AS w, 1400.0 AS h FROM p
+    SELECT DISTINCT page_id, 0 AS node, NULL::BIGINT AS parent, 'body' AS tag, NULL AS role, NULL AS text, NULL AS label, false AS interactive, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 1000.0::DOUBLE AS w, 1400.0::DOUBLE AS h FROM p
     UNION ALL SELECT DISTINCT page_id, 1, 0, CASE layout WHEN 0 THEN 'ul' WHEN 1 THEN 'div' ELSE 'section' END, NULL, NULL, NULL, false, 0.0, 90.0, 1000.0, 1300.0 FROM p
     UNION ALL SELECT page_id, b, 1, CASE layout WHEN 0 THEN 'li' WHEN 1 THEN 'div' ELSE 'article' END, CASE layout WHEN 0 THEN 'listitem' END, NULL, NULL, false, px, py, pw, ph FROM p
     UNION ALL SELECT page_id, b + 1, b, 'a', NULL, p_name || ', ' || p_size || CASE p_partkey % 4 WHEN 3 THEN ' ct' ELSE ' oz' END, NULL, false, px + 10, py + 10, pw - 20, 40 FROM p
