@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strict_json
+from .text import let, strict_json
 
 # Fields and statuses in their order, with the letters of the selection.
 FIELDS = ("CARD", "TITLE", "CURRENT_PRICE", "NATIVE_UNIT_PRICE", "PACKAGE_QUANTITY", "PACK_COUNT", "STATUS")
@@ -40,25 +40,34 @@ def pointer_issue(text: Column, any_kind: bool = False) -> Column:
 
     A candidate must be of its field's kind, unless ``any_kind`` leaves that to whoever looks it up.
     """
-    lines, values = F.split(text, "\n"), pointer_fields(text)
-    value = dict(zip(FIELDS, (F.get(values, F.lit(i)) for i in range(len(FIELDS))), strict=True))
+    lines = F.split(text, "\n")
     outer = (text != F.trim(text)) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("```"))
-    nodes = F.split(value["TITLE"], ",")
-    bad_nodes = ~value["CARD"].rlike(NODE) | ~F.forall(nodes, lambda n: n.rlike(NODE)) | (F.size(F.array_distinct(nodes)) < F.size(nodes))
-    given = {f: value[f] != "NONE" for f in KINDS}
-    bad_value = reduce(lambda a, b: a | b, [given[f] & ~value[f].rlike(rf"^[A-Za-z0-9._:-]+@{'[puqk]' if any_kind else k}\d+$") for f, k in KINDS.items()])
-    comparable = value["STATUS"] == "comparable"
-    some = reduce(lambda a, b: a | b, given.values())
-    priced = given["NATIVE_UNIT_PRICE"] | (given["CURRENT_PRICE"] & given["PACKAGE_QUANTITY"])
-    return (
-        F.when(text.isNull(), "invalid-output-type")
-        .when(outer | (F.size(lines) != len(FIELDS)), "invalid-line-count")
-        .when(values.isNull(), "invalid-field")
-        .when(bad_nodes, "invalid-node")
-        .when(bad_value, "invalid-candidate")
-        .when(~value["STATUS"].isin(*STATUS_CODES), "invalid-status")
-        .when((~comparable & some) | (comparable & ~priced) | (given["PACK_COUNT"] & ~given["PACKAGE_QUANTITY"]), "incompatible-status")
-    )
+
+    def judge(values):
+        value = dict(zip(FIELDS, (F.get(values, F.lit(i)) for i in range(len(FIELDS))), strict=True))
+        nodes = F.split(value["TITLE"], ",")
+        bad_nodes = ~value["CARD"].rlike(NODE) | ~F.forall(nodes, lambda n: n.rlike(NODE)) | (F.size(F.array_distinct(nodes)) < F.size(nodes))
+        given = {f: value[f] != "NONE" for f in KINDS}
+        bad_value = reduce(lambda a, b: a | b, [given[f] & ~value[f].rlike(rf"^[A-Za-z0-9._:-]+@{'[puqk]' if any_kind else k}\d+$") for f, k in KINDS.items()])
+        comparable = value["STATUS"] == "comparable"
+        some = reduce(lambda a, b: a | b, given.values())
+        priced = given["NATIVE_UNIT_PRICE"] | (given["CURRENT_PRICE"] & given["PACKAGE_QUANTITY"])
+        return (
+            F.when(text.isNull(), "invalid-output-type")
+            .when(outer | (F.size(lines) != len(FIELDS)), "invalid-line-count")
+            .when(values.isNull(), "invalid-field")
+            .when(bad_nodes, "invalid-node")
+            .when(bad_value, "invalid-candidate")
+            .when(~value["STATUS"].isin(*STATUS_CODES), "invalid-status")
+            .when((~comparable & some) | (comparable & ~priced) | (given["PACK_COUNT"] & ~given["PACKAGE_QUANTITY"]), "incompatible-status")
+        )
+
+    return let(pointer_fields(text), judge)
+
+
+def line_value(pointer: Column, field: str) -> Column:
+    """A field of a pointer whose form is right, without another look at the form."""
+    return F.regexp_replace(F.get(F.split(pointer, "\n"), F.lit(FIELDS.index(field))), "^[A-Z_]+ ", "")
 
 
 def serialize_pointer(card: Column, titles: Column, values: dict[str, Column], status: Column) -> Column:

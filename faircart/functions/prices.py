@@ -254,3 +254,18 @@ def accessible_price(cents: Column, unit: Column) -> Column:
 def any_of(text: Column, *patterns: str) -> Column:
     """Whether one of the patterns stands in the text, ignoring case."""
     return reduce(lambda a, b: a | b, [matches(text, p) for p in patterns])
+
+
+#: Fixed value: what a control that chooses a pack says.
+PACK_CONTROL = r"^(?:single\b|\d{1,3}\s*(?:-\s*)?(?:pack|pk)\b|(?:pack|pk)\s+of\s+\d{1,3}\b)"
+
+
+def card_pack_count(title: Column, text: Column, controls: Column) -> Column:
+    """Items in the pack that a card offers: of its title, else of the chosen one of its pack controls, else of its text.
+
+    ``controls`` is an array of ``text, chosen``. Where packs can be chosen and none is, the count is unknown, whatever the text says.
+    """
+    packs = F.filter(controls, lambda c: matches(c["text"], PACK_CONTROL))
+    some = F.exists(packs, lambda c: matches(c["text"], "(?:pack|pk)"))
+    chosen = F.get(F.filter(packs, lambda c: c["chosen"]), F.lit(0))["text"]
+    return F.coalesce(pack_count(title), F.when(F.coalesce(some, F.lit(False)), pack_count(chosen)).otherwise(pack_count(text)))

@@ -25,8 +25,7 @@ def product_issues(products: Column) -> Column:
     cards = F.transform(products, lambda p: p["card"])
 
     def judge(p, i):
-        status = F.get(grammar.pointer_fields(p["target"]), F.lit(6))
-        own = F.get(grammar.pointer_fields(p["target"]), F.lit(0))
+        status, own = (grammar.line_value(p["target"], f) for f in ("STATUS", "CARD"))
         form = grammar.pointer_issue(p["target"], any_kind=True)
         outside = p["scope"] == "non-product"
         code = (
@@ -126,8 +125,96 @@ def compile_campaign(queue: DataFrame, submissions: DataFrame) -> tuple[DataFram
     met = met.select("file", "review_id", "r", issues.alias("issues"))
     good = met.where(F.size("issues") == 0)
     entries = good.select("review_id", "r.page_id", F.inline("r.products"))
-    entries = entries.withColumn("status", F.get(grammar.pointer_fields(F.col("target")), F.lit(6)))
+    entries = entries.withColumn("status", grammar.line_value(F.col("target"), "STATUS"))
     lost = read.where("review_id is null").select("file", "review_id", F.when(F.col("json"), "no-review-id").otherwise("not-json").alias("issue"))
     bad = met.select("file", "review_id", F.explode("issues").alias("issue"))
     missing = queue.select("review_id").join(good.select("review_id"), "review_id", "left_anti").select(F.lit(None).cast("string").alias("file"), "review_id", F.lit("missing").alias("issue"))
     return entries, lost.unionByName(bad).unionByName(missing)
+
+
+def adjudication_issues(third: Column, a: Column, b: Column) -> Column:
+    """What is wrong with the review of a third person, given both independent ones: who, when, of what, and which cards."""
+    cards = lambda r: F.array_distinct(F.transform(r["products"], lambda p: p["card"]))
+    known, both = F.array_union(cards(a), cards(b)), F.array_intersect(cards(a), cards(b))
+    moment = lambda r: F.try_to_timestamp(r["completed"])
+    whole = violations(
+        ("not-adjudicated", third["phase"] != ADJUDICATED),
+        ("same-person", (third["reviewer"] == a["reviewer"]) | (third["reviewer"] == b["reviewer"])),
+        ("not-later", F.coalesce(moment(third) <= F.greatest(moment(a), moment(b)), F.lit(False))),
+        ("other-sources", F.array_sort(F.coalesce(third["source_reviews"], F.array().cast("array<string>"))) != F.array_sort(F.array(a["review_id"], b["review_id"]))),
+    )
+    listed = lambda found, code: F.transform(F.array_sort(found), lambda c: F.concat(c, F.lit(":" + code)))
+    return F.concat(
+        whole, product_issues(third["products"]), listed(F.array_except(known, both), "disputed-root"),
+        listed(F.array_except(known, cards(third)), "omitted"), listed(F.array_except(cards(third), known), "unreviewed"),
+    )
+
+
+def campaign_provenance(pages: DataFrame, eligible: DataFrame, retired: DataFrame, fields: list[str]) -> DataFrame:
+    """``pages(campaign, page_id, cards, fields)`` with ``origin`` (eligible, retired or null) and ``issues``.
+
+    A page must be exactly what a registry holds on all ``fields``, eligible first; stand once in its campaign; and have cards.
+    """
+    keys = ["page_id", *fields]
+    mark = lambda r, name: r.select(*keys).distinct().withColumn(name, F.lit(True))
+    times = pages.groupBy("campaign", "page_id").agg(F.count("*").alias("times"))
+    rows = pages.join(mark(eligible, "eligible"), keys, "left").join(mark(retired, "retired"), keys, "left").join(times, ["campaign", "page_id"])
+    origin = F.when(F.col("eligible"), "eligible").when(F.col("retired"), "retired")
+    issues = violations(("repeated-page", F.col("times") > 1), ("no-cards", F.coalesce(F.col("cards"), F.lit(0)) <= 0), ("unknown-evidence", origin.isNull()))
+    return rows.withColumn("origin", origin).withColumn("issues", issues).drop("eligible", "retired", "times")
+
+
+def training_examples(annotations: DataFrame, nodes: DataFrame, single: bool = False) -> DataFrame:
+    """``(page_id, errors, products)``: annotated pages as examples for training, or why they are none.
+
+    ``annotations`` has ``page_id, status, coverage, annotators, region<x,y,w,h>`` and ``products``, an array of ``card, title, comparable,
+    abstain_reason, cents, native<cents,unit,dimension>, quantity<value,packs,unit,dimension>, evidence<title,price,native,quantity>``
+    with node numbers in ``evidence``. A page must be adjudicated, wholly covered and, unless ``single``, seen by two. Every
+    value needs evidence, units must be known and of the dimension they claim, and a comparable product needs a rate, or a
+    price with a quantity. All that is cited must lie in the crop of the region. ``products`` is null where there are errors.
+    """
+    from ..functions import units
+    from .observation import crop
+
+    has = lambda c: c.isNotNull()
+    own = F.col("products")
+
+    def judge(p):
+        e, native, q = p["evidence"], p["native"], p["quantity"]
+        unit, measure = units.parse_unit(native["unit"]), units.parse_unit(q["unit"])
+        named = lambda code: F.concat(F.lit("n"), p["card"].cast("string"), F.lit(":" + code))
+        priced = has(p["cents"]) & has(e["price"])
+        rated = has(native) & has(unit) & has(e["native"])
+        sized = has(q) & has(measure) & (units.dimension_of(measure) == q["dimension"]) & has(e["quantity"])
+        comparable = F.coalesce(p["comparable"], F.lit(False))
+        codes = (
+            (e.isNull(), "no-evidence"),
+            (has(e) & ~comparable & p["abstain_reason"].isNull(), "no-reason"),
+            (has(e) & comparable & has(p["cents"]) & ~priced, "price-evidence"),
+            (has(e) & comparable & has(native) & unit.isNull(), "native-unit"),
+            (has(e) & comparable & has(native) & has(unit) & ~rated, "native-evidence"),
+            (has(e) & comparable & has(q) & (measure.isNull() | (units.dimension_of(measure) != q["dimension"])), "quantity-unit"),
+            (has(e) & comparable & sized.eqNullSafe(F.lit(False)) & has(q) & has(measure) & e["quantity"].isNull(), "quantity-evidence"),
+            (has(e) & comparable & ~F.coalesce(rated, F.lit(False)) & ~F.coalesce(priced & sized, F.lit(False)), "not-comparable"),
+        )
+        return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), named(code)) for c, code in codes)))
+
+    page = violations(
+        ("not-adjudicated", F.col("status") != ADJUDICATED),
+        ("incomplete", F.col("coverage") != COMPLETE),
+        ("no-region", F.col("region").isNull()),
+        ("one-annotator", F.lit(not single) & (F.size(F.coalesce("annotators", F.array().cast("array<string>"))) < 2)),
+    )
+    rows = annotations.withColumn("own", F.concat(page, F.coalesce(F.flatten(F.transform(own, judge)), F.array().cast("array<string>"))))
+    empty = F.array().cast("array<int>")
+    used = lambda p, k, value: F.coalesce(F.when(F.coalesce(p["comparable"], F.lit(False)) & has(p[value]), p["evidence"][k]), empty)
+    pairs = (("price", "cents"), ("native", "native"), ("quantity", "quantity"))
+    each = lambda p: F.concat(F.array(p["card"]), F.coalesce(p["evidence"]["title"], empty), *(used(p, *x) for x in pairs))
+    cited = rows.select("page_id", F.explode_outer(F.array_distinct(F.flatten(F.transform(own, each)))).alias("node")).where("node is not null")
+    views = rows.where("region is not null").select("page_id", F.lit(0).alias("view"), "region.x", "region.y", "region.w", "region.h")
+    outside = cited.join(crop(nodes, views).select("page_id", "node"), ["page_id", "node"], "left_anti")
+    outside = outside.groupBy("page_id").agg(F.array_sort(F.collect_set("node")).alias("outside"))
+    out = rows.join(outside, "page_id", "left")
+    gone = F.transform(F.coalesce("outside", empty), lambda n: F.concat(F.lit("n"), n.cast("string"), F.lit(":outside-region")))
+    out = out.withColumn("errors", F.when(F.size("own") > 0, F.col("own")).otherwise(gone))
+    return out.select("page_id", "errors", F.when(F.size("errors") == 0, own).alias("products"))

@@ -162,3 +162,97 @@ def label_containment(spark, sf_dir):
 def status_groups(spark, sf_dir):
     """K3: the running state of each page with its groups, exactly."""
     return sessions.status_counts(table(spark, sf_dir, "events"), "user_id", "event_type", 3).select("user_id", "products", "groups", "sortable_groups")
+
+
+@query(
+    "adjudication_checks",
+    """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 9 AS v FROM orders)
+    SELECT k AS page_id, CASE v WHEN 1 THEN 'not-adjudicated' WHEN 2 THEN 'same-person' WHEN 3 THEN 'not-later' WHEN 4 THEN 'other-sources' WHEN 5 THEN 'n3:omitted' WHEN 6 THEN 'n9:other-card,n9:unreviewed,n3:omitted'
+      WHEN 7 THEN 'n3:disputed-root' ELSE '' END AS issues FROM o""",
+)
+def adjudication_checks(spark, sf_dir):
+    """Final reviews against the two that they decide."""
+    a, b = both_reviews(spark, sf_dir)
+    v = F.col("page_id") % 9
+    rows = a.withColumnRenamed("review", "a").join(b.withColumnRenamed("review", "b"), "page_id")
+    rows = rows.withColumn("b", F.when(v == 7, F.col("b").withField("products", F.slice("b.products", 1, 2))).otherwise(F.col("b")))
+    renamed = F.transform("a.products", lambda p: F.when(p["card"] == "n3", p.withField("card", F.lit("n9"))).otherwise(p))
+    products = F.when(v == 5, F.slice("a.products", 1, 2)).when(v == 6, renamed).otherwise(F.col("a.products"))
+    done = F.when(v == 3, F.lit("2024-05-01T12:00:00+02:00")).otherwise(F.lit("2024-05-01T10:00:01Z"))
+    sources = F.when(v == 4, F.array("a.review_id")).otherwise(F.array("b.review_id", "a.review_id"))
+    third = F.struct(
+        F.lit("x").alias("review_id"), "page_id", F.when(v == 2, "bob").otherwise("eve").alias("reviewer"), F.when(v == 1, "independent").otherwise("adjudicated").alias("phase"), done.alias("completed"),
+        sources.alias("source_reviews"), products.alias("products"),
+    )
+    rows = rows.withColumn("third", third)
+    issues = reviews.adjudication_issues(F.col("third"), F.col("a"), F.col("b"))
+    # Omitted comes before unreviewed in the operator; here the order of the text is fixed.
+    order = lambda x: F.array_sort(x, lambda p, q: F.when(F.endswith(p, F.lit("omitted")), 1).otherwise(0) - F.when(F.endswith(q, F.lit("omitted")), 1).otherwise(0))
+    return rows.select("page_id", F.array_join(order(issues), ",").alias("issues"))
+
+
+@query(
+    "campaign_provenance",
+    """WITH p AS (SELECT o_orderkey AS page_id, o_custkey % 3 AS campaign, o_orderkey % 7 AS cards, o_orderstatus AS status, md5(o_orderkey::VARCHAR) AS hash FROM orders)
+    SELECT page_id, campaign, CASE WHEN page_id % 4 > 0 AND page_id % 13 > 0 THEN 'eligible' WHEN page_id % 4 = 0 THEN 'retired' END AS origin,
+      concat_ws(',', CASE WHEN page_id % 5 = 0 THEN 'repeated-page' END, CASE WHEN cards = 0 THEN 'no-cards' END, CASE WHEN page_id % 4 > 0 AND page_id % 13 = 0 THEN 'unknown-evidence' END) AS issues
+    FROM p CROSS JOIN range(1, 3) t(i) WHERE i = 1 OR page_id % 5 = 0""",
+)
+def campaign_provenance(spark, sf_dir):
+    """Pages of campaigns against the registries of eligible and retired captures."""
+    p = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("page_id"), (F.col("o_custkey") % 3).alias("campaign"), (F.col("o_orderkey") % 7).alias("cards"), F.col("o_orderstatus").alias("status"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("hash")
+    )
+    eligible = p.where("page_id % 4 <> 0").withColumn("hash", F.when(F.col("page_id") % 13 == 0, "changed").otherwise(F.col("hash")))
+    found = reviews.campaign_provenance(p.unionByName(p.where("page_id % 5 = 0")), eligible, p.where("page_id % 4 = 0"), ["status", "hash"])
+    return found.select("page_id", "campaign", "origin", F.array_join("issues", ",").alias("issues"))
+
+
+@query(
+    "card_pack_counts",
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 6 WHEN 1 THEN p_size + 1 WHEN 2 THEN NULL WHEN 3 THEN 3 ELSE 4 END AS packs FROM part""",
+)
+def card_pack_counts(spark, sf_dir):
+    """Packs by title, by the chosen control, by none of them, or by the text."""
+    from ..functions import prices
+
+    v = F.col("p_partkey") % 5
+    title = F.when(v == 0, F.concat("p_name", F.lit(", pack of 6"))).otherwise(F.col("p_name"))
+    text = F.concat("p_name", F.when(v == 4, F.lit(" 4 pack")).otherwise(F.lit(" 3-pack")))
+    control = lambda text, chosen: F.struct(text.alias("text"), chosen.alias("chosen"))
+    controls = F.array(control(F.lit("Single"), F.lit(False)), control(F.concat(F.lit("Pack of "), F.expr("p_size + 1")), v == 1), control(F.lit("Blue"), F.lit(True)))
+    plain = F.array(control(F.lit("Blue"), F.lit(True)), control(F.lit("single"), F.lit(True)))
+    packs = prices.card_pack_count(title, text, F.when(v.isin(0, 1, 2), controls).otherwise(plain))
+    return table(spark, sf_dir, "part").select("p_partkey", packs.alias("packs"))
+
+
+EXAMPLE_ERRORS = ("", "not-adjudicated,one-annotator", "n{0}:no-evidence", "n{0}:native-unit,n{0}:not-comparable", "n{0}:quantity-unit,n{0}:not-comparable", "n{0}:price-evidence,n{0}:not-comparable", "n{0}:no-reason", "n{1}:outside-region", "")
+
+
+@query(
+    "training_examples",
+    "SELECT p_partkey // 8 AS page_id, ["
+    + ", ".join("'" + e.replace("{0}", "' || (2 + 8 * (p_partkey % 8)) || '").replace("{1}", "' || (2 + 8 * ((p_partkey + 6) % 8)) || '") + "'" for e in EXAMPLE_ERRORS)
+    + "][p_partkey // 8 % 9 + 1] AS errors FROM part WHERE p_partkey % 8 = 1",
+)
+def training_examples(spark, sf_dir):
+    """Annotated shelves as examples, each with the card at its second place, most with one fault by page."""
+    from .shelves import shelf_nodes, shelf_regions
+
+    n = shelf_nodes(spark, sf_dir)
+    v, card = F.col("page_id") % 9, F.lit(10)
+    nodes = lambda *ids: F.array(*(F.lit(i) for i in ids)).cast("array<int>")
+    none = F.lit(None).cast("array<int>")
+    evidence = F.when(v != 2, F.struct(F.when(v == 7, nodes(58)).otherwise(nodes(11)).alias("title"), F.when(v == 5, none).otherwise(nodes(14)).alias("price"), nodes(15).alias("native"), nodes(11).alias("quantity")))
+    native = F.when(v == 3, F.struct(F.lit(10.0).alias("cents"), F.lit("parsec").alias("unit"), F.lit("length").alias("dimension")))
+    quantity = F.when(v != 3, F.struct(F.lit(7.0).alias("value"), F.lit(1).alias("packs"), F.lit("oz").alias("unit"), F.when(v == 4, "volume").otherwise("mass").alias("dimension")))
+    product = F.struct(
+        card.alias("card"), F.lit("x").alias("title"), (~v.isin(6, 8)).alias("comparable"), F.when(v == 8, "price-range").alias("abstain_reason"), F.lit(480).cast("long").alias("cents"),
+        native.alias("native"), quantity.alias("quantity"), evidence.alias("evidence"),
+    )
+    a = shelf_regions(n).where("page_id is not null").select(
+        "page_id", F.when(v == 1, "draft").otherwise("adjudicated").alias("status"), F.lit("complete-main-region").alias("coverage"),
+        F.when(v == 1, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("annotators"),
+        F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1000.0).alias("w"), F.lit(600.0).alias("h")).alias("region"), F.array(product).alias("products"),
+    )
+    return reviews.training_examples(a, n).select("page_id", F.array_join("errors", ",").alias("errors"))

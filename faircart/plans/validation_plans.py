@@ -23,7 +23,7 @@ sql_cents, sql_dollars = SQL_MACROS["cents"], SQL_MACROS["dollars"]
       CASE WHEN known IS NULL THEN 'not-registered' END, CASE WHEN known <> hash THEN 'hash-mismatch' END], lambda x: x IS NOT NULL), ',') AS issues FROM c LEFT JOIN r ON c.page_id = r.page_id""",
 )
 def capture_gates(spark, sf_dir):
-    """Why captures may not be used."""
+    """Why captures may not be used."""
     i = F.col("page_id")
     p = table(spark, sf_dir, "pages").select(
         "page_id", (i % 11 == 0).alias("blocked"), F.regexp_count("html", F.lit("<li>")).alias("candidates"), (i % 13 == 0).alias("truncated"), ((i % 10) / 30.0).alias("obstruction"),
@@ -61,7 +61,7 @@ def evidence_validate(spark, sf_dir):
     FROM q FULL JOIN g ON q.doc_id = g.doc_id""",
 )
 def campaign_audit(spark, sf_dir):
-    """Submissions of a campaign, accepted or put aside."""
+    """Submissions of a campaign, accepted or put aside."""
     l = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") % 7 != 0).alias("parsed"))
     s = l.unionByName(l.where("doc_id % 10 = 4").withColumn("parsed", F.lit(True)))
     return validate.audit_campaign(table(spark, sf_dir, "documents").where("doc_id % 2 = 0"), s, "doc_id")
@@ -74,7 +74,7 @@ def campaign_audit(spark, sf_dir):
       CASE WHEN a = b THEN 'one-reviewer' END], lambda x: x IS NOT NULL), ',') AS issues FROM a""",
 )
 def adjudication_issues(spark, sf_dir):
-    """An adjudicator is a third person and comes later."""
+    """An adjudicator is a third person and comes later."""
     c = F.col("o_custkey")
     issues = validate.violations(("same-identity", (c % 5 == c % 3) | (c % 5 == c % 4)), ("not-later", F.col("o_orderkey") % 9 == 0), ("one-reviewer", c % 3 == c % 4))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(issues, ",").alias("issues"))
@@ -86,7 +86,7 @@ def adjudication_issues(spark, sf_dir):
     FROM (SELECT *, count(*) OVER (PARTITION BY s_nationkey) AS d FROM supplier) s LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) n ON s_nationkey = n_nationkey""",
 )
 def domain_qualification(spark, sf_dir):
-    """Uniqueness, membership and bounds of domains."""
+    """Uniqueness, membership and bounds of domains."""
     s = table(spark, sf_dir, "supplier")
     d = s.groupBy("s_nationkey").agg(F.count("*").alias("d"))
     n = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("s_nationkey"), F.lit(True).alias("known"))
@@ -138,7 +138,7 @@ def evidence_modes(spark, sf_dir):
     UNION ALL (SELECT 'right', doc_id, lang FROM (SELECT doc_id, CASE WHEN doc_id % 20 = 0 THEN 'xx' ELSE lang END AS lang FROM documents WHERE doc_id % 30 <> 1 EXCEPT ALL SELECT doc_id, lang FROM documents))""",
 )
 def dataset_equality(spark, sf_dir):
-    """Two manifests list the same records, or where they differ."""
+    """Two manifests list the same records, or where they differ."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return validate.same_rows(d, d.where("doc_id % 30 <> 1").withColumn("lang", F.when(F.col("doc_id") % 20 == 0, "xx").otherwise(F.col("lang"))))
 
@@ -148,7 +148,7 @@ def dataset_equality(spark, sf_dir):
     """SELECT l_orderkey, l_linenumber, abs(l_extendedprice / l_quantity - l_extendedprice / 20) / (l_extendedprice / 20) > 0.2 AS diverges, l_extendedprice >= 1000 AND l_quantity > 1 AS eligible FROM lineitem""",
 )
 def extraction_audit(spark, sf_dir):
-    """Extracted values whose arithmetic does not agree."""
+    """Extracted values whose arithmetic does not agree."""
     p, q = F.col("l_extendedprice"), F.col("l_quantity")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", validate.divergence(p / 20, p, q).alias("diverges"), ((p >= 1000) & (q > 1)).alias("eligible"))
 
@@ -160,7 +160,7 @@ def extraction_audit(spark, sf_dir):
     r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, length(text) DESC, text) AS r FROM s) SELECT p_brand, text, score FROM r WHERE r = 1""",
 )
 def title_links(spark, sf_dir):
-    """The link of a card that is its title."""
+    """The link of a card that is its title."""
     i = F.col("p_partkey")
     links = table(spark, sf_dir, "part").select(
         "p_brand", F.concat("p_name", F.lit(" of "), "p_type").alias("text"), F.when(i % 3 == 0, "vendor").when(i % 3 == 1, "product-title").otherwise("").alias("classes"),
@@ -205,7 +205,7 @@ def box_matching(spark, sf_dir):
     r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, label ORDER BY length(p_name), p_name, p_partkey) AS r FROM j) SELECT p_brand, label, p_partkey FROM r WHERE r = 1""",
 )
 def containment_join(spark, sf_dir):
-    """The shortest text of a page that holds a label."""
+    """the shortest text of a page that holds a label."""
     from ..operators.selection import first_n
 
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", F.split("p_name", " ")[0].alias("label"))
@@ -219,7 +219,7 @@ def containment_join(spark, sf_dir):
     UNION ALL SELECT p_partkey, concat('n', p_partkey, '@q0'), concat(p_size, ' oz') FROM part""",
 )
 def evidence_candidates(spark, sf_dir):
-    """The prices and quantities of each node, numbered by kind."""
+    """The prices and quantities of each node, numbered by kind."""
     text = F.concat("p_name", F.lit(", "), "p_size", F.lit(" oz now "), dollars(cents_of(F.col("p_retailprice"))))
     rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
     own = lambda kind, parsed: rows.select("p_partkey", F.posexplode(parsed).alias("i", "c")).select("p_partkey", F.concat(F.lit("n"), "p_partkey", F.lit(f"@{kind}"), "i").alias("id"), "c.source")
@@ -300,7 +300,7 @@ def restored_order(spark, sf_dir):
     """SELECT page_id, len(regexp_extract_all(html, '<li>')) AS nodes FROM pages WHERE contains(html, '<li>')""",
 )
 def model_answers(spark, sf_dir):
-    """L1, L2, L4: prompts of cards answered in batches (by a stand-in that counts nodes)."""
+    """L1, L2: prompts of cards answered in batches (by a stand-in that counts nodes)."""
     n = html.page_nodes(table(spark, sf_dir, "pages")).where("tag = 'li'")
     asked = model.prompts(n, ["page_id"])
     told = model.answer(asked, lambda: lambda batch: [str(p.count('"node"')) for p in batch])
