@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, grammar, prices, units
-from ..functions.text import ci, find_all, matches, squeeze
+from ..functions.text import base36, ci, find_all, matches, squeeze
 from . import normalize, validate
 from .tree import PAGE
 
@@ -317,3 +317,55 @@ def grounded(rows: DataFrame, texts: DataFrame) -> DataFrame:
         ("rate-not-in-evidence", F.col("native").isNotNull() & ~F.when(apart, halves).otherwise(rate)),
     )
     return rows.withColumn("issues", issues).drop("texts")
+
+
+def selection_codes(nodes: DataFrame, cards: DataFrame) -> DataFrame:
+    """``(page_id, card, titles, values, catalogue)``: how short answers name a card's nodes and candidates.
+
+    ``titles`` maps nodes with text, in document order, to codes; ``values`` maps candidates, by node, kind and number. ``catalogue`` is
+    the list of candidates as JSON, for a prompt. A card's nodes and candidates, which its page bounds, are gathered.
+    """
+    texts = card_texts(nodes, cards).where(joined(F.col("parts")) != "")
+    coded = lambda c: F.map_from_entries(F.transform(c, lambda x, i: F.struct(x["id"].alias("id"), base36(i).alias("code"))))
+    titles = texts.groupBy(*CARD).agg(F.array_sort(F.collect_list(F.struct("node", F.concat(F.lit("n"), "node").alias("id")))).alias("t"))
+    rank = F.instr(F.lit("puqk"), F.col("kind"))
+    number = F.regexp_extract("id", "([0-9]+)$", 1).cast("int")
+    one = F.struct("node", rank.alias("rank"), number.alias("i"), "id", "kind", "source")
+    values = candidates(nodes, cards).groupBy(*CARD).agg(F.array_sort(F.collect_list(one)).alias("v"))
+    listed = F.to_json(F.transform("v", lambda x: F.struct(x["id"].alias("id"), x["kind"].alias("kind"), x["source"].alias("sourceText"))))
+    return titles.join(values, CARD, "left").select(*CARD, coded("t").alias("titles"), F.coalesce(coded("v"), F.create_map().cast("map<string,string>")).alias("values"), F.coalesce(listed, F.lit("[]")).alias("catalogue"))
+
+
+def pointers_to_selections(answers: DataFrame, nodes: DataFrame, key: str = "answer_id") -> DataFrame:
+    """``(key, page_id, card, selection)`` of ``answers(key, page_id, answer)`` that resolve; the selection names the first title node.
+
+    A card with more than 1,296 nodes or candidates has none.
+    """
+    good = resolve_pointers(answers, nodes, key).where("state <> 'invalid'").select(key, "card")
+    rows = answers.select(key, PAGE, "answer").join(good, key)
+    codes = selection_codes(nodes, rows.select(*CARD).distinct()).drop("catalogue")
+    rows = rows.join(codes, CARD)
+    value = lambda f: F.col("values")[grammar.line_value(F.col("answer"), f)]
+    title = F.col("titles")[F.split(grammar.line_value(F.col("answer"), "TITLE"), ",")[0]]
+    lost = title.isNull()
+    for f in grammar.KINDS:
+        lost = lost | ((grammar.line_value(F.col("answer"), f) != "NONE") & value(f).isNull())
+    text = grammar.serialize_selection(title, *map(value, grammar.KINDS), grammar.line_value(F.col("answer"), "STATUS"))
+    return rows.select(key, *CARD, F.when(~lost, text).alias("selection"))
+
+
+def selections_to_pointers(selections: DataFrame, nodes: DataFrame, key: str = "answer_id") -> DataFrame:
+    """``(key, page_id, card, answer)`` of ``selections(key, page_id, card, selection)``; null for a wrong form or a code that its card doesn't have."""
+    codes = selection_codes(nodes, selections.select(*CARD).distinct()).drop("catalogue")
+    turned = lambda c: F.map_from_entries(F.transform(F.map_entries(c), lambda e: F.struct(e["value"].alias("k"), e["key"].alias("v"))))
+    rows = selections.join(codes, CARD).withColumn("titles", turned("titles")).withColumn("values", turned("values"))
+    part = lambda i: F.regexp_extract("selection", grammar.SELECTION, i)
+    status = F.lit(None).cast("string")
+    for name, letter in grammar.STATUS_CODES.items():
+        status = F.when(part(6) == letter, name).otherwise(status)
+    values = {f: F.when(part(i) != "--", F.col("values")[part(i)]) for i, f in enumerate(grammar.KINDS, 2)}
+    lost = F.col("titles")[part(1)].isNull()
+    for i, f in enumerate(grammar.KINDS, 2):
+        lost = lost | ((part(i) != "--") & values[f].isNull())
+    text = grammar.serialize_pointer(F.concat(F.lit("n"), "card"), F.array(F.col("titles")[part(1)]), values, status)
+    return rows.select(key, *CARD, F.when(grammar.selection_issue(F.col("selection")).isNull() & ~lost, text).alias("answer"))

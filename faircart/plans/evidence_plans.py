@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import grammar
-from ..operators import evidence
+from ..operators import evidence, normalize
 from .common import registry, table
 from .shelves import SHELF_SQL, shelf_nodes
 
@@ -86,3 +86,19 @@ def preannotation(spark, sf_dir):
         "page_id", "card", "method", "title", F.col("price.cents").alias("cents"), F.col("native.cents").alias("rate"), F.col("native.unit").alias("rate_unit"),
         F.col("quantity.value").alias("value"), "abstain_reason", F.size("issues").alias("issues"),
     )
+
+
+@query(
+    "pointer_selections",
+    f"""WITH {SHELF_SQL}, a AS (SELECT *, p_partkey % 8 AS v FROM p)
+    SELECT p_partkey AS answer_id, CASE WHEN v = 6 THEN 'T01 P-- U-- Q-- K-- SE' ELSE 'T01 P' || CASE form WHEN 0 THEN '08' WHEN 1 THEN '06' WHEN 2 THEN '07' WHEN 3 THEN '06' ELSE '04' END
+      || ' U' || CASE WHEN v <> 7 THEN '--' WHEN form = 0 THEN '0A' ELSE '02' END || ' Q' || CASE form WHEN 0 THEN '04' WHEN 1 THEN '03' WHEN 2 THEN '04' WHEN 3 THEN '03' ELSE '02' END || ' K' || CASE WHEN v = 0 AND form = 3 THEN '07' ELSE '--' END || ' SC' END AS selection,
+      true AS same FROM a WHERE v IN (0, 6) OR (v = 7 AND form IN (0, 2))""",
+)
+def pointer_selections(spark, sf_dir):
+    """Answers that resolve as 22 characters, and back."""
+    n, a = shelf_nodes(spark, sf_dir), answers(spark, sf_dir)
+    told = normalize.checkpointed(evidence.pointers_to_selections(a, n))
+    back = evidence.selections_to_pointers(told, n).select("answer_id", F.col("answer").alias("back"))
+    rows = told.join(back, "answer_id").join(a.select("answer_id", "answer"), "answer_id")
+    return rows.select("answer_id", "selection", (F.col("back") == F.col("answer")).alias("same"))
