@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import grammar, shape
-from ..operators import evaluation, reviews, selection
+from ..operators import evaluation, experiments, reviews, selection
 from ..sources import files
 from ..streaming import sessions
 from .common import SQL_MACROS, cents_of, registry, table
@@ -256,3 +256,40 @@ def training_examples(spark, sf_dir):
         F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1000.0).alias("w"), F.lit(600.0).alias("h")).alias("region"), F.array(product).alias("products"),
     )
     return reviews.training_examples(a, n).select("page_id", F.array_join("errors", ",").alias("errors"))
+
+
+GATES = (
+    ("formulation", "grammar_validity", "least", 0.9), ("teacher", "accepted_precision", "least", 0.9), ("teacher", "eligible_coverage", "least", 0.3), ("oracle", "pointer_exact_share", "gain", 0.1),
+    ("student", "pointer_exact_share", "regression", 0.2), ("student", "accepted_precision", "least", 0.95), ("browser", "p95_latency_ms", "most", 800.0), ("final", "accepted", "least", 700.0),
+    ("final", "precision_bound", "least", 0.99),
+)
+PHASES = ("formulation", "teacher", "oracle", "student", "browser", "final")
+
+
+@query(
+    "experiment_gates",
+    """WITH l AS (SELECT o_orderkey AS run_id, o_orderkey % 6 AS ph, o_orderkey // 6 * 6 + 1 AS parent, o_custkey % 7 <> 0 AS keep, o_custkey % 900 AS ok, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_orderkey % 90 END AS bad, o_custkey % 50 AS exact, o_custkey % 11 + 90 AS valid,
+        CASE WHEN o_orderkey % 8 > 0 THEN (o_custkey % 1200)::DOUBLE END AS p95 FROM orders),
+    p AS (SELECT l.*, p.run_id AS known, p.exact / 50.0 AS before FROM l LEFT JOIN l p ON p.run_id = l.parent),
+    prec AS (SELECT *, CASE WHEN ok + bad = 0 THEN 0 ELSE ok / (ok + bad) END AS prec, exact / 50.0 AS share FROM p WHERE keep),
+    f AS (SELECT run_id, 'grammar_validity' AS metric, 'missed' AS issue FROM prec WHERE ph = 0 AND valid / 100 < 0.9
+      UNION ALL SELECT run_id, 'accepted_precision', 'missed' FROM prec WHERE ph = 1 AND prec < 0.9 UNION ALL SELECT run_id, 'eligible_coverage', 'missed' FROM prec WHERE ph = 1 AND ok / 1000 < 0.3
+      UNION ALL SELECT run_id, 'pointer_exact_share', CASE WHEN known IS NULL THEN 'no-parent' ELSE 'missed' END FROM prec WHERE ph = 2 AND (known IS NULL OR share < before + 0.1)
+      UNION ALL SELECT run_id, 'pointer_exact_share', CASE WHEN known IS NULL THEN 'no-parent' ELSE 'missed' END FROM prec WHERE ph = 3 AND (known IS NULL OR share < before - 0.2)
+      UNION ALL SELECT run_id, 'accepted_precision', 'missed' FROM prec WHERE ph = 3 AND prec < 0.95
+      UNION ALL SELECT run_id, 'p95_latency_ms', CASE WHEN p95 IS NULL THEN 'unknown' ELSE 'missed' END FROM prec WHERE ph = 4 AND (p95 IS NULL OR p95 > 800)
+      UNION ALL SELECT run_id, 'accepted', 'missed' FROM prec WHERE ph = 5 AND ok + bad < 700
+      UNION ALL SELECT run_id, 'precision_bound', 'missed' FROM prec WHERE ph = 5 AND (bad > 0 OR ok = 0 OR pow(0.05, 1 / ok) < 0.99))
+    SELECT run_id, metric, issue FROM f""",
+)
+def experiment_gates(spark, sf_dir):
+    """Kept runs of a ledger that miss a gate of their phase, absolutely or against their parent run."""
+    i, c = F.col("o_orderkey"), F.col("o_custkey")
+    phase = F.element_at(F.array(*map(F.lit, PHASES)), (i % 6 + 1).cast("int"))
+    ledger = table(spark, sf_dir, "orders").select(
+        i.alias("run_id"), phase.alias("phase"), (F.floor(i / 6) * 6 + 1).alias("parent_id"), F.when(c % 7 != 0, "keep").otherwise("discard").alias("state"), (c % 900).alias("accepted_correct"),
+        F.when(i % 4 == 0, 0).otherwise(i % 90).alias("accepted_incorrect"), F.lit(1000).alias("eligible_comparable"), (c % 50).alias("pointer_exact"), F.lit(50).alias("pointer_total"),
+        (c % 11 + 90).alias("grammar_valid"), F.lit(100).alias("grammar_total"), F.when(i % 8 > 0, (c % 1200).cast("double")).alias("p95_latency_ms"),
+    )
+    gates = spark.createDataFrame(GATES, "phase string, metric string, rule string, bound double")
+    return experiments.gate_failures(ledger, gates).select("run_id", "metric", "issue")
