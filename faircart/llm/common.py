@@ -66,26 +66,48 @@ def held_fold(doc_id: Column, modulus: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def map_arrow(df: DataFrame, run, more: list[tuple[str, str]]) -> DataFrame:
+    """``df.mapInArrow(run, ...)`` for ``run`` that adds columns ``more`` of names and DDL types to those of ``df``.
+
+    Columns go by number inside, as Spark's own lookup of them stops at names with dots. Batches that ``run`` gives are read by
+    position.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import DataType, StructField, StructType
+
+    names = [*df.columns, *(n for n, _ in more)]
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    kinds = [*(f.dataType for f in plain.schema), *(DataType.fromDDL(kind) for _, kind in more)]
+    numbered = [f"c{i}" for i in range(len(kinds))]
+    schema = StructType([StructField(n, k) for n, k in zip(numbered, kinds, strict=True)])
+
+    def by_number(batches):
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=numbered)
+
+    return plain.mapInArrow(by_number, schema).toDF(*names)
+
+
 def add_arrow_column(df: DataFrame, source: str, name: str, kind: str, make) -> DataFrame:
     """``df`` with one more column ``name`` of DDL type ``kind``, made from ``source`` in Arrow batches.
 
     ``make()`` runs once a task and gives a function from a list of values to a list of
-    values. No shuffle; all other columns pass through as they are. ``name`` must be free.
+    values. No shuffle; all other columns, of any name, pass through as they are. ``name`` must be free.
     """
     import pyarrow as pa
+    from pyspark.sql.types import DataType
 
-    schema = df.select("*", F.lit(None).cast(kind).alias(name)).schema
-    at = df.columns.index(source)
+    at, wanted = df.columns.index(source), DataType.fromDDL(kind)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type
 
-        fill, arrow = make(), to_arrow_type(schema[-1].dataType)
+        fill, arrow = make(), to_arrow_type(wanted)
         for b in batches:
             more = pa.array(fill(b.column(at).to_pylist()), arrow)
-            yield pa.RecordBatch.from_arrays([*b.columns, more], names=[*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, more], names=[*b.schema.names, "new"])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, [(name, kind)])
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise
+from .common import free_name, map_arrow, materialise
 from .components import connected_components
 from .simhash import fingerprint_of, shingle_hashes
 from .simhash import links as simhash_links
@@ -106,8 +106,7 @@ def classes(docs: DataFrame, words: int = 5, block: int = BLOCK) -> tuple[DataFr
     """
     key, digest, bands, mark = (free_name(docs, n) for n in ("row_key", "digest", "bands", "mark"))
     at = docs.columns.index("text")
-    more = F.lit(0).cast("long").alias(key), F.lit(b"").alias(digest), F.array().cast("array<long>").alias(bands), F.lit(0).cast("long").alias(mark)
-    schema = docs.select("*", *more).schema
+    added = [(key, "long"), (digest, "binary"), (bands, "array<long>"), (mark, "long")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -127,9 +126,9 @@ def classes(docs: DataFrame, words: int = 5, block: int = BLOCK) -> tuple[DataFr
                 pa.array(np.array(marks, np.uint64).view(np.int64)),
             ]
             uid += len(marks)
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *(n for n, _ in added)])
 
-    marked = materialise(docs.mapInArrow(run, schema), "similar")
+    marked = materialise(map_arrow(docs, run, added), "similar")
     sets = marked.groupBy(F.col(digest).alias("digest")).agg(F.min(key).alias("node"), F.first(bands).alias("bands"), F.first(mark).alias("fp"))
     sets = materialise(sets, "similar-sets")
     # Fingerprints that SimHash links share a key with the smallest of their component, as texts of one band do.

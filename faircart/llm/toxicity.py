@@ -383,7 +383,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     table gives no rows; further columns may have any name.
     """
     columns, name = docs.columns, free_name(docs, "score")
-    return with_score(docs, train(docs, labels), name).where(F.col(name) < 0.5).select(*columns)
+    return with_score(docs, train(docs, labels), name).where(F.col(name) < 0.5).select(*(f"`{c}`" for c in columns))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

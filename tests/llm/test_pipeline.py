@@ -47,7 +47,7 @@ def near_copies(seed=5):
 
 
 def kept(spark, rows):
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row_key", "'x' as class", "2 as text_")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row_key", "'x' as class", "2 as text_", "3 as `a.b`")
     out = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), None)
     assert out.columns == docs.columns
     return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
@@ -115,7 +115,7 @@ def test_stages_and_run(spark, tmp_path):
     spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs.selectExpr("*", "1 as row", "2 as row_key", "3 as `all`"), str(tmp_path)).drop("row", "row_key", "all").cache()
+        docs = stage(spark, docs.selectExpr("*", "1 as row", "2 as row_key", "3 as `all`", "4 as `a.b`"), str(tmp_path)).drop("row", "row_key", "all", "a.b").cache()
         assert docs.columns == schema.replace(",", "").split()[::2]
         left[name] = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
     toxic = {d for d, _, t in labels if t} | {1007}
