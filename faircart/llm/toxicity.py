@@ -5,7 +5,7 @@ the power of the span it takes up, so that inserted or missing characters weaken
 ending it. Two sentences are compared by the sum, over all pairs of their words, of the third power of the
 normalised word kernel; sums and products of kernels are kernels, so this is one too. Landmarks are
 sentences of a single word, drawn from labelled texts. A sentence's kernel values with the landmarks, mapped by the inverse
-square root of the landmarks' own kernel matrix, are its Nyström features. The machine is trained on sentences: a text is as toxic
+square root of the landmarks' own kernel matrix, are its Nyström features. A word value under ``FLOOR`` counts as zero everywhere. The machine is trained on sentences: a text is as toxic
 as its worst sentence, so the sentence of a toxic text that the machine itself finds worst carries the label.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_arrow_column, free_name, held_fold, table
+from .common import add_arrow_column, free_name, held_fold, remove, scratch_path, table
 
 DECAY, SPAN, CODES = 0.7, 5, 64
 START, END = 62, 63
@@ -32,8 +32,12 @@ SAMPLE = 12_000
 LANDMARKS, SHORTLIST = 72, 600
 #: Landmarks from all labelled texts, beside those from words that toxic texts hold far more often.
 PLAIN_LANDMARKS = 24
-#: Sentences of each labelled text that training sees at most: those with the largest values at toxic landmarks.
-KEPT = 4
+#: Tasks that the sample's kernel rows are dealt over; each pass of the fit brings one row of sums of each to the driver.
+FIT_TASKS = 12
+#: How often the sentences of toxic texts are chosen anew, and passes over the kernel rows for each choice at most.
+ROUNDS, PASSES = 4, 10
+#: Machines fitted together: one for each fold left out and one on all labelled texts.
+FOLDS = 4
 #: A sentence ends at a full stop, an exclamation or a question mark, or after this many words.
 LONGEST = 24
 #: Words a worker keeps the kernel values of; beyond it the cache starts anew.
@@ -41,7 +45,7 @@ CACHE_WORDS = 200_000
 #: Texts whose words are looked at together.
 SLICE = 500
 #: The word kernel's power in the sentence kernel, and the word value below which the power is left out as zero.
-POWER, FLOOR = 3, 0.3
+POWER, FLOOR = 3, 0.2
 MARK = re.compile(r"[\W_]+")
 SPACED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
 
@@ -196,7 +200,8 @@ class Sentences:
 
 def nystroem(kernel: Kernel) -> np.ndarray:
     """The inverse square root of the landmarks' own kernel matrix."""
-    k = kernel.values(kernel.landmarks).astype(np.float64) ** POWER
+    k = kernel.values(kernel.landmarks).astype(np.float64)
+    k = np.where(k >= FLOOR, k, 0) ** POWER
     value, vector = np.linalg.eigh((k + k.T) / 2)
     return vector / np.sqrt(np.maximum(value, 0.05)) @ vector.T
 
@@ -206,46 +211,63 @@ def worst(decision: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(decision, np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]))
 
 
-def fit_sentences(x: np.ndarray, owner: np.ndarray, y: np.ndarray, likely: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, float]:
-    """A support vector machine on sentences ``x`` of texts ``owner`` with labels ``y`` by text.
+def worst_rows(value: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The row of each text with its largest value, the first of equal ones."""
+    top = np.flatnonzero(value == np.maximum.reduceat(value, starts)[owner])
+    return top[np.r_[True, owner[top][1:] != owner[top][:-1]]]
 
-    All sentences of a clean text are clean. Of a toxic text one sentence is toxic: first the one with
-    the largest value of ``likely``, then the one that the machine of the round before finds worst.
-    """
-    at, value = np.arange(len(x)), likely
-    w, b = np.zeros(x.shape[1]), 0.0
-    for _ in range(rounds):
-        order = np.lexsort((at, -value, owner))
-        first = order[np.flatnonzero(np.r_[True, owner[order][1:] != owner[order][:-1]])]
-        own = np.concatenate((first[y[owner[first]] > 0], np.flatnonzero(y[owner] == 0)))
-        w, b = fit_svm(x[own], y[owner[own]])
-        value = x @ w + b
-    return w, b
-
-
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss and balanced classes, by Newton steps on the primal."""
-    n, d = x.shape
-    x1, s = np.c_[x, np.ones(n, x.dtype)], np.where(y > 0, 1.0, -1.0)
-    cost = c * np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y <= 0).sum())))
-    w, ridge = np.zeros(d + 1), np.r_[np.ones(d), 1e-6]
-
-    def loss(v: np.ndarray) -> float:
-        return float((ridge * v * v).sum() / 2 + (cost * np.maximum(0, 1 - s * (x1 @ v)) ** 2).sum())
 
-    for _ in range(steps):
-        own = s * (x1 @ w) < 1
-        held = x1[own]
-        weighted = held * cost[own, None].astype(x.dtype)
-        h = 2 * (weighted.T @ held).astype(np.float64) + np.diag(ridge)
-        step = np.linalg.solve(h, 2 * weighted.T @ s[own]) - w
-        scale = 1.0
-        while scale > 1e-3 and loss(w + scale * step) > loss(w):
-            scale /= 2
-        w = w + scale * step
-        if np.abs(scale * step).max() < 1e-8:
+def hinge_sums(x: np.ndarray, starts: np.ndarray, toxic: np.ndarray, learns: np.ndarray, w: np.ndarray, value: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Second derivatives, slopes and losses of squared hinge machines over texts, one row a machine.
+
+    ``x`` has a row for each sentence, and texts begin at ``starts``. Machine ``m`` has weights ``w[m]`` and learns from
+    the texts of ``learns[m]``. A clean text's loss is that of the sentence that ``w[m]`` itself finds worst of all, so that every
+    sentence has to be clean; a toxic text's is that of the sentence with its largest ``value[:, m]``. ``cost[m]`` weighs clean and
+    toxic texts.
+    """
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(x)]))
+    f, out = x @ w.T, []
+    for m in range(len(w)):
+        toxic_rows = worst_rows(value[:, m], starts, owner)[toxic & learns[m]]
+        own = np.concatenate((toxic_rows, worst_rows(f[:, m], starts, owner)[~toxic & learns[m]]))
+        sign = np.where(toxic[owner[own]], 1.0, -1.0)
+        slack = 1 - sign * f[own, m]
+        hit = slack > 0
+        own, sign, slack = own[hit], sign[hit], slack[hit]
+        c = cost[m][(sign > 0).astype(int)]
+        held = x[own]
+        weighted = held * c[:, None]
+        out.append(np.r_[(weighted.T @ held).ravel(), weighted.T @ sign, (c * slack**2).sum()])
+    return np.stack(out)
+
+
+def descend(sums, w: np.ndarray, passes: int = PASSES) -> np.ndarray:
+    """Newton steps of machines from weights ``w`` on the primal, the last weight being a bias; a step that raises a loss is halved.
+
+    ``sums(w)`` gives the rows of ``hinge_sums`` at ``w`` over all sentences.
+    """
+    d = w.shape[1]
+    ridge, kept, least = np.r_[np.ones(d - 1), 1e-6], w, np.full(len(w), np.inf)
+    for _ in range(passes):
+        got = sums(w)
+        loss = got[:, -1] + (ridge * w * w).sum(1) / 2
+        better = loss <= least * (1 + 1e-9)
+        h, slope = 2 * got[:, : d * d].reshape(-1, d, d) + np.diag(ridge), 2 * got[:, d * d : -1]
+        step = np.where(better[:, None], np.linalg.solve(h, slope[:, :, None])[:, :, 0], (kept + w) / 2)
+        kept, least = np.where(better[:, None], w, kept), np.where(better, loss, least)
+        if np.abs(step - kept).max() < 1e-4:
             break
-    return w[:-1], float(w[-1])
+        w = step
+    return kept
+
+
+def machine_costs(size: np.ndarray) -> np.ndarray:
+    """Costs of clean and toxic texts by machine from their numbers ``(machines, 2)``, so that both classes weigh the same.
+
+    A machine that sees one class only costs nothing and stays at zero.
+    """
+    n = size.sum(1, keepdims=True)
+    return np.where(size.min(1, keepdims=True) > 0, n / (2 * np.maximum(size, 1)), 0.0)
 
 
 def fit_sigmoid(f: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -318,32 +340,74 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         read = Sentences(sent.value)
         for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             x, owner = read(b.column(0).to_pylist())
-            order = np.lexsort((-x[:, :marked].max(1), owner))
-            rank = np.arange(len(x)) - np.searchsorted(owner, owner)
-            kept = np.sort(order[rank < KEPT])
-            parts = [x[kept[owner[kept] == i]].tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), *b.columns[1:]], names=["x", "toxic", "doc_id"])
-
-    got = rows.select("text", "toxic", "doc_id").mapInArrow(run, "x binary, toxic int, doc_id long").collect()
-    got.sort(key=lambda r: r.doc_id)
-    parts = [np.frombuffer(bytes(r.x), np.float32).reshape(-1, len(kernel.landmarks)) for r in got]
-    x, y = np.concatenate(parts), np.array([r.toxic for r in got])
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    del got, parts
-    white = nystroem(kernel)
-    likely, x = x[:, :marked].max(1), x @ white.astype(np.float32)
-    # The sigmoid is fitted on decisions for texts that their own machine has not seen.
-    fold, f = np.random.default_rng(0).integers(0, 4, len(y)), np.zeros(len(y))
-    for k in range(4):
-        own = fold == k
-        if own.any() and (~own).any() and len(set(y[~own])) == 2:
-            seen = ~own[owner]
-            number = np.cumsum(~own) - 1
-            w, b = fit_sentences(x[seen], number[owner[seen]], y[~own], likely[seen])
-            f[own] = worst(x[~seen] @ w + b, owner[~seen])
-    a, b = fit_sigmoid(f, y)
-    w, bias = fit_sentences(x, owner, y, likely)
-    return Model(kernel, white @ w, bias, a, b)
+            cuts = np.searchsorted(owner, np.arange(b.num_rows + 1))
+            parts = [x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), pa.array(np.diff(cuts)), *b.columns[1:]], names=["x", "n", "toxic", "fold"])
+
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(FOLDS)), F.lit(FOLDS)).cast("int").alias("fold")
+    path = scratch_path(spark, "toxicity")
+    rows.select("text", "toxic", fold).coalesce(FIT_TASKS).mapInArrow(run, "x binary, n long, toxic int, fold int").write.parquet(path)
+    model = fit(spark.read.schema("x binary, n long, toxic int, fold int").parquet(path), kernel, marked)
+    remove(spark, path)
+    return model
+
+
+def texts_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Kernel rows with a 1 behind, where texts begin, which are toxic and their folds, of a few texts at a time."""
+    for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
+        n = b.column(1).to_numpy()
+        x = np.ones((int(n.sum()), width + 1))
+        x[:, :width] = np.concatenate([np.frombuffer(v.as_buffer(), np.float32) for v in b.column(0)]).reshape(-1, width)
+        yield x, np.cumsum(n) - n, b.column(2).to_numpy() > 0, b.column(3).to_numpy()
+
+
+def fit(rows: DataFrame, kernel: Kernel, marked: int) -> Model:
+    """The machine and its sigmoid from ``rows(x, n, toxic, fold)``: the kernel rows of all sentences of each labelled text.
+
+    All sentences take part, and none reaches the driver: each Newton step sums over them in Spark, for the machines of all folds
+    together. Of a toxic text one sentence is toxic: first the one with the largest value at the first ``marked`` landmarks, then the one that
+    the machine of the round before finds worst. Of a clean text none is. The sigmoid is fitted on decisions for texts that their own machine has not seen.
+    """
+    width = len(kernel.landmarks)
+    machines, size = np.arange(FOLDS + 1), np.zeros((FOLDS + 1, 2))
+    for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("texts")).collect():
+        size[machines != r.fold, int(r.toxic > 0)] += r.texts
+    cost = machine_costs(size)
+    # Machines live in the Nyström features, kernel rows and sums in those of the landmarks.
+    white = np.eye(width + 1)
+    white[:width, :width] = nystroem(kernel)
+
+    def sums(w: np.ndarray, chooser: np.ndarray | None) -> np.ndarray:
+        own, choice = w @ white, None if chooser is None else chooser @ white
+
+        def run(batches):
+            total = None
+            for x, starts, toxic, fold in texts_of(batches, width):
+                value = np.repeat(x[:, :marked].max(1)[:, None], len(own), 1) if choice is None else x @ choice.T
+                part = hinge_sums(x, starts, toxic, fold[None] != machines[:, None], own, value, cost)
+                total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+
+        got = sum(np.frombuffer(bytes(r.s)) for r in rows.mapInArrow(run, "s binary").collect()).reshape(len(machines), -1)
+        d = width + 1
+        h = white @ got[:, : d * d].reshape(-1, d, d) @ white
+        return np.concatenate((h.reshape(len(machines), -1), got[:, d * d : -1] @ white, got[:, -1:]), 1)
+
+    w, chooser = np.zeros((len(machines), width + 1)), None
+    for _ in range(ROUNDS):
+        w = descend(lambda v, c=chooser: sums(v, c), w)
+        chooser = w
+    own = w @ white
+
+    def decide(batches):
+        for x, starts, toxic, fold in texts_of(batches, width):
+            f = np.maximum.reduceat(x @ own.T, starts)[np.arange(len(starts)), fold]
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(toxic.astype(np.int32))], names=["f", "toxic"])
+
+    seen = rows.mapInArrow(decide, "f double, toxic int").toArrow()
+    a, b = fit_sigmoid(seen.column("f").to_numpy(), seen.column("toxic").to_numpy())
+    return Model(kernel, own[-1, :width].copy(), float(own[-1, width]), a, b)
 
 
 def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:

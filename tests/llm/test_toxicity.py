@@ -67,10 +67,13 @@ def test_machine_against_the_kernel_form():
     words = ["".join(rng.choices("abcdeiot", k=5)) for _ in range(30)] + ["idiot", "idioot", "idi0t", "idiots"]
     y = np.array([0] * 30 + [1] * 4)
     k = tx.Kernel(words).values(words).astype(np.float64) ** tx.POWER
+    n = len(y)
     value, vector = np.linalg.eigh((k + k.T) / 2)
     assert value.min() > -1e-6  # a kernel
-    w, b = tx.fit_svm(k @ (vector / np.sqrt(np.maximum(value, 1e-9)) @ vector.T), y)
-    primal = k @ (vector / np.sqrt(np.maximum(value, 1e-9)) @ vector.T) @ w + b
+    x = np.c_[k @ (vector / np.sqrt(np.maximum(value, 1e-9)) @ vector.T), np.ones(n)]
+    costs, all_texts = tx.machine_costs(np.array([[30, 4]])), np.ones((1, n), bool)
+    w = tx.descend(lambda w: tx.hinge_sums(x, np.arange(n), y > 0, all_texts, w, x[:, :1], costs), np.zeros((1, n + 1)), 50)
+    primal = x @ w[0]
     a, c, s = np.zeros(len(y)), 0.0, np.where(y > 0, 1.0, -1.0)
     cost = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
     for _ in range(200):  # Newton on the representer weights of the same loss
@@ -135,3 +138,22 @@ def test_no_labels_and_empty(spark):
     one = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int")
     assert {r.score for r in tx.score(docs, one).collect()} == {1.0}
     assert tx.score(docs.limit(0), one).count() == 0
+
+
+def test_sums_do_not_depend_on_dealing(spark):
+    """All sentences count: the fit over one task and over several, with long and short texts, gives one machine."""
+    rng, landmarks = random.Random(8), ["idiot", "clown", "theon", "patio"]
+    vocab = "idiot idi0t clown. clowns the on in. crown, patio? iidiot trash".split()
+    kernel, texts = tx.Kernel(landmarks), []
+    for i in range(80):
+        words = rng.choices(vocab[4:], k=rng.choice([1, 20, 400]))
+        texts.append(" ".join(words + rng.choices(vocab[:4], k=3) * (i % 3 == 0)))
+    read, rows = tx.Sentences(kernel), []
+    for i, text in enumerate(texts):
+        x, _ = read([text])
+        rows.append((bytearray(x.tobytes()), len(x), int(i % 3 == 0), i % 4))
+    df = spark.createDataFrame(rows, "x binary, n long, toxic int, fold int")
+    one, many = (tx.fit(df.repartition(k), kernel, 2) for k in (1, 7))
+    assert np.allclose(one.weights, many.weights, atol=1e-6) and abs(one.bias - many.bias) < 1e-6
+    assert one.weights[:2].min() > 0 and abs(one.a - many.a) < 1e-4
+    assert sum(r[1] for r in rows) > 1000  # far more sentences than texts
