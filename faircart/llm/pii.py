@@ -101,6 +101,11 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
+def text_key(text: Column) -> Column:
+    """The key that equal texts share: their SHA-256, so that no text gets another's spans."""
+    return F.unhex(F.sha2(text.cast("binary"), 256)).alias("key")
+
+
 def term_counts(rows: DataFrame) -> DataFrame:
     """``(term, n_t)``: in how many rows of ``rows(text)`` each term stands, over all rows and terms."""
     return rows.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
@@ -147,7 +152,7 @@ def locate(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMO
     has spans of kind ``term`` whose value is ``remove`` or ``generalise``.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = rows.select("doc_id", F.xxhash64("text").alias("key"), F.length("text").alias("size"), "text", base_spans(F.col("text")).alias("spans"))
+    found = rows.select("doc_id", text_key(F.col("text")), F.length("text").alias("size"), "text", base_spans(F.col("text")).alias("spans"))
     # Texts are kept only where there is something to protect.
     found = materialise(found.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "pii")
     total = found.count()
@@ -231,7 +236,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     found, terms = locate(docs, **options)
     spans = with_terms(found.where(F.size("spans") > 0).select("key", "size", "spans").dropDuplicates(["key", "size"]), terms)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text).alias("key"), F.length(text).alias("size"))
+    rows = docs.select(F.struct("*").alias("row"), text_key(text), F.length(text).alias("size"))
     joined = rows.join(spans.select("key", "size", "all"), ["key", "size"], "left")
     new = F.when(F.col("all").isNull(), F.col("row.text")).otherwise(redacted(F.col("row.text"), F.col("all")))
     return joined.select(*(new.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
