@@ -12,6 +12,7 @@ as its worst sentence, so the sentence of a toxic text that the machine itself f
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ PLAIN_LANDMARKS = 24
 FIT_TASKS = 12
 #: How often the sentences of toxic texts are chosen anew, and passes over the kernel rows for each choice at most.
 ROUNDS, PASSES = 4, 10
+#: Labelled texts whose kernel rows a pass holds together.
+FIT_SLICE = 50
 #: Machines fitted together: one for each fold left out and one on all labelled texts.
 FOLDS = 4
 #: A sentence ends at a full stop, an exclamation or a question mark, or after this many words.
@@ -341,7 +344,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             x, owner = read(b.column(0).to_pylist())
             cuts = np.searchsorted(owner, np.arange(b.num_rows + 1))
-            parts = [x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
+            parts = [packed(x[i:j]) for i, j in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), pa.array(np.diff(cuts)), *b.columns[1:]], names=["x", "n", "toxic", "fold"])
 
     fold = F.pmod(F.xxhash64("doc_id", F.lit(FOLDS)), F.lit(FOLDS)).cast("int").alias("fold")
@@ -352,12 +355,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Kernel rows as compressed bytes; most values are zero."""
+    return zlib.compress(x.astype(np.float32).tobytes(), 1)
+
+
 def texts_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Kernel rows with a 1 behind, where texts begin, which are toxic and their folds, of a few texts at a time."""
-    for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
+    for b in (whole.slice(i, FIT_SLICE) for whole in batches for i in range(0, whole.num_rows, FIT_SLICE)):
         n = b.column(1).to_numpy()
         x = np.ones((int(n.sum()), width + 1))
-        x[:, :width] = np.concatenate([np.frombuffer(v.as_buffer(), np.float32) for v in b.column(0)]).reshape(-1, width)
+        x[:, :width] = np.concatenate([np.frombuffer(zlib.decompress(v.as_buffer()), np.float32) for v in b.column(0)]).reshape(-1, width)
         yield x, np.cumsum(n) - n, b.column(2).to_numpy() > 0, b.column(3).to_numpy()
 
 

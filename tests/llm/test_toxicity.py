@@ -151,7 +151,7 @@ def test_sums_do_not_depend_on_dealing(spark):
     read, rows = tx.Sentences(kernel), []
     for i, text in enumerate(texts):
         x, _ = read([text])
-        rows.append((bytearray(x.tobytes()), len(x), int(i % 3 == 0), i % 4))
+        rows.append((bytearray(tx.packed(x)), len(x), int(i % 3 == 0), i % 4))
     df = spark.createDataFrame(rows, "x binary, n long, toxic int, fold int")
     one, many = (tx.fit(df.repartition(k), kernel, 2) for k in (1, 7))
     assert np.allclose(one.weights, many.weights, atol=1e-6) and abs(one.bias - many.bias) < 1e-6
