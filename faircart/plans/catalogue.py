@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import campaign_plans, evaluation_plans, evidence_plans, observation_plans, price_plans, text_plans, tree_plans, validation_plans
+from . import campaign_plans, evaluation_plans, evidence_plans, observation_plans, price_plans, release_plans, text_plans, tree_plans, validation_plans
 
-PLANS = (price_plans, text_plans, evaluation_plans, tree_plans, validation_plans, observation_plans, evidence_plans, campaign_plans)
+PLANS = (price_plans, text_plans, evaluation_plans, tree_plans, validation_plans, observation_plans, evidence_plans, campaign_plans, release_plans)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in PLANS for name, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in PLANS for name, sql in m.ORACLE_SQL.items()}
