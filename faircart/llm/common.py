@@ -84,6 +84,7 @@ def map_arrow(df: DataFrame, run, more: list[tuple[str, str]]) -> DataFrame:
     def by_number(batches):
         for b in run(batches):
             yield pa.RecordBatch.from_arrays(b.columns, names=numbered)
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     return plain.mapInArrow(by_number, schema).toDF(*names)
 
@@ -91,7 +92,7 @@ def map_arrow(df: DataFrame, run, more: list[tuple[str, str]]) -> DataFrame:
 def add_arrow_column(df: DataFrame, source: str, name: str, kind: str, make) -> DataFrame:
     """``df`` with one more column ``name`` of DDL type ``kind``, made from ``source`` in Arrow batches.
 
-    ``make()`` runs once a task and gives a function from a list of values to a list of
+    ``make()`` runs once a task and gives a function from an Arrow array of values to a list of
     values. No shuffle; all other columns, of any name, pass through as they are. ``name`` must be free.
     """
     import pyarrow as pa
@@ -104,7 +105,7 @@ def add_arrow_column(df: DataFrame, source: str, name: str, kind: str, make) ->
 
         fill, arrow = make(), to_arrow_type(wanted)
         for b in batches:
-            more = pa.array(fill(b.column(at).to_pylist()), arrow)
+            more = pa.array(fill(b.column(at)), arrow)
             yield pa.RecordBatch.from_arrays([*b.columns, more], names=[*b.schema.names, "new"])
 
     return map_arrow(df, run, [(name, kind)])

@@ -138,7 +138,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = 5, thres
         index = spark.sparkContext.broadcast(Sketches(block, width, threshold, slack))
 
         def make(index=index):
-            return lambda texts: [index.value.matches(t) for t in texts]
+            return lambda texts: [index.value.matches(t.as_py()) for t in texts]
 
         found = add_arrow_column(rows, "text", "m", "array<struct<item_id:long,shared:long,shingles:long>>", make)
         out = found.select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
@@ -162,7 +162,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 5, thresho
         index = docs.sparkSession.sparkContext.broadcast(Sketches(block, width, threshold))
 
         def make(index=index):
-            return lambda texts: [bool(index.value.matches(t)) for t in texts]
+            return lambda texts: [bool(index.value.matches(t.as_py())) for t in texts]
 
         name = free_name(docs, "hit")
         docs = add_arrow_column(docs, "text", name, "boolean", make).where(~F.col(name)).select(*(f"`{c}`" for c in columns))

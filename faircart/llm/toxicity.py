@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +46,10 @@ FOLDS = 4
 LONGEST = 24
 #: Words a worker keeps the kernel values of; beyond it the cache starts anew.
 CACHE_WORDS = 200_000
-#: Texts whose words are looked at together.
-SLICE = 500
+#: Texts, and characters of texts, whose words are looked at together; a longer text stands alone.
+SLICE, SLICE_CHARS = 500, 1_000_000
+#: Words whose kernel rows are laid out together.
+STRIP = 32_768
 #: The word kernel's power in the sentence kernel, and the word value below which the power is left out as zero.
 POWER, FLOOR = 3, 0.2
 MARK = re.compile(r"[\W_]+")
@@ -138,6 +141,19 @@ def tokens_of(text: str | None) -> list[str]:
     return tokens
 
 
+def slices_of(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """Where a slice of texts begins, and its texts, ``SLICE`` at most and of ``SLICE_CHARS`` bytes or one text."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start == SLICE or held + size > SLICE_CHARS):
+            yield start, column.slice(start, i - start).to_pylist()
+            start, held = i, 0
+        held += size
+    if sizes:
+        yield start, column.slice(start).to_pylist()
+
+
 def pieces_of(token: str) -> list[str]:
     """A token's letters and digits (or the token itself, without any), long ones in overlapping pieces."""
     bare = MARK.sub("", token) or token
@@ -166,8 +182,8 @@ class Sentences:
         starts = np.cumsum([0, *map(len, parts)])[:-1]
         sums = np.add.reduceat(powers, starts, axis=0) if len(parts) else powers
         told = np.flatnonzero(sums.any(1))
-        while self.used + len(told) > len(self.rows):
-            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        if self.used + len(told) > len(self.rows):
+            self.rows = np.concatenate((self.rows[: self.used], np.zeros((len(told) + self.used // 2, self.rows.shape[1]), np.float32)))
         self.rows[self.used : self.used + len(told)] = sums[told]
         row = np.zeros(len(tokens), np.int64)
         row[told] = np.arange(self.used, self.used + len(told))
@@ -193,12 +209,19 @@ class Sentences:
         start = place % LONGEST == 0
         start[1:] |= code[:-1] % 2 == 1
         told = np.flatnonzero(code > 1)
-        sentence, row = np.cumsum(start)[told], self.rows[code[told] // 2]
+        sentence = np.cumsum(start)[told]
         first = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]][: len(sentence)])
-        sums = np.add.reduceat(row, first, axis=0) if len(first) else row
-        owner = np.concatenate((text[told[first]], np.arange(len(words))))
-        order = np.argsort(owner, kind="stable")
-        return np.concatenate((sums, np.zeros((len(words), row.shape[1]), np.float32)))[order], owner[order]
+        # The row of zeros of each text comes behind its sentences.
+        own = text[told[first]]
+        owner = np.repeat(np.arange(len(words)), np.bincount(own, minlength=len(words)) + 1)
+        out, place = np.zeros((len(owner), self.rows.shape[1]), np.float32), np.arange(len(first)) + own
+        row, ends = code[told] // 2, np.r_[first[1:], len(told)]
+        at = 0
+        while at < len(first):
+            stop = max(at + 1, int(np.searchsorted(ends, first[at] + STRIP, "right")))
+            out[place[at:stop]] = np.add.reduceat(self.rows[row[first[at] : ends[stop - 1]]], first[at:stop] - first[at], axis=0)
+            at = stop
+        return out, owner
 
 
 def nystroem(kernel: Kernel) -> np.ndarray:
@@ -341,11 +364,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches):
         read = Sentences(sent.value)
-        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
-            x, owner = read(b.column(0).to_pylist())
-            cuts = np.searchsorted(owner, np.arange(b.num_rows + 1))
+        for b, at, texts in ((b, *s) for b in batches for s in slices_of(b.column(0))):
+            x, owner = read(texts)
+            cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
             parts = [packed(x[i:j]) for i, j in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), pa.array(np.diff(cuts)), *b.columns[1:]], names=["x", "n", "toxic", "fold"])
+            more = [c.slice(at, len(texts)) for c in b.columns[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), pa.array(np.diff(cuts)), *more], names=["x", "n", "toxic", "fold"])
 
     fold = F.pmod(F.xxhash64("doc_id", F.lit(FOLDS)), F.lit(FOLDS)).cast("int").alias("fold")
     path = scratch_path(spark, "toxicity")
@@ -427,8 +451,8 @@ def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
     def make():
         read = Sentences(sent.value.kernel)
 
-        def fill(texts: list[str | None]) -> list[float]:
-            return [v for i in range(0, len(texts), SLICE) for v in sent.value.scores(*read(texts[i : i + SLICE])).tolist()]
+        def fill(texts: pa.Array) -> list[float]:
+            return [v for _, part in slices_of(texts) for v in sent.value.scores(*read(part)).tolist()]
 
         return fill
 
