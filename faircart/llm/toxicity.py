@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ LONGEST = 24
 CACHE_WORDS = 200_000
 #: Texts, and characters of texts, whose words are looked at together; a longer text stands alone.
 SLICE, SLICE_CHARS = 500, 1_000_000
-#: Words whose kernel rows are laid out together.
+#: Sentences whose kernel rows are summed together.
 STRIP = 32_768
 #: The word kernel's power in the sentence kernel, and the word value below which the power is left out as zero.
 POWER, FLOOR = 3, 0.2
@@ -115,19 +116,24 @@ class Kernel:
         Words that a bound on all their values puts under ``floor`` are left at 0.
         """
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        for at in range(0, len(words), 4096):
-            codes = codes_of(words[at : at + 4096])
-            size, bound = norms(codes), np.zeros(len(codes), np.float32)
+        by_length = np.argsort(list(map(len, words)), kind="stable")  # words looked at together are padded to the longest
+        for some in (by_length[at : at + 4096] for at in range(0, len(words), 4096)):
+            codes = codes_of([words[i] for i in some])
+            bound, least = np.zeros(len(codes), np.float32), np.zeros(len(codes))
             for t, weight in triples(codes):
                 bound += np.float32(weight) * self.most[t].sum(1)
-            able = np.flatnonzero(bound >= floor * size)
+                least += weight**2 * (t > 0).sum(1)
+            # No norm is under the root of its squared weights, so most words need no norm.
+            able = np.flatnonzero(bound >= floor * np.sqrt(least) * (1 - 1e-5))
+            size = norms(codes[able])
+            able, size = able[bound[able] >= floor * size], size[bound[able] >= floor * size]
             part = np.zeros((len(able), len(self.landmarks)), np.float32)
             for t, weight in triples(codes[able]):
                 found = self.index[t]
                 for col in np.flatnonzero(found.any(0)):
                     own = np.flatnonzero(found[:, col])
                     part[own] += np.float32(weight) * self.weights[found[own, col]]
-            out[at + able] = part / size[able, None]
+            out[some[able]] = part / size[:, None]
         return out
 
 
@@ -135,7 +141,7 @@ def tokens_of(text: str | None) -> list[str]:
     """Words of a text with their marks; runs of single characters come again at the end, joined, as sentences of their own."""
     low = (text or "").lower()
     tokens = low.split()
-    if sum(len(w) == 1 for w in tokens) >= 3:
+    if list(map(len, tokens)).count(1) >= 3:
         for run in SPACED.findall(low):
             tokens += [".", "".join(run.split())]
     return tokens
@@ -156,7 +162,7 @@ def slices_of(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
 
 def pieces_of(token: str) -> list[str]:
     """A token's letters and digits (or the token itself, without any), long ones in overlapping pieces."""
-    bare = MARK.sub("", token) or token
+    bare = token if token.isalnum() else MARK.sub("", token) or token
     if len(bare) <= PIECE:
         return [bare]
     return [bare[i : i + PIECE] for i in range(0, len(bare) - PIECE // 2, PIECE // 2)]
@@ -172,12 +178,14 @@ class Sentences:
     def _forget(self) -> None:
         #: Row of each token (0: none of its values counts), twice over, plus 1 if the token ends a sentence.
         self.known: dict[str, int] = {}
+        #: Row of each token's letters and digits.
+        self.bare: dict[tuple[str, ...], int] = {}
         self.rows, self.used = np.zeros((1024, len(self.kernel.landmarks)), np.float32), 1
 
     def _learn(self, tokens: list[str]) -> None:
-        parts = [pieces_of(t) for t in tokens]
-        flat = [w for p in parts for w in p]
-        values = self.kernel.values(flat, FLOOR)
+        bare = [tuple(pieces_of(t)) for t in tokens]
+        parts = [p for p in dict.fromkeys(bare) if p not in self.bare]
+        values = self.kernel.values([w for p in parts for w in p], FLOOR)
         powers = np.where(values >= FLOOR, values, 0) ** POWER
         starts = np.cumsum([0, *map(len, parts)])[:-1]
         sums = np.add.reduceat(powers, starts, axis=0) if len(parts) else powers
@@ -185,11 +193,11 @@ class Sentences:
         if self.used + len(told) > len(self.rows):
             self.rows = np.concatenate((self.rows[: self.used], np.zeros((len(told) + self.used // 2, self.rows.shape[1]), np.float32)))
         self.rows[self.used : self.used + len(told)] = sums[told]
-        row = np.zeros(len(tokens), np.int64)
+        row = np.zeros(len(parts), np.int64)
         row[told] = np.arange(self.used, self.used + len(told))
         self.used += len(told)
-        ends = [t[-1] in ".!?" for t in tokens]
-        self.known.update(zip(tokens, (2 * row + ends).tolist(), strict=True))
+        self.bare.update(zip(parts, row.tolist(), strict=True))
+        self.known.update((t, 2 * self.bare[p] + (t[-1] in ".!?")) for t, p in zip(tokens, bare, strict=True))
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Kernel rows, and the number of the text that each belongs to, in order.
@@ -203,7 +211,7 @@ class Sentences:
             new = set().union(*words)
         self._learn(list(new))
         size = np.array([len(w) for w in words])
-        code = np.fromiter((self.known[t] for w in words for t in w), np.int64, int(size.sum()))
+        code = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(size.sum()))
         text = np.repeat(np.arange(len(words)), size)
         place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
         start = place % LONGEST == 0
@@ -216,11 +224,13 @@ class Sentences:
         owner = np.repeat(np.arange(len(words)), np.bincount(own, minlength=len(words)) + 1)
         out, place = np.zeros((len(owner), self.rows.shape[1]), np.float32), np.arange(len(first)) + own
         row, ends = code[told] // 2, np.r_[first[1:], len(told)]
-        at = 0
-        while at < len(first):
-            stop = max(at + 1, int(np.searchsorted(ends, first[at] + STRIP, "right")))
-            out[place[at:stop]] = np.add.reduceat(self.rows[row[first[at] : ends[stop - 1]]], first[at:stop] - first[at], axis=0)
-            at = stop
+        for at in range(0, len(first), STRIP):
+            begin, size = first[at : at + STRIP], (ends - first)[at : at + STRIP]
+            total = self.rows[row[begin]]
+            for k in range(1, size.max()):
+                longer = np.flatnonzero(size > k)
+                total[longer] += self.rows[row[begin[longer] + k]]
+            out[place[at : at + STRIP]] = total
         return out, owner
 
 
