@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, grammar, prices, units
 from ..functions.text import base36, ci, find_all, matches, squeeze
 from . import normalize, validate
-from .tree import PAGE
+from .tree import PAGE, sorted_join
 
 CARD = [PAGE, "card"]
 
@@ -38,7 +38,7 @@ def card_texts(nodes: DataFrame, cards: DataFrame) -> DataFrame:
 
     ``parts`` are the strings of the node and all below it in document order. A card's subtree lies on one page.
     """
-    rows = nodes.select(PAGE, "node", "tag", "path", own_strings().alias("own")).join(cards.select(*CARD).distinct(), PAGE).where("array_contains(path, card)")
+    rows = sorted_join(nodes.select(PAGE, "node", "tag", "path", own_strings().alias("own")), cards.select(*CARD).distinct(), PAGE).where("array_contains(path, card)")
     up = rows.select(*CARD, "node", "tag", "own", F.explode(F.expr("slice(path, cast(array_position(path, card) as int), size(path))")).alias("top"))
     itself = F.max(F.when(F.col("node") == F.col("top"), F.struct("tag", "own")))
     parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("node", "own"))), lambda x: x["own"]))
@@ -145,10 +145,10 @@ def resolve_pointers(answers: DataFrame, nodes: DataFrame, key: str = "answer_id
     refs = good.select(key, PAGE, "card", F.inline_outer(F.concat(F.array(ref("CARD", F.lit(0), F.get("f", F.lit(0)))), titles, asked)))
     refs = refs.withColumn("node", node_number(F.regexp_replace("name", "@[puqk][0-9]+$", "")))
     named = refs.where("field = 'TITLE'").select(key, PAGE, "at", F.col("node").alias("top"))
-    refs = refs.join(nodes.select(PAGE, "node", "path"), [PAGE, "node"], "left")
+    refs = sorted_join(refs, nodes.select(PAGE, "node", "path"), [PAGE, "node"], "left")
     found = candidates(nodes, good.select(PAGE, "card").where("card is not null").distinct())
     found = found.select(*CARD, F.col("id").alias("name"), F.struct("kind", "evidence", "cents", "unit", "dimension", "value", "packs").alias("c"))
-    refs = refs.join(found, [*CARD, "name"], "left")
+    refs = sorted_join(refs, found, [*CARD, "name"], "left")
     there, inside = F.col("path").isNotNull(), F.array_contains("path", F.col("card"))
     wanted = F.element_at(F.create_map(*(F.lit(x) for pair in grammar.KINDS.items() for x in pair)), F.col("field"))
     code = (
@@ -163,9 +163,9 @@ def resolve_pointers(answers: DataFrame, nodes: DataFrame, key: str = "answer_id
     told = refs.groupBy(key).agg(F.array_sort(F.collect_list(issue)).alias("found"), *map(value, grammar.KINDS))
     # A title is the text of its nodes in the order named, each node once with all below it.
     below = nodes.select(PAGE, "node", own_strings().alias("own"), F.explode("path").alias("top"))
-    parts = named.join(below, [PAGE, "top"]).groupBy(key, "node").agg(F.min("at").alias("at"), F.first("own").alias("own"))
+    parts = sorted_join(named, below, [PAGE, "top"]).groupBy(key, "node").agg(F.min("at").alias("at"), F.first("own").alias("own"))
     parts = parts.groupBy(key).agg(joined(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "node", "own"))), lambda x: x["own"]))).alias("title"))
-    rows = read.join(told, key, "left").join(parts, key, "left")
+    rows = sorted_join(sorted_join(read, told, key, "left"), parts, key, "left")
     first = F.array_min(F.transform("found", lambda x: x["stage"]))
     own = F.transform(F.filter("found", lambda x: x["stage"] == first), lambda x: x["text"])
     untitled = F.coalesce(F.col("title"), F.lit("")) == ""
@@ -266,7 +266,7 @@ def annotate(nodes: DataFrame, cards: DataFrame) -> DataFrame:
     card = rows.groupBy(*CARD).agg(
         F.min("title").alias("title"), F.min("short").alias("short"), F.min("native").alias("native"), F.flatten(F.collect_list("money")).alias("money"), F.flatten(F.collect_list("labels")).alias("labels")
     )
-    card = card.where("short is not null").join(wanted, CARD)
+    card = sorted_join(card.where("short is not null"), wanted, CARD)
     # Of equal amounts the one that most speaks for, in the fewest nodes, stays; then they are in order of preference.
     amounts = F.transform(F.array_distinct(F.transform("money", lambda m: m["cents"])), lambda c: F.array_min(F.filter("money", lambda m: m["cents"] == c)))
     order = lambda m: F.struct(m["against"].alias("against"), m["descendants"].alias("descendants"), m["cents"].alias("cents"), m["node"].alias("node"))
@@ -303,9 +303,9 @@ def annotate(nodes: DataFrame, cards: DataFrame) -> DataFrame:
 def grounded(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Annotations with ``issues``: values that the texts of the nodes they cite don't hold."""
     cited = F.array_compact(F.concat(F.array("title_node", "price.node"), F.coalesce("native.evidence", F.array().cast("array<int>"))))
-    told = rows.select(*CARD, F.explode(F.array_distinct(cited)).alias("node")).join(texts, [*CARD, "node"])
+    told = sorted_join(rows.select(*CARD, F.explode(F.array_distinct(cited)).alias("node")), texts, [*CARD, "node"])
     told = told.groupBy(*CARD).agg(F.map_from_entries(F.collect_list(F.struct("node", "text"))).alias("texts"))
-    rows = rows.join(told, CARD, "left")
+    rows = sorted_join(rows, told, CARD, "left")
     at = lambda node: F.col("texts")[node]
     text = F.array_join(F.transform("native.evidence", at), " ")
     apart = F.size("native.evidence") > 1
@@ -333,7 +333,7 @@ def selection_codes(nodes: DataFrame, cards: DataFrame) -> DataFrame:
     one = F.struct("node", rank.alias("rank"), number.alias("i"), "id", "kind", "source")
     values = candidates(nodes, cards).groupBy(*CARD).agg(F.array_sort(F.collect_list(one)).alias("v"))
     listed = F.to_json(F.transform("v", lambda x: F.struct(x["id"].alias("id"), x["kind"].alias("kind"), x["source"].alias("sourceText"))))
-    return titles.join(values, CARD, "left").select(*CARD, coded("t").alias("titles"), F.coalesce(coded("v"), F.create_map().cast("map<string,string>")).alias("values"), F.coalesce(listed, F.lit("[]")).alias("catalogue"))
+    return sorted_join(titles, values, CARD, "left").select(*CARD, coded("t").alias("titles"), F.coalesce(coded("v"), F.create_map().cast("map<string,string>")).alias("values"), F.coalesce(listed, F.lit("[]")).alias("catalogue"))
 
 
 def pointers_to_selections(answers: DataFrame, nodes: DataFrame, key: str = "answer_id") -> DataFrame:
@@ -342,9 +342,9 @@ def pointers_to_selections(answers: DataFrame, nodes: DataFrame, key: str = "ans
     A card with more than 1,296 nodes or candidates has none.
     """
     good = resolve_pointers(answers, nodes, key).where("state <> 'invalid'").select(key, "card")
-    rows = answers.select(key, PAGE, "answer").join(good, key)
+    rows = sorted_join(answers.select(key, PAGE, "answer"), good, key)
     codes = selection_codes(nodes, rows.select(*CARD).distinct()).drop("catalogue")
-    rows = rows.join(codes, CARD)
+    rows = sorted_join(rows, codes, CARD)
     value = lambda f: F.col("values")[grammar.line_value(F.col("answer"), f)]
     title = F.col("titles")[F.split(grammar.line_value(F.col("answer"), "TITLE"), ",")[0]]
     lost = title.isNull()
@@ -358,7 +358,7 @@ def selections_to_pointers(selections: DataFrame, nodes: DataFrame, key: str = "
     """``(key, page_id, card, answer)`` of ``selections(key, page_id, card, selection)``; null for a wrong form or a code that its card doesn't have."""
     codes = selection_codes(nodes, selections.select(*CARD).distinct()).drop("catalogue")
     turned = lambda c: F.map_from_entries(F.transform(F.map_entries(c), lambda e: F.struct(e["value"].alias("k"), e["key"].alias("v"))))
-    rows = selections.join(codes, CARD).withColumn("titles", turned("titles")).withColumn("values", turned("values"))
+    rows = sorted_join(selections, codes, CARD).withColumn("titles", turned("titles")).withColumn("values", turned("values"))
     part = lambda i: F.regexp_extract("selection", grammar.SELECTION, i)
     status = F.lit(None).cast("string")
     for name, letter in grammar.STATUS_CODES.items():

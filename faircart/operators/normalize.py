@@ -13,6 +13,8 @@ from ..functions.text import matches, number_text, plain_space, to_fixed, trim_z
 
 #: Largest relative difference at which a printed and a computed rate agree.
 AGREEMENT = 0.08
+#: Up to so many distinct keys Spark may broadcast what is computed from them.
+FEW = 20_000
 
 
 def rates_agree(left: Column, right: Column) -> Column:
@@ -91,6 +93,9 @@ def per_distinct(rows: DataFrame, keys: list[str], add) -> DataFrame:
     known = checkpointed(add(rows.select(*keys).distinct().repartition(spread, *keys)))
     made = [c for c in known.columns if c not in keys]
     known = known.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), *made)
+    # A checkpoint is judged by the size of the files it came from, however much was made of them.
+    if known.limit(FEW + 1).count() > FEW:
+        rows, known = rows.hint("merge"), known.hint("merge")
     same = reduce(lambda x, y: x & y, [rows[k].eqNullSafe(known[f"_key{i}"]) for i, k in enumerate(keys)])
     return rows.join(known, same, "left").drop(*(f"_key{i}" for i in range(len(keys))))
 

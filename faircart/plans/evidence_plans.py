@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grammar
 from ..operators import evidence, normalize
+from ..operators.tree import sorted_join
 from .common import registry, table
 from .shelves import SHELF_SQL, shelf_nodes
 
@@ -100,5 +101,5 @@ def pointer_selections(spark, sf_dir):
     n, a = shelf_nodes(spark, sf_dir), answers(spark, sf_dir)
     told = normalize.checkpointed(evidence.pointers_to_selections(a, n))
     back = evidence.selections_to_pointers(told, n).select("answer_id", F.col("answer").alias("back"))
-    rows = told.join(back, "answer_id").join(a.select("answer_id", "answer"), "answer_id")
+    rows = sorted_join(sorted_join(told, back, "answer_id"), a.select("answer_id", "answer"), "answer_id")
     return rows.select("answer_id", "selection", (F.col("back") == F.col("answer")).alias("same"))
