@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grammar
 from ..functions.text import strict_json
+from .tree import sorted_join
 from .validate import violations
 
 PRODUCTS = "array<struct<card:string,scope:string,target:string>>"
@@ -212,9 +213,9 @@ def training_examples(annotations: DataFrame, nodes: DataFrame, single: bool = F
     each = lambda p: F.concat(F.array(p["card"]), F.coalesce(p["evidence"]["title"], empty), *(used(p, *x) for x in pairs))
     cited = rows.select("page_id", F.explode_outer(F.array_distinct(F.flatten(F.transform(own, each)))).alias("node")).where("node is not null")
     views = rows.where("region is not null").select("page_id", F.lit(0).alias("view"), "region.x", "region.y", "region.w", "region.h")
-    outside = cited.join(crop(nodes, views).select("page_id", "node"), ["page_id", "node"], "left_anti")
+    outside = sorted_join(cited, crop(nodes, views).select("page_id", "node"), ["page_id", "node"], "left_anti")
     outside = outside.groupBy("page_id").agg(F.array_sort(F.collect_set("node")).alias("outside"))
-    out = rows.join(outside, "page_id", "left")
+    out = sorted_join(rows, outside, "page_id", "left")
     gone = F.transform(F.coalesce("outside", empty), lambda n: F.concat(F.lit("n"), n.cast("string"), F.lit(":outside-region")))
     out = out.withColumn("errors", F.when(F.size("own") > 0, F.col("own")).otherwise(gone))
     return out.select("page_id", "errors", F.when(F.size("errors") == 0, own).alias("products"))
