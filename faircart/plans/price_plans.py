@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, prices, text, units
 from ..operators import compare, normalize
-from .common import RATE, SQL_MACROS, cents_of, dollars, part_cards, r4, rate_cards, table
+from .common import RATE, SQL_MACROS, cents_of, dealt, dollars, part_cards, r4, rate_cards, table
 
 sql_r4, sql_cents, sql_dollars = SQL_MACROS["r4"], SQL_MACROS["cents"], SQL_MACROS["dollars"]
 QUERIES, ORACLE_SQL = {}, {}
@@ -90,7 +90,9 @@ def best_price_pick(spark, sf_dir):
 )
 def native_price_parse(spark, sf_dir):
     """A printed price per pound."""
-    found = rate_cards(spark, sf_dir).select("l_orderkey", "l_linenumber", F.explode(prices.parse_native_prices(F.col("rate_text"))).alias("p"))
+    rows = rate_cards(spark, sf_dir).select("l_orderkey", "l_linenumber", "rate_text")
+    rows = normalize.per_distinct(rows, ["rate_text"], lambda d: d.withColumn("found", prices.parse_native_prices(F.col("rate_text"))))
+    found = rows.select("l_orderkey", "l_linenumber", F.explode("found").alias("p"))
     return found.select("l_orderkey", "l_linenumber", "p.cents", "p.unit", "p.dimension")
 
 
@@ -129,7 +131,9 @@ def pack_count_parse(spark, sf_dir):
     for i, form in enumerate(forms):
         before, after = form.split("%s")
         t = F.when(F.col("l_orderkey") % len(forms) == i, F.concat(F.lit(before), q, F.lit(after))).otherwise(t)
-    return line.select("l_orderkey", "l_linenumber", prices.pack_count(t).alias("pack_count"))
+    rows = line.select("l_orderkey", "l_linenumber", t.alias("text"))
+    rows = normalize.per_distinct(rows, ["text"], lambda d: d.withColumn("pack_count", prices.pack_count(F.col("text"))))
+    return rows.select("l_orderkey", "l_linenumber", "pack_count")
 
 
 @query(
@@ -365,9 +369,9 @@ def price_audit(spark, sf_dir):
     cents = cents_of(F.col("p_retailprice"))
     title = F.when(k == 0, F.lit("Add to cart, 4 lb")).when(k == 2, F.lit("Toothpicks, 90000 count")).otherwise(F.lit("Cat Litter, 4 lb"))
     part = table(spark, sf_dir, "part").where(cents.between(1, 500_000)).select("p_partkey", title.alias("title"), k.alias("k"))
-    rows = part.withColumn("price_cents", F.when(F.col("k") == 2, 100).otherwise(500).cast("long")).withColumn("pack_count", F.lit(None).cast("int"))
+    rows = dealt(part, "p_partkey").withColumn("price_cents", F.when(F.col("k") == 2, 100).otherwise(500).cast("long")).withColumn("pack_count", F.lit(None).cast("int"))
     rows = rows.withColumn("native", F.try_element_at(prices.parse_native_prices(F.lit("")), F.lit(1)))
-    rows = rows.withColumn("package", F.try_element_at(prices.parse_quantities(F.col("title")), F.lit(1)))
+    rows = normalize.per_distinct(rows, ["title"], lambda d: d.withColumn("package", F.try_element_at(prices.parse_quantities(F.col("title")), F.lit(1))))
     rows = normalize.normalize(rows)
     target = F.when(F.col("k") == 1, "volume")
     return normalize.audit(rows, target).select("p_partkey", "finding.reason", "finding.severity")
