@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, grammar, privacy, text
-from .common import registry, table
+from .common import dealt, registry, table
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -238,7 +238,7 @@ def collected_cards(spark, sf_dir):
     """The collector's score of page elements."""
     k = F.col("p_partkey")
     t = F.when(k % 4 == 0, "€ 4.50 / lb add").when(k % 4 == 1, "$12 pack").when(k % 4 == 2, "£3 per roll").otherwise("no price")
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.repeat(F.concat("p_name", F.lit(" ")), (k % 300 + 1).cast("int")), t).alias("t"))
+    rows = dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.concat(F.repeat(F.concat("p_name", F.lit(" ")), (k % 300 + 1).cast("int")), t).alias("t"))
     return rows.select("p_partkey", classify.collected_card_score(F.col("t"), k % 3 == 0, k % 5 == 0, k % 7 == 0).alias("score"))
 
 
