@@ -28,11 +28,16 @@ SELECTION = r"^T([0-9A-Z]{2}) P([0-9A-Z]{2}|--) U([0-9A-Z]{2}|--) Q([0-9A-Z]{2}|
 
 def pointer_fields(text: Column) -> Column:
     """The seven values of a pointer in the order of ``FIELDS``; null where the form is broken."""
-    lines = F.split(text, "\n")
-    formed = (text == F.trim(text)) & ~F.contains(text, F.lit("\r")) & ~F.contains(text, F.lit("```")) & (F.size(lines) == len(FIELDS))
-    each = [F.when(F.startswith(F.get(lines, F.lit(i)), F.lit(f + " ")), F.substring(F.get(lines, F.lit(i)), F.lit(len(f) + 2), F.length(text))) for i, f in enumerate(FIELDS)]
-    whole = reduce(lambda a, b: a & b, [F.coalesce(e != "", F.lit(False)) for e in each])
-    return F.when(formed & whole, F.array(*each))
+    formed = (text == F.trim(text)) & ~F.contains(text, F.lit("\r")) & ~F.contains(text, F.lit("```"))
+
+    def values(lines):
+        each = [F.when(F.startswith(F.get(lines, F.lit(i)), F.lit(f + " ")), F.substring(F.get(lines, F.lit(i)), F.lit(len(f) + 2), F.length(text))) for i, f in enumerate(FIELDS)]
+        return F.when(F.size(lines) == len(FIELDS), F.array(*each))
+
+    def whole(found):
+        return F.when(formed & F.forall(found, lambda e: F.coalesce(e != "", F.lit(False))), found)
+
+    return let(let(F.split(text, "\n"), values), whole)
 
 
 def pointer_issue(text: Column, any_kind: bool = False) -> Column:

@@ -42,6 +42,16 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain_space(text), r"\s+", " "))
 
 
+def once(df: DataFrame, **made: Column) -> DataFrame:
+    """``df`` with the columns of ``made``, computed once for each row, whoever reads them.
+
+    Filters on a plain column compute its expression again, each on its own; those on an exploded one can't.
+    """
+    name = free_name(df, "_made")
+    held = F.struct(*(c.alias(k) for k, c in made.items()))
+    return df.withColumn(name, F.explode(F.array(held))).select("*", f"{name}.*").drop(name)
+
+
 #: A control character that marks the places of matches.
 CUT = "\x01"
 #: Fixed value: what may follow a unit.
