@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Takes a variant and the place it stands at, and gives what is wrong there as ``place:code``.
 Shape = Callable[[Column, Column], Column]
 NONE = "array<string>"
@@ -49,12 +51,15 @@ def several(item: Shape, least: int = 0, distinct: bool = False) -> Shape:
     """An array of ``item``; places count from 0."""
 
     def check(v: Column, at: Column) -> Column:
-        held = F.try_variant_get(v, "$", "array<variant>")
-        own = F.flatten(F.transform(held, lambda x, i: item(x, F.concat(at, F.lit("["), i.cast("string"), F.lit("]")))))
-        few = F.when(F.size(held) < least, fault(at, "too-few")).otherwise(nothing())
-        texts = F.transform(held, lambda x: F.to_json(x))
-        twice = F.when(F.lit(distinct) & (F.size(F.array_distinct(texts)) < F.size(texts)), fault(at, "repeated")).otherwise(nothing())
-        return F.when(kind(v) == "ARRAY", F.concat(few, twice, own)).otherwise(fault(at, "not-an-array"))
+        def judge(held):
+            own = F.flatten(F.transform(held, lambda x, i: item(x, F.concat(at, F.lit("["), i.cast("string"), F.lit("]")))))
+            parts = [F.when(F.size(held) < least, fault(at, "too-few")).otherwise(nothing())]
+            if distinct:
+                unlike = let(F.transform(held, lambda x: F.to_json(x)), lambda texts: F.size(F.array_distinct(texts)) < F.size(texts))
+                parts.append(F.when(unlike, fault(at, "repeated")).otherwise(nothing()))
+            return F.when(held.isNotNull(), F.concat(*parts, own)).otherwise(fault(at, "not-an-array"))
+
+        return let(F.try_variant_get(v, "$", "array<variant>"), judge)
 
     return check
 
@@ -64,23 +69,26 @@ def closed(required: dict[str, Shape], optional: dict[str, Shape] | None = None)
     optional = optional or {}
 
     def check(v: Column, at: Column) -> Column:
-        keys = F.json_object_keys(F.to_json(v))
         below = lambda k: F.concat(at, F.lit("."), k)
-        unknown = F.transform(F.filter(keys, lambda k: ~k.isin(*required, *optional)), lambda k: F.concat(below(k), F.lit(":unknown-key")))
-        parts = [F.coalesce(unknown, nothing())]
-        for name, shape in (required | optional).items():
-            child, place = F.try_variant_get(v, f"$.{name}", "variant"), below(F.lit(name))
-            absent = fault(place, "missing") if name in required else nothing()
-            parts.append(F.when(child.isNull(), absent).otherwise(shape(child, place)))
-        return F.when(kind(v) == "OBJECT", F.concat(*parts)).otherwise(fault(at, "not-an-object"))
+
+        def judge(held):
+            unknown = F.transform(F.filter(F.map_keys(held), lambda k: ~k.isin(*required, *optional)), lambda k: F.concat(below(k), F.lit(":unknown-key")))
+            parts = [unknown]
+            for name, shape in (required | optional).items():
+                place = below(F.lit(name))
+                absent = fault(place, "missing") if name in required else nothing()
+                child = F.try_element_at(held, F.lit(name))
+                parts.append(let(child, lambda x, shape=shape, place=place, absent=absent: F.when(x.isNull(), absent).otherwise(shape(x, place))))
+            return F.when(held.isNotNull(), F.concat(*parts)).otherwise(fault(at, "not-an-object"))
+
+        return let(F.try_variant_get(v, "$", "map<string,variant>"), judge)
 
     return check
 
 
 def faults(document: Column, shape: Shape) -> Column:
     """All that is wrong with a JSON text, by place, ``$`` being the whole; one fault for null or what is no JSON."""
-    v = F.try_parse_json(document)
-    return F.when(v.isNull(), F.array(F.lit("$:not-json"))).otherwise(shape(v, F.lit("$")))
+    return let(F.try_parse_json(document), lambda v: F.when(v.isNull(), F.array(F.lit("$:not-json"))).otherwise(shape(v, F.lit("$"))))
 
 
 # Keys and statuses of an extracted page.
