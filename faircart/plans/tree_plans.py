@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..operators import tree
 from ..sources import files, generate, html
 from ..streaming import sessions
-from .common import registry, table
+from .common import dealt, registry, table
 
 QUERIES, ORACLE_SQL, query = registry()
 
 
 def nodes_of(spark, sf_dir):
-    return html.page_nodes(table(spark, sf_dir, "pages"))
+    # Many pages of a small file are one split; dealt first, they are read by all cores.
+    return html.page_nodes(dealt(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id"))
 
 
 TAGS = ("li", "a", "h1", "nav", "article", "footer", "ul", "p", "b", "br")

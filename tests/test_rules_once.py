@@ -64,3 +64,9 @@ def test_a_pointer_is_split_once(spark):
 def test_shapes_parse_a_document_once(spark):
     plan = plan_of(spark.createDataFrame([("[]",)], "d string").select(shape.faults(F.col("d"), shape.page_extraction())))
     assert plan.count("parse_json(") == 1
+
+
+def test_pages_are_read_by_all_cores(spark, sf_dir):
+    from faircart.plans import tree_plans
+
+    assert tree_plans.nodes_of(spark, sf_dir).rdd.getNumPartitions() >= 4
