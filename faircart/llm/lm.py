@@ -10,12 +10,12 @@ send to every task are joined.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,19 +39,34 @@ CHUNK = 512
 MOST = np.float32(40)
 #: Each round learns from other training documents, whole; together the rounds cover all.
 ROUNDS, RATE = 2, 0.01
-#: Distinct words a task counts before it passes them on.
-COUNT_WORDS = 200_000
-#: Documents that are scored together.
+#: Documents that are cut into words together.
 SLICE = 8000
+#: Tokens whose probabilities are taken together when documents are scored.
+TOLD = 65_536
 LN10 = float(np.log(10))
 
 
-def words_of(data: bytes | None) -> list[bytes]:
-    """Words of UTF-8 text: A-Z lower-cased, split at ASCII white space; a very long word as its digest behind a blank."""
-    words = (data or b"").lower().split()
-    if max(map(len, words), default=0) > WORD_BYTES:
-        words = [w if len(w) <= WORD_BYTES else END + xxhash.xxh128_digest(w) for w in words]
-    return words
+def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of UTF-8 texts, the place in them of every word in order, and the number of words of each text.
+
+    A-Z is lower-cased, words end at ASCII white space; a very long word is known by its digest behind a blank. Null texts have no words.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    owner, words = pc.list_parent_indices(lists), pc.list_flatten(lists)
+    real = pc.greater(pc.binary_length(words), 0)
+    sizes = np.bincount(owner.filter(real).to_numpy(), minlength=len(texts))
+    coded = words.filter(real).dictionary_encode()
+    ends = np.cumsum(pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False), dtype=np.int64)
+    whole = pc.binary_join(pa.ListArray.from_arrays([0, len(ends)], coded.dictionary), "")[0].as_buffer().to_pybytes()
+    distinct = [whole[i:j] for i, j in pairwise([0, *ends.tolist()])]
+    for i in np.flatnonzero(np.diff(ends, prepend=0) > WORD_BYTES).tolist():
+        distinct[i] = END + xxhash.xxh128_digest(distinct[i])
+    return distinct, coded.indices.to_numpy(), sizes
+
+
+def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``SLICE`` rows at most."""
+    return (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE))
 
 
 def side_of(distinct: int) -> int:
@@ -63,21 +78,10 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """``(token, c)`` over all rows of ``docs(text)``; the end token counts once a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def flush():
-            columns = [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
-            out = pa.RecordBatch.from_arrays(columns, names=["token", "c"])
-            counts.clear()
-            return out
-
-        for b in batches:
-            for x in b.column(0):
-                counts.update(words_of(x.as_py()))
-                counts[END] += 1
-                if len(counts) > COUNT_WORDS:
-                    yield flush()
-        yield flush()
+        for b in slices_of(batches):
+            words, codes, sizes = words_of(b.column(0))
+            counts = np.r_[np.bincount(codes, minlength=len(words)), len(sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array([*words, END], pa.binary()), pa.array(counts, pa.int64())], names=["token", "c"])
 
     parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "token binary, c long")
     return parts.groupBy("token").agg(F.sum("c").alias("c"))
@@ -165,14 +169,44 @@ class GatedModel:
         n = np.tanh(a[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
         return n + z * (h - n), (r, z, n, u[:, 2 * HIDDEN :])
 
+    def states(self, x: np.ndarray, h: np.ndarray, kept: list | None = None) -> np.ndarray:
+        """States before and after each step of a window of inputs ``(steps, rows)``, from ``h``: ``(steps + 1, HIDDEN, rows)``.
+
+        It does what ``step`` does, in place and with rows behind, where every part of the gates lies together. ``kept`` gets the gates,
+        the new parts of the states and the states' own part of them.
+        """
+        steps, rows = x.shape
+        by_part, half = np.repeat(np.float32([0.5, 0.5, 1]), HIDDEN), np.full(1, 0.5, np.float32)
+        a, u = np.ascontiguousarray((self.x * by_part)[x].transpose(0, 2, 1)), np.ascontiguousarray((self.u * by_part).T)
+        out, gates, new = np.empty((steps + 1, HIDDEN, rows), np.float32), np.empty_like(a), np.empty((steps, HIDDEN, rows), np.float32)
+        out[0] = h.T
+        for t in range(steps):
+            g, n, after = gates[t], new[t], out[t + 1]
+            np.matmul(u, out[t], out=g)
+            rz = g[: 2 * HIDDEN]
+            rz += a[t, : 2 * HIDDEN]
+            np.tanh(rz, out=rz)
+            rz *= half
+            rz += half
+            np.multiply(rz[:HIDDEN], g[2 * HIDDEN :], out=n)
+            n += a[t, 2 * HIDDEN :]
+            np.tanh(n, out=n)
+            np.subtract(out[t], n, out=after)
+            after *= rz[HIDDEN:]
+            after += n
+        if kept is not None:
+            kept += gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], new, gates[:, 2 * HIDDEN :]
+        return out
+
     @staticmethod
     def choose(h: np.ndarray, w: np.ndarray, b: np.ndarray, own: np.ndarray, grad: tuple | None):
         """Log-probability of the choice ``own`` in each row and, with ``grad``, the loss's gradient by state."""
         out, dh, ones = np.empty(len(h), np.float32), None if grad is None else np.empty_like(h), np.ones(len(b), np.float32)
+        space = np.empty((min(CHUNK, len(h)), len(b)), np.float32)
         for at in range(0, len(h), CHUNK):
             part, mine = h[at : at + CHUNK], own[at : at + CHUNK]
-            rows = np.arange(len(part))
-            p = part @ w
+            rows, p = np.arange(len(part)), space[: len(part)]
+            np.matmul(part, w, out=p)
             p += b
             np.minimum(p, MOST, out=p)
             chosen = p[rows, mine]
@@ -192,8 +226,8 @@ class GatedModel:
         side = self.side
         cls = target // side
         out, dh = self.choose(h, self.wc, self.bc, cls, None if grad is None else (grad.wc, grad.bc))
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(side + 1))
+        order = np.argsort(cls.astype(np.min_scalar_type(side)), kind="stable")  # few bytes are sorted by their digits
+        cuts = np.cumsum(np.r_[0, np.bincount(cls, minlength=side)[:side]])
         for c in np.flatnonzero(np.diff(cuts)).tolist():
             own = order[cuts[c] : cuts[c + 1]]
             logs, d = self.choose(h[own], self.wv[c], self.bv[c], target[own] - c * side, None if grad is None else (grad.wv[c], grad.bv[c]))
@@ -204,61 +238,69 @@ class GatedModel:
 
     def score(self, inputs: list[np.ndarray], targets: list[np.ndarray], group: int = 1024, window: int = 64) -> np.ndarray:
         """Log-probability of each whole sequence; the state is carried across windows to its end."""
-        out = np.zeros(len(inputs))
+        out, held = np.zeros(len(inputs)), []
+
+        def tell():
+            states, y, own = (np.concatenate(x) for x in zip(*held, strict=True))
+            out[:] += np.bincount(own, self.log_prob(states, y), len(out))
+            held.clear()
+
         order = np.argsort([-len(x) for x in inputs], kind="stable")
-        for g in range(0, len(order), group):
-            own = order[g : g + group]
-            lengths = np.array([len(inputs[i]) for i in own])
+        for own in (order[g : g + group] for g in range(0, len(order), group)):
             h = np.zeros((len(own), HIDDEN), np.float32)
-            for at in range(0, int(lengths[0]) if len(own) else 0, window):
-                alive = int(np.searchsorted(-lengths, -at, "left"))
-                steps = min(window, int(lengths[0]) - at)
-                x, y = np.zeros((steps, alive), np.int64), np.full((steps, alive), -1)
-                for k in range(alive):
-                    part = inputs[own[k]][at : at + steps]
-                    x[: len(part), k], y[: len(part), k] = part, targets[own[k]][at : at + steps]
-                states = np.zeros((steps, alive, HIDDEN), np.float32)
-                h = h[:alive]
-                gates = self.x[x]
-                for t in range(steps):
-                    states[t] = h = self.step(gates[t], h)[0]
-                told = y >= 0
-                logs = self.log_prob(states[told], y[told])
-                out[own[:alive]] += np.bincount(np.nonzero(told)[1], logs, alive)
+            for x, y in windows([(inputs[i], targets[i]) for i in own], window):
+                states = self.states(x, h[: x.shape[1]])
+                h, told = states[-1].T, y >= 0
+                held.append((states[1:].transpose(0, 2, 1)[told], y[told], own[np.nonzero(told)[1]]))
+                if sum(len(k) for _, k, _ in held) >= TOLD:
+                    tell()
+        if held:
+            tell()
         return out
 
     def gradient(self, x: np.ndarray, y: np.ndarray, h: np.ndarray):
         """Truncated backpropagation through one window; targets below 0 are padding."""
-        steps, grad, kept = len(x), GatedModel(None, self.side), []
-        states, before, inputs = np.zeros((*x.shape, HIDDEN), np.float32), np.empty((*x.shape, HIDDEN), np.float32), self.x[x]
-        for t in range(steps):
-            before[t] = h
-            h, parts = self.step(inputs[t], h)
-            kept.append(parts)
-            states[t] = h
-        told = y >= 0
-        logs, dh_told = self.log_prob(states[told], y[told], grad)
-        dstates = np.zeros_like(states)
+        grad, kept = GatedModel(None, self.side), []
+        states = self.states(x, h, kept)
+        (r, z, n, un), before, told = kept, states[:-1], y >= 0
+        logs, dh_told = self.log_prob(states[1:].transpose(0, 2, 1)[told], y[told], grad)
+        dstates = np.zeros((*x.shape, HIDDEN), np.float32)
         dstates[told] = dh_told
-        da, du, back = np.empty((*x.shape, 3 * HIDDEN), np.float32), np.empty((*x.shape, 3 * HIDDEN), np.float32), np.ascontiguousarray(self.u.T)
-        dh = np.zeros_like(h)
-        for t in range(steps - 1, -1, -1):
-            (r, z, n, un), d, e = kept[t], da[t], du[t]
+        dstates = np.ascontiguousarray(dstates.transpose(0, 2, 1))
+        # Slopes of the gates' inputs by the state after a step: all but the state's own gradient is known beforehand.
+        by_new = (1 - z) * (1 - n * n)
+        slope = np.empty((len(x), 3, HIDDEN, x.shape[1]), np.float32)
+        np.multiply(by_new, un * (r * (1 - r)), out=slope[:, 0])
+        np.multiply(before - n, z * (1 - z), out=slope[:, 1])
+        np.multiply(by_new, r, out=slope[:, 2])
+        du, dh, part = slope, np.zeros((HIDDEN, x.shape[1]), np.float32), np.empty((HIDDEN, x.shape[1]), np.float32)
+        for t in range(len(x) - 1, -1, -1):
             dh += dstates[t]
-            dn = dh * (1 - z)
-            dn *= 1 - n * n
-            np.multiply(dn * un, r * (1 - r), out=d[:, :HIDDEN])
-            np.multiply(dh * (before[t] - n), z * (1 - z), out=d[:, HIDDEN : 2 * HIDDEN])
-            d[:, 2 * HIDDEN :] = dn
-            e[:, : 2 * HIDDEN] = d[:, : 2 * HIDDEN]
-            np.multiply(dn, r, out=e[:, 2 * HIDDEN :])
-            dh = dh * z + e @ back
-        grad.u += before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
-        order = np.argsort(x, axis=None, kind="stable")
+            dstates[t] = dh
+            du[t] *= dh
+            np.matmul(self.u, du[t].reshape(3 * HIDDEN, -1), out=part)
+            dh *= z[t]
+            dh += part
+        du = du.reshape(len(x), 3 * HIDDEN, -1)
+        grad.u += np.matmul(before, du.transpose(0, 2, 1)).sum(0)
+        np.multiply(by_new, dstates, out=du[:, 2 * HIDDEN :])  # from here on by the gates' inputs
+        order = np.argsort(x.ravel().astype(np.min_scalar_type(len(self.x))), kind="stable")
         ids = x.ravel()[order]
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        grad.x[ids[first]] = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[order], first)
-        return logs.sum(), grad, h
+        grad.x[ids[first]] = np.add.reduceat(du.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order], first)
+        return logs.sum(), grad, np.ascontiguousarray(states[-1].T)
+
+
+def windows(sequences: list[tuple[np.ndarray, np.ndarray]], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Inputs and targets ``(steps, rows)`` of windows over sequences of falling length, as long as any lasts; targets behind an end are -1."""
+    size = np.array([len(x) for x, _ in sequences])
+    begin = np.cumsum(size) - size
+    xs, ys = (np.concatenate(s) for s in zip(*sequences, strict=True))
+    for at in range(0, int(size[0]), width):
+        alive = int(np.searchsorted(-size, -at, "left"))
+        place = np.arange(at, min(at + width, int(size[0])))[:, None]
+        here = np.minimum(begin[:alive] + place, len(xs) - 1)
+        yield xs[here], np.where(place < size[:alive], ys[here], -1)
 
 
 class Trainer:
@@ -266,22 +308,20 @@ class Trainer:
 
     def __init__(self, model: GatedModel, rate: float = RATE):
         self.model, self.rate, self.steps, self.tokens = model, rate, 0, 0
-        self.m, self.v, self.part = (np.zeros_like(model.flat) for _ in range(3))
+        self.m, self.v = np.zeros_like(model.flat), np.zeros_like(model.flat)
 
     def update(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
         n = int((y >= 0).sum())
         _, grad, h = self.model.gradient(x, y, h)
         g, own = grad.flat, np.float32
-        g *= own(1 / max(n, 1))
-        g *= own(min(1.0, 1.0 / (float(np.sqrt(g @ g)) + 1e-9)))
+        size = float(np.sqrt(g @ g)) / max(n, 1)
+        g *= own(0.1 / max(n, 1) * min(1.0, 1.0 / (size + 1e-9)))
         self.steps += 1
         self.tokens += n
         self.m *= own(0.9)
+        self.m += g
+        g *= g  # a tenth squared is the share of a new square
         self.v *= own(0.99)
-        np.multiply(g, own(0.1), out=self.part)
-        self.m += self.part
-        np.multiply(g, g, out=g)
-        g *= own(0.01)
         self.v += g
         rate = self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
         np.sqrt(self.v, out=g)
@@ -297,23 +337,20 @@ class Trainer:
         groups = [sequences[i : i + streams] for i in range(0, len(sequences), streams)]
         for k in np.random.default_rng(len(sequences)).permutation(len(groups)).tolist():
             group = groups[k]
-            lengths = np.array([len(a) for a, _ in group])
             h = np.zeros((len(group), HIDDEN), np.float32)
-            for at in range(0, int(lengths[0]), WINDOW):
-                alive = int(np.searchsorted(-lengths, -at, "left"))
-                steps = min(WINDOW, int(lengths[0]) - at)
-                x, y = np.zeros((steps, alive), np.int64), np.full((steps, alive), -1)
-                for i in range(alive):
-                    part = group[i][0][at : at + steps]
-                    x[: len(part), i], y[: len(part), i] = part, group[i][1][at : at + steps]
-                h = self.update(x, y, h[:alive])
+            for x, y in windows(group, WINDOW):
+                h = self.update(x, y, h[: x.shape[1]])
 
 
-def sequence(lexicon: Lexicon, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs (the end id first) and targets (the end id last) of a document."""
-    x, y = np.empty(len(ids) + 1, np.int32), np.empty(len(ids) + 1, np.int32)
-    x[0], x[1:], y[:-1], y[-1] = lexicon.inp[lexicon.end], lexicon.inp[ids], lexicon.out[ids], lexicon.out[lexicon.end]
-    return x, y
+def sequences(lexicon: Lexicon, ids: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Inputs (the end id first) and targets (the end id last) of documents whose word ids stand one behind the other."""
+    last = np.cumsum(sizes + 1) - 1
+    first, words = last - sizes, np.ones(len(ids) + len(sizes), bool)
+    words[last] = False
+    x, y = np.empty(len(words), np.int32), np.empty(len(words), np.int32)
+    y[words], y[last] = lexicon.out[ids], lexicon.out[lexicon.end]
+    x[np.flatnonzero(words) + 1], x[first] = lexicon.inp[ids], lexicon.inp[lexicon.end]
+    return [(x[i:j], y[i:j]) for i, j in zip(first.tolist(), (last + 1).tolist(), strict=True)]
 
 
 def train(docs: DataFrame, lexicon, rounds: int = ROUNDS) -> GatedModel:
@@ -331,9 +368,9 @@ def train(docs: DataFrame, lexicon, rounds: int = ROUNDS) -> GatedModel:
 
         def run(batches, k=k, sent=sent):
             trainer = Trainer(GatedModel(sent.value.copy(), lexicon.value.side))
-            for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
-                held = [sequence(lexicon.value, lexicon.value.ids(words_of(x.as_py()))) for x in b.column(0)]
-                trainer.fit(held)
+            for b in slices_of(batches):
+                words, codes, sizes = words_of(b.column(0))
+                trainer.fit(sequences(lexicon.value, lexicon.value.ids(words)[codes], sizes))
             if trainer.tokens:
                 columns = [np.arange(size), trainer.model.flat.astype(np.float64) * trainer.tokens, np.full(size, float(trainer.tokens))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "wx", "w"])
@@ -373,32 +410,31 @@ def score(docs: DataFrame, fold: int = 1, frequent: int = FREQUENT) -> DataFrame
 
         lex, net, uid = lexicon.value, GatedModel(model.value, lexicon.value.side), TaskContext.get().partitionId() << 33
         n = len(lex.index)
-        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
-            ids, ys, rest, numbers = [], [], [], []
-            for x in b.column(1):
-                words = words_of(x.as_py())
-                own = lex.ids(words)
-                a, y = sequence(lex, own)
-                ids.append(a)
-                ys.append(y)
-                other = Counter(words[i] for i in np.flatnonzero(own == n).tolist())
-                if lex.end == n:
-                    other[END] += 1
-                known = np.r_[own, lex.end]
-                known = known[known < n]
-                rest.append(other)
-                # Frequent words outside the vocabulary are told apart by their counts here, the others by the join.
-                tail = known[known >= net.vocab]
-                inner = float((lex.base[tail] + log_total - log_mass).sum())
-                numbers.append((len(words) + 1, len(known), float(lex.base[known].sum()), inner))
-            logs = net.score(ids, ys) / LN10
-            kinds = [pa.int64(), b.schema.field(0).type, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            columns = [range(uid, uid + len(ids)), b.column(0), *zip(*numbers, strict=True)] if ids else [[]] * 6
-            columns = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            columns[5] = pa.array(columns[5].to_numpy() + logs)
-            columns += [pa.array([list(r) for r in rest], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rest], pa.list_(pa.int64()))]
-            uid += len(ids)
-            yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "n", "known", "base", "score", "rest", "times"])
+        for b in slices_of(batches):
+            words, codes, sizes = words_of(b.column(1))
+            rows, ids = len(sizes), lex.ids(words)[codes]
+            owner, known = np.repeat(np.arange(rows), sizes), ids < n
+            logs = net.score(*map(list, zip(*sequences(lex, ids, sizes), strict=True))) / LN10
+            # Frequent words outside the vocabulary are told apart by their counts here, the others by the join.
+            tail = known & (ids >= net.vocab)
+            inner = 0.0 + np.bincount(owner[tail], lex.base[ids[tail]] + log_total - log_mass, rows)
+            base = 0.0 + np.bincount(owner[known], lex.base[ids[known]], rows)
+            found = np.bincount(owner[known], minlength=rows)
+            other, times = np.unique(owner[~known] * (len(words) + 1) + codes[~known], return_counts=True)
+            if lex.end < n:
+                base += lex.base[lex.end]
+                found += 1
+                inner += (lex.base[lex.end] + log_total - log_mass) * (lex.end >= net.vocab)
+            else:
+                other, times = np.r_[other, np.arange(rows) * (len(words) + 1) + len(words)], np.r_[times, np.ones(rows, np.int64)]
+                order = np.argsort(other, kind="stable")
+                other, times = other[order], times[order]
+            cuts = pa.array(np.searchsorted(other, np.arange(rows + 1) * (len(words) + 1)), pa.int32())
+            tokens = pa.array([*words, END], pa.binary()).take(pa.array(other % (len(words) + 1)))
+            rest = pa.ListArray.from_arrays(cuts, tokens), pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64()))
+            numbers = [pa.array(np.arange(uid, uid + rows)), b.column(0), pa.array(sizes + 1, pa.int64()), pa.array(found, pa.int64()), pa.array(base), pa.array(inner + logs)]
+            uid += rows
+            yield pa.RecordBatch.from_arrays([*numbers, *rest], names=["uid", "doc_id", "n", "known", "base", "score", "rest", "times"])
 
     schema = "uid long, doc_id long, n long, known long, base double, score double, rest array<binary>, times array<long>"
     parts = materialise(rows.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema), "lm-parts")

@@ -5,6 +5,8 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 from faircart.llm import lm
 
@@ -129,3 +131,26 @@ def test_fit_carries_state_over_all_windows():
     trainer.update = lambda x, y, h: windows.append((int((y >= 0).sum()), bool(h.any()))) or update(trainer, x, y, h)
     trainer.fit([(np.full(n, 3), np.full(n, 4)) for n in (100, 33, 1)])
     assert [n for n, _ in windows] == [32 + 32 + 1, 32 + 1, 32, 4] and [c for _, c in windows] == [False, True, True, True]
+
+
+def test_words_of_a_column():
+    texts = ["A b\x0bC é É\x1c a", None, "", " \n\t", "x" * 65 + " a " + "X" * 65, "one\x00two A", "end "]
+    words, codes, sizes = lm.words_of(pa.array([t and t.encode() for t in ["cut off", *texts]], pa.binary()).slice(1))
+    assert len(set(words)) == len(words)
+    at, lowest = 0, lambda w: w if len(w) <= lm.WORD_BYTES else lm.END + xxhash.xxh128_digest(w)
+    for text, size in zip(texts, sizes, strict=True):
+        assert [words[i] for i in codes[at : at + size]] == [lowest(w) for w in tokens(text)[:-1]]
+        at += size
+    assert at == len(codes)
+
+
+def test_states_of_a_window_are_those_of_steps():
+    rng = np.random.default_rng(2)
+    model = lm.GatedModel.start(lexicon())
+    x, h = rng.integers(0, model.vocab, (9, 4)), rng.normal(size=(4, lm.HIDDEN)).astype(np.float32)
+    kept = []
+    states = model.states(x, h, kept)
+    for t in range(9):
+        h, parts = model.step(model.x[x[t]], h)
+        assert np.allclose(states[t + 1].T, h, atol=1e-5)
+        assert all(np.allclose(k[t].T, p, atol=1e-5) for k, p in zip(kept, parts, strict=True))
