@@ -172,7 +172,16 @@ def title_hash(text: Column) -> Column:
 def text_similarity(left: Column, right: Column) -> Column:
     """1 if equal or contained, else the Dice coefficient of the word sets; 0 for no words."""
     a, b = squeezed_alnum(left), squeezed_alnum(right)
-    x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
+    return squeezed_similarity(a, word_set(a), b, word_set(b))
+
+
+def word_set(squeezed: Column) -> Column:
+    """Distinct words of a text that ``squeezed_alnum`` gave."""
+    return F.array_distinct(F.split(squeezed, " "))
+
+
+def squeezed_similarity(a: Column, x: Column, b: Column, y: Column) -> Column:
+    """``text_similarity`` of two squeezed texts with their word sets, for pairs of texts that are each read once."""
     dice = F.size(F.array_intersect(x, y)) * 2 / (F.size(x) + F.size(y))
     return F.when((a == "") | (b == ""), 0.0).when(F.contains(a, b) | F.contains(b, a), 1.0).otherwise(dice)
 
