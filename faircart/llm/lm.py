@@ -169,6 +169,7 @@ class GatedModel:
         n = np.tanh(a[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
         return n + z * (h - n), (r, z, n, u[:, 2 * HIDDEN :])
 
+    @np.errstate(over="ignore")  # a gate far below zero is shut
     def states(self, x: np.ndarray, h: np.ndarray, kept: list | None = None) -> np.ndarray:
         """States before and after each step of a window of inputs ``(steps, rows)``, from ``h``: ``(steps + 1, HIDDEN, rows)``.
 
@@ -176,7 +177,7 @@ class GatedModel:
         the new parts of the states and the states' own part of them.
         """
         steps, rows = x.shape
-        by_part, half = np.repeat(np.float32([0.5, 0.5, 1]), HIDDEN), np.full(1, 0.5, np.float32)
+        by_part, one = np.repeat(np.float32([-1, -1, 1]), HIDDEN), np.ones(1, np.float32)
         a, u = np.ascontiguousarray((self.x * by_part)[x].transpose(0, 2, 1)), np.ascontiguousarray((self.u * by_part).T)
         out, gates, new = np.empty((steps + 1, HIDDEN, rows), np.float32), np.empty_like(a), np.empty((steps, HIDDEN, rows), np.float32)
         out[0] = h.T
@@ -185,9 +186,9 @@ class GatedModel:
             np.matmul(u, out[t], out=g)
             rz = g[: 2 * HIDDEN]
             rz += a[t, : 2 * HIDDEN]
-            np.tanh(rz, out=rz)
-            rz *= half
-            rz += half
+            np.exp(rz, out=rz)
+            rz += one
+            np.divide(one, rz, out=rz)
             np.multiply(rz[:HIDDEN], g[2 * HIDDEN :], out=n)
             n += a[t, 2 * HIDDEN :]
             np.tanh(n, out=n)
@@ -200,31 +201,38 @@ class GatedModel:
 
     @staticmethod
     def choose(h: np.ndarray, w: np.ndarray, b: np.ndarray, own: np.ndarray, grad: tuple | None):
-        """Log-probability of the choice ``own`` in each row and, with ``grad``, the loss's gradient by state."""
-        out, dh, ones = np.empty(len(h), np.float32), None if grad is None else np.empty_like(h), np.ones(len(b), np.float32)
-        space = np.empty((min(CHUNK, len(h)), len(b)), np.float32)
+        """Log-probability of the choice ``own`` in each row and, with ``grad``, the loss's gradient by state.
+
+        States have a 1 behind, for the biases. Rows of unnormalised probabilities are never divided: what they meet is.
+        """
+        out, dh = np.empty(len(h), np.float32), None if grad is None else np.empty((len(h), HIDDEN), np.float32)
+        loose = float((np.abs(w).sum(0) + b).max()) > MOST  # states lie within -1 and 1, so most weights need no bound
+        both, n, ones = np.concatenate((w, b[None])), len(b), np.ones(len(b), np.float32)
+        back, space, place = np.ascontiguousarray(w.T), np.empty((min(CHUNK, len(h)), n), np.float32), np.arange(0, n * CHUNK, n)
         for at in range(0, len(h), CHUNK):
             part, mine = h[at : at + CHUNK], own[at : at + CHUNK]
-            rows, p = np.arange(len(part)), space[: len(part)]
-            np.matmul(part, w, out=p)
-            p += b
-            np.minimum(p, MOST, out=p)
-            chosen = p[rows, mine]
+            p = space[: len(part)]
+            np.matmul(part, both, out=p)
+            if loose:
+                np.minimum(p, MOST, out=p)
+            flat, mine = p.reshape(-1), place[: len(part)] + mine
+            chosen = flat[mine]
             np.exp(p, out=p)
             total = p @ ones
             out[at : at + CHUNK] = chosen - np.log(total)
             if grad is not None:
-                p /= total[:, None]
-                p[rows, mine] -= 1
-                grad[0][...] += part.T @ p
-                grad[1][...] += p.sum(0)
-                dh[at : at + CHUNK] = p @ w.T
+                flat[mine] -= total
+                share = (1 / total)[:, None]
+                g = (part * share).T @ p
+                grad[0][...] += g[:HIDDEN]
+                grad[1][...] += g[HIDDEN]
+                np.multiply(p @ back, share, out=dh[at : at + CHUNK])
         return out, dh
 
     def log_prob(self, h: np.ndarray, target: np.ndarray, grad: GatedModel | None = None):
         """Natural log-probability of each target from each state; with ``grad`` also the loss's gradient by state."""
         side = self.side
-        cls = target // side
+        h, cls = np.concatenate((h, np.ones((len(h), 1), np.float32)), 1), target // side
         out, dh = self.choose(h, self.wc, self.bc, cls, None if grad is None else (grad.wc, grad.bc))
         order = np.argsort(cls.astype(np.min_scalar_type(side)), kind="stable")  # few bytes are sorted by their digits
         cuts = np.cumsum(np.r_[0, np.bincount(cls, minlength=side)[:side]])
