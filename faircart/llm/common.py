@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -66,6 +67,26 @@ def held_fold(doc_id: Column, modulus: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def give_back() -> None:
+    """Hand what this process has freed back to the system, Arrow's memory and that of the C library."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(run):
+    """``run`` for ``mapInArrow`` that gives memory back behind its last batch, as workers outlive their tasks and stages."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def map_arrow(df: DataFrame, run, more: list[tuple[str, str]]) -> DataFrame:
     """``df.mapInArrow(run, ...)`` for ``run`` that adds columns ``more`` of names and DDL types to those of ``df``.
 
@@ -84,9 +105,8 @@ def map_arrow(df: DataFrame, run, more: list[tuple[str, str]]) -> DataFrame:
     def by_number(batches):
         for b in run(batches):
             yield pa.RecordBatch.from_arrays(b.columns, names=numbered)
-        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
-    return plain.mapInArrow(by_number, schema).toDF(*names)
+    return plain.mapInArrow(trimmed(by_number), schema).toDF(*names)
 
 
 def add_arrow_column(df: DataFrame, source: str, name: str, kind: str, make) -> DataFrame:

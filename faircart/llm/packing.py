@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, table, trimmed
 
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
@@ -72,6 +72,11 @@ class WordEncoder(dict):
         self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Leave out all words; the tokenizer stays."""
+        self.clear()
+        self.cores.clear()
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for text in texts:
             text = text or ""
@@ -79,8 +84,7 @@ class WordEncoder(dict):
                 yield self._ids(text)
                 continue
             if len(self) > CACHE_WORDS:
-                self.clear()
-                self.cores.clear()
+                self.forget()
             yield b"".join(map(self.__getitem__, text.split()))
 
 
@@ -115,9 +119,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "rank", "doc_id", "piece", "start", "length", "ids_crc32"])
+        tokens.forget()  # the worker may go on with other stages
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "part int, rank long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(trimmed(run), "part int, rank long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 Run = tuple[tuple[int, ...], int]
@@ -270,7 +275,7 @@ def pack_pieces(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             placed = slots.value.place(b.column(at_length).to_numpy(), b.column(at_rank).to_numpy())
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, placed)], names=out.names)
 
-    return ranked.mapInArrow(run, out).drop("rank")
+    return ranked.mapInArrow(trimmed(run), out).drop("rank")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, table, trimmed
 from .components import connected_components
 
 #: (segments, exact segments) from coarse to fine; finer keys select better but number more.
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def choose_level(n: int) -> tuple[int, int]:
@@ -206,7 +206,7 @@ def links(distinct: DataFrame, tau: int = 4, level: tuple[int, int] | None = Non
         src, dst = zip(*found, strict=True) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    return met.mapInArrow(run, "src long, dst long")
+    return met.mapInArrow(trimmed(run), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, tau: int = 4, seed: int = 42) -> DataFrame:

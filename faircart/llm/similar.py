@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_arrow, materialise
+from .common import free_name, map_arrow, materialise, trimmed
 from .components import connected_components
 from .simhash import fingerprint_of, shingle_hashes
 from .simhash import links as simhash_links
@@ -94,7 +94,7 @@ def links(texts: DataFrame, groups: DataFrame, words: int, block: int) -> DataFr
                 sets.append(shingle_set(text.as_py(), words))
         yield flush()
 
-    return met.mapInArrow(run, "src long, dst long")
+    return met.mapInArrow(trimmed(run), "src long, dst long")
 
 
 def classes(docs: DataFrame, words: int = 5, block: int = BLOCK) -> tuple[DataFrame, DataFrame, str, list[str]]:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_arrow_column, free_name, held_fold, remove, scratch_path, table
+from .common import add_arrow_column, free_name, held_fold, remove, scratch_path, table, trimmed
 
 DECAY, SPAN, CODES = 0.7, 5, 64
 START, END = 62, 63
@@ -45,8 +45,10 @@ FIT_SLICE = 50
 FOLDS = 4
 #: A sentence ends at a full stop, an exclamation or a question mark, or after this many words.
 LONGEST = 24
-#: Words a worker keeps the kernel values of; beyond it the cache starts anew.
-CACHE_WORDS = 200_000
+#: Words, as written and bare, a worker keeps the kernel values of; beyond it the cache starts anew.
+CACHE_WORDS = 300_000
+#: New words whose kernel values are taken together.
+LEARNT = 8192
 #: Texts, and characters of texts, whose words are looked at together; a longer text stands alone.
 SLICE, SLICE_CHARS = 500, 1_000_000
 #: Sentences whose kernel rows are summed together.
@@ -160,9 +162,14 @@ def slices_of(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield start, column.slice(start).to_pylist()
 
 
+def bare_of(token: str) -> str:
+    """A token's letters and digits, or the token itself without any."""
+    return token if token.isalnum() else MARK.sub("", token) or token
+
+
 def pieces_of(token: str) -> list[str]:
     """A token's letters and digits (or the token itself, without any), long ones in overlapping pieces."""
-    bare = token if token.isalnum() else MARK.sub("", token) or token
+    bare = bare_of(token)
     if len(bare) <= PIECE:
         return [bare]
     return [bare[i : i + PIECE] for i in range(0, len(bare) - PIECE // 2, PIECE // 2)]
@@ -176,28 +183,33 @@ class Sentences:
         self._forget()
 
     def _forget(self) -> None:
-        #: Row of each token (0: none of its values counts), twice over, plus 1 if the token ends a sentence.
+        #: Row of each token (0: none of its values counts), twice over, plus 1 if the token ends a sentence. A token's letters and
+        #: digits stand here too, as a token of their own.
         self.known: dict[str, int] = {}
-        #: Row of each token's letters and digits.
-        self.bare: dict[tuple[str, ...], int] = {}
         self.rows, self.used = np.zeros((1024, len(self.kernel.landmarks)), np.float32), 1
 
     def _learn(self, tokens: list[str]) -> None:
-        bare = [tuple(pieces_of(t)) for t in tokens]
-        parts = [p for p in dict.fromkeys(bare) if p not in self.bare]
+        bare = list(map(bare_of, tokens))
+        words = [w for w in dict.fromkeys(bare) if w not in self.known]
+        for at in range(0, len(words), LEARNT):
+            self._learn_bare(words[at : at + LEARNT])
+        self.known.update((t, self.known[w] // 2 * 2 + (t[-1] in ".!?")) for t, w in zip(tokens, bare, strict=True))
+
+    def _learn_bare(self, words: list[str]) -> None:
+        parts = list(map(pieces_of, words))
         values = self.kernel.values([w for p in parts for w in p], FLOOR)
         powers = np.where(values >= FLOOR, values, 0) ** POWER
         starts = np.cumsum([0, *map(len, parts)])[:-1]
-        sums = np.add.reduceat(powers, starts, axis=0) if len(parts) else powers
+        sums = np.add.reduceat(powers, starts, axis=0)
         told = np.flatnonzero(sums.any(1))
         if self.used + len(told) > len(self.rows):
-            self.rows = np.concatenate((self.rows[: self.used], np.zeros((len(told) + self.used // 2, self.rows.shape[1]), np.float32)))
+            # In place, as no view of the rows is kept: the old and the new ones would be held side by side.
+            self.rows.resize((self.used + len(told) + self.used // 8, self.rows.shape[1]), refcheck=False)
         self.rows[self.used : self.used + len(told)] = sums[told]
         row = np.zeros(len(parts), np.int64)
         row[told] = np.arange(self.used, self.used + len(told))
         self.used += len(told)
-        self.bare.update(zip(parts, row.tolist(), strict=True))
-        self.known.update((t, 2 * self.bare[p] + (t[-1] in ".!?")) for t, p in zip(tokens, bare, strict=True))
+        self.known.update((w, 2 * r + (w[-1] in ".!?")) for w, r in zip(words, row.tolist(), strict=True))
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Kernel rows, and the number of the text that each belongs to, in order.
@@ -356,7 +368,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     total = sum(r.toxic for r in known)
     if not known or total in (0, len(known)):
         return Model(None, prior=total / len(known) if known else 0.0)
-    known = spark.createDataFrame([tuple(r) for r in known], "doc_id long, toxic int")
+    # An Arrow table goes to the executors without Python workers, which a list of rows takes.
+    known = pa.table({"doc_id": pa.array([r.doc_id for r in known], pa.int64()), "toxic": pa.array([r.toxic for r in known], pa.int32())})
+    known = spark.createDataFrame(known)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))  # one text for each label
     # Log-likelihood ratio of a word between toxic and other texts.
@@ -383,7 +397,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     fold = F.pmod(F.xxhash64("doc_id", F.lit(FOLDS)), F.lit(FOLDS)).cast("int").alias("fold")
     path = scratch_path(spark, "toxicity")
-    rows.select("text", "toxic", fold).coalesce(FIT_TASKS).mapInArrow(run, "x binary, n long, toxic int, fold int").write.parquet(path)
+    rows.select("text", "toxic", fold).coalesce(FIT_TASKS).mapInArrow(trimmed(run), "x binary, n long, toxic int, fold int").write.parquet(path)
     model = fit(spark.read.schema("x binary, n long, toxic int, fold int").parquet(path), kernel, marked)
     remove(spark, path)
     return model
@@ -431,7 +445,7 @@ def fit(rows: DataFrame, kernel: Kernel, marked: int) -> Model:
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
-        got = sum(np.frombuffer(bytes(r.s)) for r in rows.mapInArrow(run, "s binary").collect()).reshape(len(machines), -1)
+        got = sum(np.frombuffer(bytes(r.s)) for r in rows.mapInArrow(trimmed(run), "s binary").collect()).reshape(len(machines), -1)
         d = width + 1
         h = white @ got[:, : d * d].reshape(-1, d, d) @ white
         return np.concatenate((h.reshape(len(machines), -1), got[:, d * d : -1] @ white, got[:, -1:]), 1)
@@ -447,7 +461,7 @@ def fit(rows: DataFrame, kernel: Kernel, marked: int) -> Model:
             f = np.maximum.reduceat(x @ own.T, starts)[np.arange(len(starts)), fold]
             yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(toxic.astype(np.int32))], names=["f", "toxic"])
 
-    seen = rows.mapInArrow(decide, "f double, toxic int").toArrow()
+    seen = rows.mapInArrow(trimmed(decide), "f double, toxic int").toArrow()
     a, b = fit_sigmoid(seen.column("f").to_numpy(), seen.column("toxic").to_numpy())
     return Model(kernel, own[-1, :width].copy(), float(own[-1, width]), a, b)
 
