@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_fold, materialise, table
+from .common import held_fold, materialise, table, trimmed
 
 #: Stands for the end of a document; no word holds a space.
 END = b" "
@@ -46,22 +46,33 @@ TOLD = 65_536
 LN10 = float(np.log(10))
 
 
-def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words of UTF-8 texts, the place in them of every word in order, and the number of words of each text.
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Every word of UTF-8 texts in order, and the number of words of each text.
 
-    A-Z is lower-cased, words end at ASCII white space; a very long word is known by its digest behind a blank. Null texts have no words.
+    A-Z is lower-cased, words end at ASCII white space. Null texts have no words.
     """
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
     owner, words = pc.list_parent_indices(lists), pc.list_flatten(lists)
     real = pc.greater(pc.binary_length(words), 0)
     sizes = np.bincount(owner.filter(real).to_numpy(), minlength=len(texts))
-    coded = words.filter(real).dictionary_encode()
+    return words.filter(real), sizes
+
+
+def coded_words(words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """The distinct ones of ``words``, a very long one known by its digest behind a blank, and the place in them of every word."""
+    coded = words.dictionary_encode()
     ends = np.cumsum(pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False), dtype=np.int64)
     whole = pc.binary_join(pa.ListArray.from_arrays([0, len(ends)], coded.dictionary), "")[0].as_buffer().to_pybytes()
     distinct = [whole[i:j] for i, j in pairwise([0, *ends.tolist()])]
     for i in np.flatnonzero(np.diff(ends, prepend=0) > WORD_BYTES).tolist():
         distinct[i] = END + xxhash.xxh128_digest(distinct[i])
-    return distinct, coded.indices.to_numpy(), sizes
+    return distinct, coded.indices.to_numpy()
+
+
+def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of UTF-8 texts, the place in them of every word in order, and the number of words of each text."""
+    words, sizes = cut(texts)
+    return *coded_words(words), sizes
 
 
 def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +94,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
             counts = np.r_[np.bincount(codes, minlength=len(words)), len(sizes)]
             yield pa.RecordBatch.from_arrays([pa.array([*words, END], pa.binary()), pa.array(counts, pa.int64())], names=["token", "c"])
 
-    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "token binary, c long")
+    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(trimmed(run), "token binary, c long")
     return parts.groupBy("token").agg(F.sum("c").alias("c"))
 
 
@@ -110,6 +121,8 @@ class Lexicon:
         self.side = side_of(distinct)
         vocab = self.side**2
         self.index = {w: i for i, (w, _) in enumerate(frequent)}
+        #: The same words, in order; the end and digests among them hold a blank, so no text's own word equals them.
+        self.words = pa.array([w for w, _ in frequent], pa.binary())
         n, counts = len(frequent), np.array([c for _, c in frequent], np.float64)
         self.log_total = np.log10(total + 0.5 * (distinct + 1))
         self.base = np.r_[np.log10(counts + 0.5) - self.log_total, 0.0]
@@ -126,6 +139,16 @@ class Lexicon:
         n = len(self.index)
         return np.fromiter(map(self.index.get, words, repeat(n)), np.int32, len(words))
 
+    def ids_of(self, words: pa.Array) -> np.ndarray:
+        """The id of every word as ``cut`` gives it."""
+        ids = pc.fill_null(pc.index_in(words.view(pa.binary()), self.words), len(self.index)).to_numpy(zero_copy_only=False)
+        long = np.flatnonzero(pc.binary_length(words).to_numpy(zero_copy_only=False) > WORD_BYTES)
+        if len(long):
+            distinct, codes = coded_words(words.take(pa.array(long)))
+            ids = ids.copy()
+            ids[long] = self.ids(distinct)[codes]
+        return ids
+
 
 class GatedModel:
     """A gated recurrent unit with a class-factored softmax and one class for the rest."""
@@ -177,7 +200,8 @@ class GatedModel:
         the new parts of the states and the states' own part of them.
         """
         steps, rows = x.shape
-        by_part, one = np.repeat(np.float32([-1, -1, 1]), HIDDEN), np.ones(1, np.float32)
+        # The new part is 2 / (1 + exp(-2 x)) - 1, which is tanh(x) and cheaper.
+        by_part, one, two = np.repeat(np.float32([-1, -1, -2]), HIDDEN), np.ones(1, np.float32), np.full(1, 2, np.float32)
         a, u = np.ascontiguousarray((self.x * by_part)[x].transpose(0, 2, 1)), np.ascontiguousarray((self.u * by_part).T)
         out, gates, new = np.empty((steps + 1, HIDDEN, rows), np.float32), np.empty_like(a), np.empty((steps, HIDDEN, rows), np.float32)
         out[0] = h.T
@@ -191,11 +215,15 @@ class GatedModel:
             np.divide(one, rz, out=rz)
             np.multiply(rz[:HIDDEN], g[2 * HIDDEN :], out=n)
             n += a[t, 2 * HIDDEN :]
-            np.tanh(n, out=n)
+            np.exp(n, out=n)
+            n += one
+            np.divide(two, n, out=n)
+            n -= one
             np.subtract(out[t], n, out=after)
             after *= rz[HIDDEN:]
             after += n
         if kept is not None:
+            gates[:, 2 * HIDDEN :] *= np.float32(-0.5)
             kept += gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], new, gates[:, 2 * HIDDEN :]
         return out
 
@@ -223,26 +251,29 @@ class GatedModel:
             if grad is not None:
                 flat[mine] -= total
                 share = (1 / total)[:, None]
-                g = (part * share).T @ p
-                grad[0][...] += g[:HIDDEN]
-                grad[1][...] += g[HIDDEN]
+                g = p.T @ (part * share)
+                grad[0][...] += g[:, :HIDDEN].T
+                grad[1][...] += g[:, HIDDEN]
                 np.multiply(p @ back, share, out=dh[at : at + CHUNK])
         return out, dh
 
     def log_prob(self, h: np.ndarray, target: np.ndarray, grad: GatedModel | None = None):
         """Natural log-probability of each target from each state; with ``grad`` also the loss's gradient by state."""
-        side = self.side
-        h, cls = np.concatenate((h, np.ones((len(h), 1), np.float32)), 1), target // side
-        out, dh = self.choose(h, self.wc, self.bc, cls, None if grad is None else (grad.wc, grad.bc))
+        side, cls = self.side, target // self.side
         order = np.argsort(cls.astype(np.min_scalar_type(side)), kind="stable")  # few bytes are sorted by their digits
+        # Rows of one class lie together from here on.
+        h, cls, target = np.concatenate((h, np.ones((len(h), 1), np.float32)), 1)[order], cls[order], target[order]
+        out, dh = self.choose(h, self.wc, self.bc, cls, None if grad is None else (grad.wc, grad.bc))
         cuts = np.cumsum(np.r_[0, np.bincount(cls, minlength=side)[:side]])
         for c in np.flatnonzero(np.diff(cuts)).tolist():
-            own = order[cuts[c] : cuts[c + 1]]
+            own = slice(cuts[c], cuts[c + 1])
             logs, d = self.choose(h[own], self.wv[c], self.bv[c], target[own] - c * side, None if grad is None else (grad.wv[c], grad.bv[c]))
             out[own] += logs
             if grad is not None:
                 dh[own] += d
-        return out if grad is None else (out, dh)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return out[back] if grad is None else (out[back], dh[back])
 
     def score(self, inputs: list[np.ndarray], targets: list[np.ndarray], group: int = 1024, window: int = 64) -> np.ndarray:
         """Log-probability of each whole sequence; the state is carried across windows to its end."""
@@ -377,18 +408,19 @@ def train(docs: DataFrame, lexicon, rounds: int = ROUNDS) -> GatedModel:
         def run(batches, k=k, sent=sent):
             trainer = Trainer(GatedModel(sent.value.copy(), lexicon.value.side))
             for b in slices_of(batches):
-                words, codes, sizes = words_of(b.column(0))
-                trainer.fit(sequences(lexicon.value, lexicon.value.ids(words)[codes], sizes))
+                words, sizes = cut(b.column(0))
+                trainer.fit(sequences(lexicon.value, lexicon.value.ids_of(words), sizes))
             if trainer.tokens:
-                columns = [np.arange(size), trainer.model.flat.astype(np.float64) * trainer.tokens, np.full(size, float(trainer.tokens))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "wx", "w"])
+                # The last row is the sum of what the weights are multiplied by.
+                told = np.r_[trainer.model.flat.astype(np.float64) * trainer.tokens, float(trainer.tokens)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(told)], names=["i", "wx"])
 
         part = rows.where(F.pmod("h", F.lit(rounds)) == k).select("text")
-        sums = part.mapInArrow(run, "i long, wx double, w double").groupBy("i").agg((F.sum("wx") / F.sum("w")).alias("x")).toArrow()
+        sums = part.mapInArrow(trimmed(run), "i long, wx double").groupBy("i").agg(F.sum("wx").alias("wx")).toArrow()
         if sums.num_rows:
-            flat = np.zeros(size, np.float32)
-            flat[sums.column("i").to_numpy()] = sums.column("x").to_numpy()
-            model = GatedModel(flat, model.side)
+            flat = np.zeros(size + 1)
+            flat[sums.column("i").to_numpy()] = sums.column("wx").to_numpy()
+            model = GatedModel(flat[:size] / flat[size], model.side)
     return model
 
 
@@ -419,16 +451,17 @@ def score(docs: DataFrame, fold: int = 1, frequent: int = FREQUENT) -> DataFrame
         lex, net, uid = lexicon.value, GatedModel(model.value, lexicon.value.side), TaskContext.get().partitionId() << 33
         n = len(lex.index)
         for b in slices_of(batches):
-            words, codes, sizes = words_of(b.column(1))
-            rows, ids = len(sizes), lex.ids(words)[codes]
+            every, sizes = cut(b.column(1))
+            rows, ids = len(sizes), lex.ids_of(every)
             owner, known = np.repeat(np.arange(rows), sizes), ids < n
+            words, codes = coded_words(every.filter(pa.array(~known)))
             logs = net.score(*map(list, zip(*sequences(lex, ids, sizes), strict=True))) / LN10
             # Frequent words outside the vocabulary are told apart by their counts here, the others by the join.
             tail = known & (ids >= net.vocab)
             inner = 0.0 + np.bincount(owner[tail], lex.base[ids[tail]] + log_total - log_mass, rows)
             base = 0.0 + np.bincount(owner[known], lex.base[ids[known]], rows)
             found = np.bincount(owner[known], minlength=rows)
-            other, times = np.unique(owner[~known] * (len(words) + 1) + codes[~known], return_counts=True)
+            other, times = np.unique(owner[~known] * (len(words) + 1) + codes, return_counts=True)
             if lex.end < n:
                 base += lex.base[lex.end]
                 found += 1
@@ -445,7 +478,7 @@ def score(docs: DataFrame, fold: int = 1, frequent: int = FREQUENT) -> DataFrame
             yield pa.RecordBatch.from_arrays([*numbers, *rest], names=["uid", "doc_id", "n", "known", "base", "score", "rest", "times"])
 
     schema = "uid long, doc_id long, n long, known long, base double, score double, rest array<binary>, times array<long>"
-    parts = materialise(rows.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema), "lm-parts")
+    parts = materialise(rows.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(trimmed(run), schema), "lm-parts")
     rest = parts.select("uid", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("uid", F.col("r.rest").alias("token"), F.col("r.times").alias("k"))
     c = F.coalesce(F.col("c"), F.lit(0))
     rest = rest.join(counts, "token", "left").select("uid", "k", c.alias("c"), (F.col("k") * F.log10(c + 0.5)).alias("l"))

@@ -154,3 +154,14 @@ def test_states_of_a_window_are_those_of_steps():
         h, parts = model.step(model.x[x[t]], h)
         assert np.allclose(states[t + 1].T, h, atol=1e-5)
         assert all(np.allclose(k[t].T, p, atol=1e-5) for k, p in zip(kept, parts, strict=True))
+
+
+def test_ids_need_no_list_of_distinct_words():
+    long = b"y" * (lm.WORD_BYTES + 1)
+    lex = lm.Lexicon([(w, 9) for w in (b"a", lm.END + xxhash.xxh128_digest(long), b"b", lm.END)], 36, 9)
+    texts = pa.array([b"A c b", None, long + b" " + b"z" * 100 + b" a", b"", long[:-1]], pa.binary())
+    words, sizes = lm.cut(texts)
+    assert sizes.tolist() == [3, 0, 3, 0, 1] and lex.ids_of(words).tolist() == [0, 4, 2, 1, 4, 0, 4]
+    distinct, codes, _ = lm.words_of(texts)
+    assert lex.ids(distinct)[codes].tolist() == lex.ids_of(words).tolist()
+    assert lex.ids_of(lm.cut(pa.array([None, b" "], pa.binary()))[0]).tolist() == []
