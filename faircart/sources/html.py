@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -15,44 +17,71 @@ from ..functions.text import squeeze, strict_json
 # Elements that never have content, and those whose text is not shown.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset(("script", "style", "template", "noscript"))
-#: Nodes of one page at most; a page with more is marked as truncated.
-MOST_NODES = 20_000
-NODE = "page_id long, node int, path array<int>, tag string, text string, label string, href string, truncated boolean"
+#: A page is sent in batches of about so many path entries, so pages of any size and depth need little beyond their own nodes.
+BATCH_STEPS = 1 << 20
+NODE = "page_id long, node int, path array<int>, tag string, text string, label string, href string, last int"
 
 
 class NodeReader(HTMLParser):
-    """Collects ``(path, tag, own text, label, href)`` in document order; a small helper for one page."""
+    """Collects ``(parent, tag, own text, label, href)`` in document order, -1 above a root; a small helper for one page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes, self.open, self.more = [], [], False
+        self.nodes, self.open, self.names = [], [], Counter()
 
     def handle_starttag(self, tag, attrs):
-        if len(self.nodes) >= MOST_NODES:
-            self.more = True
-            return
         given = dict(attrs)
         label = " ".join(given[k] for k in ("aria-label", "alt", "title") if given.get(k))
-        path = [i for i, _ in self.open] + [len(self.nodes)]
-        self.nodes.append([path, tag, [], label or None, given.get("href")])
+        self.nodes.append([self.open[-1][0] if self.open else -1, tag, [], label or None, given.get("href")])
         if tag not in VOID:
             self.open.append((len(self.nodes) - 1, tag))
+            self.names[tag] += 1
 
     def handle_endtag(self, tag):
-        if any(t == tag for _, t in self.open):
-            while self.open.pop()[1] != tag:
-                pass
+        if self.names[tag]:
+            closed = None
+            while closed != tag:
+                closed = self.open.pop()[1]
+                self.names[closed] -= 1
 
     def handle_data(self, data):
         if self.open and data.strip() and self.open[-1][1] not in HIDDEN:
             self.nodes[self.open[-1][0]][2].append(data)
 
+    def last(self) -> list[int]:
+        """The last node of each node's subtree, itself without others below it."""
+        last = list(range(len(self.nodes)))
+        for i in range(len(last) - 1, -1, -1):
+            if (parent := self.nodes[i][0]) >= 0:
+                last[parent] = max(last[parent], last[i])
+        return last
+
+    def batches(self, page_id: int) -> Iterator[pa.RecordBatch]:
+        """The nodes as rows of ``NODE``, their paths held for one batch only."""
+        last, path, first = self.last(), [], 0
+        steps, ends = array("i"), array("i", [0])
+        for i, (parent, *_) in enumerate(self.nodes):
+            while path and path[-1] != parent:
+                path.pop()
+            path.append(i)
+            steps.extend(path)
+            ends.append(len(steps))
+            if len(steps) >= BATCH_STEPS or i + 1 == len(self.nodes):
+                _, tags, texts, labels, hrefs = zip(*self.nodes[first : i + 1], strict=True)
+                paths = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(steps, pa.int32()))
+                own = [" ".join(t) or None for t in texts]
+                places = pa.array([page_id] * len(tags), pa.int64()), pa.array(range(first, i + 1), pa.int32()), paths
+                told = (pa.array(c, pa.string()) for c in (tags, own, labels, hrefs))
+                yield pa.RecordBatch.from_arrays([*places, *told, pa.array(last[first : i + 1], pa.int32())], names=[f.split()[0] for f in NODE.split(", ")])
+                first, steps, ends = i + 1, array("i"), array("i", [0])
+
 
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """One row per element of ``pages(page_id, html)``: ``(page_id, node, path, tag, text, label, href, truncated)``.
+    """One row per element of ``pages(page_id, html)``: ``(page_id, node, path, tag, text, label, href, last)``.
 
     ``node`` counts in document order; ``path`` lists the nodes from the root down to the node itself, so ancestors need no
-    recursion. ``text`` is the node's own text, squeezed and redacted. Null html gives no rows.
+    recursion; ``last`` is the last node below it, or itself. ``text`` is the node's own text, squeezed and redacted. Every
+    element of a page counts, however many there are. Null html gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,11 +90,7 @@ def page_nodes(pages: DataFrame) -> DataFrame:
                 reader = NodeReader()
                 reader.feed(html.as_py() or "")
                 reader.close()
-                rows = [(page_id, p[-1], p, tag, " ".join(t) or None, label, href, reader.more) for p, tag, t, label, href in reader.nodes]
-                if rows:
-                    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
-                    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in NODE.split(", ")])
+                yield from reader.batches(page_id)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, NODE)
     return rows.withColumn("text", redact(squeeze(F.col("text")))).withColumn("label", redact(F.col("label")))
