@@ -105,7 +105,7 @@ def greedy_cards(spark, sf_dir):
     n = nodes_of(spark, sf_dir)
     score = F.when(F.col("tag") == "a", 3).when(F.col("tag") == "li", 2).otherwise(1)
     scored = n.where("tag in ('nav', 'ul', 'li', 'a')").select("page_id", "node", score.alias("score"), F.length(F.coalesce("text", F.lit(""))).alias("length"))
-    return tree.greedy_cards(n, scored).join(n.select("page_id", "node", "tag"), ["page_id", "node"]).groupBy("page_id", "tag").agg(F.count("*").alias("cards"))
+    return tree.sorted_join(tree.greedy_cards(n, scored), n.select("page_id", "node", "tag"), ["page_id", "node"]).groupBy("page_id", "tag").agg(F.count("*").alias("cards"))
 
 
 PRICE = "CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT)"

@@ -4,7 +4,9 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from faircart.operators import tree
 from faircart.plans import catalogue
 from faircart.sources import html
 
@@ -23,7 +25,7 @@ def large(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ("subtree_text",))
+@pytest.mark.parametrize("name", ("greedy_cards", "subtree_text"))
 def test_large_pages_agree_with_sql(spark, large, name):
     with duckdb.connect() as con:
         con.sql(f"CREATE VIEW pages AS SELECT * FROM '{large}/pages.parquet'")
@@ -43,3 +45,20 @@ def test_paths_and_subtrees_of_a_page_of_several_batches(spark):
             last[above] = r["node"]
     assert [r["last"] for r in got] == [last[r["node"]] for r in got]
     assert got[2000]["path"] == list(range(2001)) and got[2001]["path"] == [*range(1999), 2001] and got[2002]["path"] == [2002]
+
+
+def test_greedy_cards_of_random_pages(spark):
+    import random
+
+    rng = random.Random(5)
+    pages = [(p, "".join(rng.choice(("<div>", "<p>", "</div>", "</p>", "<img>")) for _ in range(60))) for p in range(30)]
+    nodes = html.page_nodes(spark.createDataFrame(pages, "page_id long, html string"))
+    scored = nodes.where("node % 7 <> 3").select("page_id", "node", (F.col("node") * 11 % 5).alias("score"), (F.col("node") * 3 % 4).alias("length"))
+    path, want, found = {(r.page_id, r.node): set(r.path) for r in nodes.collect()}, {}, {}
+    for r in sorted(scored.collect(), key=lambda r: (r.page_id, -r.score, r.length, r.node)):
+        taken = want.setdefault(r.page_id, set())
+        if not any(w in path[r.page_id, r.node] or r.node in path[r.page_id, w] for w in taken):
+            taken.add(r.node)
+    for r in tree.greedy_cards(nodes, scored).collect():
+        found.setdefault(r.page_id, set()).add(r.node)
+    assert found == want and want
