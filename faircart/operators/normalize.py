@@ -231,17 +231,24 @@ def title_facts(titles: DataFrame) -> DataFrame:
     return rows.withColumn("_title_pack", prices.pack_count(title))
 
 
-def extract(cards: DataFrame, preferences: dict | None = None) -> DataFrame:
-    """Products of ``cards(title, card_text, price_text)`` that could be normalised; other columns stay.
+def text_facts(texts: DataFrame) -> DataFrame:
+    """What the text of a card and the part of it with prices tell by themselves: printed price, current price, pack count."""
+    text, scoped = F.col("_text"), F.col("_scoped")
+    rows = texts.withColumn("_shown", F.try_element_at(prices.parse_native_prices(text), F.lit(1)))
+    best = F.coalesce(prices.best_price(scoped), F.when(scoped != text, prices.best_price(text)))
+    return rows.withColumn("_text_price", best["cents"]).withColumn("_text_pack", prices.pack_count(text))
 
-    Facts come from the title first, once for each distinct title. A quantity that stands in the title outranks others.
-    """
-    text, scoped = plain_space(F.coalesce("card_text", F.lit(""))), plain_space(F.coalesce("price_text", "card_text", F.lit("")))
-    rows = cards.withColumn("title", plain_space(F.col("title"))).withColumn("_text", text).withColumn("_scoped", scoped)
-    rows = per_distinct(rows, ["title"], title_facts)
+
+#: All that the facts of an offer come from, and what they are.
+OFFER_KEYS = ["title", "_text", "_scoped"]
+OFFER_FACTS = ["native", "package", "price_cents", "pack_count", "choice", "normalized", "warnings"]
+
+
+def offer_facts(offers: DataFrame, preferences: dict | None = None) -> DataFrame:
+    """``OFFER_FACTS`` of distinct ``OFFER_KEYS``; titles and texts are each read once."""
+    rows = per_distinct(per_distinct(checkpointed(offers), ["title"], title_facts), ["_text", "_scoped"], text_facts)
     title, none = F.col("title"), F.size("_in_title") == 0
-    shown = F.when(F.col("_title_native").isNull(), F.try_element_at(prices.parse_native_prices(F.col("_text")), F.lit(1)))
-    rows = rows.withColumn("native", F.coalesce("_title_native", shown))
+    rows = rows.withColumn("native", F.coalesce("_title_native", "_shown"))
     elsewhere = F.when(none & F.col("_title_native").isNull(), usable_quantities(title, F.col("_text")))
     rows = rows.withColumn("_quantities", F.coalesce(elsewhere, "_in_title"))
     wanted = F.when(F.col("native.unit") != "each", F.col("native.dimension"))
@@ -251,12 +258,22 @@ def extract(cards: DataFrame, preferences: dict | None = None) -> DataFrame:
     rank = F.when(F.contains(title, q["source"]), F.greatest(q["rank"], F.lit(3))).otherwise(q["rank"])
     raised = F.when(q.isNotNull(), F.struct(*((rank if c == "rank" else q[c]).alias(c) for c in classify.QUANTITY_FIELDS)))
     rows = rows.withColumn("package", raised)
-    same = F.col("_scoped") == F.col("_text")
-    best = F.coalesce(prices.best_price(F.col("_scoped")), F.when(~same, prices.best_price(F.col("_text"))))
-    rows = rows.withColumn("price_cents", best["cents"])
-    rows = rows.withColumn("pack_count", F.coalesce("_title_pack", prices.pack_count(F.col("_text"))))
-    rows = rows.drop("_text", "_scoped", "_title_native", "_in_title", "_title_use", "_title_pack", "_quantities", "_chosen")
-    return normalize(rows, preferences).where("choice <> 'abstain'")
+    rows = rows.withColumn("price_cents", F.col("_text_price")).withColumn("pack_count", F.coalesce("_title_pack", "_text_pack"))
+    # The verdicts read the rows twice: to gather their keys and to join back.
+    rows = checkpointed(rows.select(*OFFER_KEYS, "native", "package", "price_cents", "pack_count"))
+    return normalize(rows, preferences)
+
+
+def extract(cards: DataFrame, preferences: dict | None = None) -> DataFrame:
+    """Products of ``cards(title, card_text, price_text)`` that could be normalised; other columns stay.
+
+    Facts come from the title first, then from the text. A quantity that stands in the title outranks others. All of them, prices
+    and their displays too, are made once for each distinct offer; a row is only joined with them.
+    """
+    text, scoped = plain_space(F.coalesce("card_text", F.lit(""))), plain_space(F.coalesce("price_text", "card_text", F.lit("")))
+    rows = cards.drop(*OFFER_FACTS).withColumn("title", plain_space(F.col("title"))).withColumn("_text", text).withColumn("_scoped", scoped)
+    rows = per_distinct(rows, OFFER_KEYS, lambda offers: offer_facts(offers, preferences))
+    return rows.drop("_text", "_scoped").where("choice <> 'abstain'")
 
 
 def matching_native(native: Column, package: Column, normalized: Column) -> Column:
