@@ -179,7 +179,8 @@ def part_unit_price(spark, sf_dir):
 def lowest_of_n(spark, sf_dir):
     """The cheapest comparable items of every brand (the flagship query)."""
     rows = normalize.extract(part_cards(spark, sf_dir))
-    rows = rows.select("p_partkey", "p_brand", "title", "normalized.cents", "normalized.compare_key", "normalized.dimension")
+    # Read three times: for titles, for the sizes of cohorts and for their members.
+    rows = normalize.checkpointed(rows.select("p_partkey", "p_brand", "title", "normalized.cents", "normalized.compare_key", "normalized.dimension"))
     rows = normalize.per_distinct(rows, ["title", "dimension"], lambda d: d.withColumn("family", classify.family(F.col("title"), F.col("dimension"))))
     low = compare.lowest_of_n(rows, ["p_brand", "compare_key", "family"])
     return low.select("p_partkey", "p_brand", r4(F.col("cents")).alias("cents"), "lowest_of")

@@ -12,7 +12,7 @@ CARDS = [
 ]
 
 
-@pytest.mark.parametrize("name", ("part_unit_price",))
+@pytest.mark.parametrize("name", ("part_unit_price", "lowest_of_n"))
 def test_rows_are_only_joined_with_what_is_known(spark, sf_dir, name):
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert not any(word in plan for word in ("rlike", "regexp", "format_number", "lambda"))
